@@ -29,11 +29,8 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(sc, "_timeloom_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
-    where = tempfile.mkdtemp(prefix="timeloom-src-")
-    try:
-        shutil.copytree(root, os.path.join(where, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(os.path.join(where, "timeloom"), "zip", os.path.join(where, "src")))
-    finally:
-        shutil.rmtree(where, ignore_errors=True)
+    where = tempfile.mkdtemp(prefix="timeloom-src-")  # the driver serves the archive from here while the session lasts
+    shutil.copytree(root, os.path.join(where, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(where, "timeloom"), "zip", os.path.join(where, "src")))
     sc._timeloom_shipped = True
     return spark
