@@ -19,6 +19,8 @@ _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Word separators: space, and tab to carriage return.
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII other than letters and digits; all else counts as letters.
+_NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -82,10 +84,10 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Words:
     """The words of a chunk of texts: ``start`` and ``end`` in bytes, ``at`` the first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, alphanumeric: bool = False):
         self.data = _LOWER[data] if lower else data
         n = len(data)
-        is_word = ~_IS_SEP[data]
+        is_word = ~(_NOT_ALNUM if alphanumeric else _IS_SEP)[data]
         first, last = is_word.copy(), is_word.copy()
         first[1:] &= ~is_word[:-1]
         last[:-1] &= ~is_word[1:]
@@ -139,6 +141,11 @@ def set_id(shingles: np.ndarray) -> bytes:
     return b"".join(int(mix(np.array([mix(shingles ^ U(b)).sum(dtype=U) + n], U))[0]).to_bytes(8, "big") for b in BASES)
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    parts = [Words(data, at).count for _, _, data, at in chunks(column)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
 class BitIndex:
     """Membership bits of fixed size, cut into slices that tasks build apart. May report a key that is not there, never miss one.
 

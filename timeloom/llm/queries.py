@@ -6,16 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import block_anchors, contamination, mixing, repair_tokens, suffix_dedup, toxicity
 from ._store import table
 from .jaccard_join import near_components
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The file of a public vocabulary, where the machine keeps it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.token_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, toxicity.graded(table(spark, sf_dir, "labels")))
+    found = toxicity.scored(docs, model)
+    return found.where("toxic").select("doc_id", "severity")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair_tokens": op1_repair_tokens,
+    "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_block_anchors": op6_block_anchors,
+    "op7_source_mix": op7_source_mix,
+    "op8_toxicity": op8_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: Shingles of a document as rows (doc_id, s), for several of the statements below.
@@ -27,6 +68,15 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array
 """
 
 ORACLES: dict[str, str] = {
+    "op3_decontamination": r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT id AS item_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s FROM words WHERE kind = 'i' AND len(w) > 0),
+lengths AS (SELECT DISTINCT k FROM items),
+grams AS (SELECT DISTINCT id AS doc_id, k, unnest(list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM words, lengths WHERE kind = 'd'),
+flat AS (SELECT item_id, k, len(s) AS n, unnest(s) AS s FROM items)
+SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared FROM flat JOIN grams USING (k, s) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+""",
     "op5_jaccard_join": f"""
 WITH RECURSIVE {SHINGLES},
 flat AS (SELECT doc_id, unnest(s) AS s FROM sets),
@@ -35,5 +85,26 @@ links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.do
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least AS component_id FROM sets JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) ON a = doc_id
+""",
+    "op6_block_anchors": r"""
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 33))) AS i FROM words),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM starts),
+covered AS (SELECT doc_id, list(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE n > 1) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(c), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: c IS NULL OR NOT list_contains(c, i)), ' ')) AS kept_sha256
+FROM words LEFT JOIN covered USING (doc_id)
+""",
+    "op10_suffix_dedup": r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS i FROM bytes),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(substr(x, 2 * i + 1, 400))) AS n FROM starts),
+hits AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM windows WHERE n > 1),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(x) // 2, length(x) // 2 FROM bytes),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS was FROM ends),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a, b) AS k, count(*) - 1 AS n_spans, any_value(length(x) // 2) AS n FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - length(k) // 2 AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept
 """,
 }
