@@ -72,7 +72,8 @@ def sensor(lines: DataFrame, ctx: Context) -> DataFrame:
     clean = F.transform(raw, lambda v: F.when((v == F.coalesce("empty", F.lit("(empty)"))) | (v == F.coalesce("unset", F.lit("-"))), F.lit("")).otherwise(v))
     n = F.least(F.size("names"), F.size(raw))
     rows = rows.withColumn("values", F.slice(clean, F.lit(1), n)).withColumn("keys", F.slice("names", F.lit(1), n)).withColumn("log", F.coalesce("log", F.lit("")))
-    return event(rows, timestamp=times.epoch_text(field("ts")), event_type=sensor_type(F.col("log")), event_id="ordinal", host=F.coalesce(known(field("id.orig_h")), field("host")), message=sensor_message(F.col("log")))
+    rows = sensor_message(rows)
+    return event(rows, timestamp=times.epoch_text(field("ts")), event_type=sensor_type(F.col("log")), event_id="ordinal", host=F.coalesce(known(field("id.orig_h")), field("host")), message=F.col("message"))
 
 
 def _up_to_here():
@@ -92,44 +93,74 @@ def field(name: str) -> Column:
     return F.when(place > 0, F.try_element_at("values", place.cast("int")))
 
 
-def _f(label: str, name: str, after: str = "") -> Column:
-    return labelled(label, field(name), after)
+# What is told of each kind of record after its connection: label, field, and what follows. "@" fields are derived
+# below; "@" alone is always there. Certificates have no connection.
+LAYOUTS = {
+    "conn": [("[", "@proto", "]"), ("service=", "service", ""), ("state=", "conn_state", ""), ("duration=", "duration", "s")],
+    "dns": [("query=", "query", ""), ("type=", "qtype_name", ""), ("answers=[", "answers", "]"), ("rcode=", "@rcode", "")],
+    "http": [("", "method", ""), ("", "@url", ""), ("[", "status_code", "]"), ("UA=", "user_agent", "")],
+    "ssl": [("SNI=", "server_name", ""), ("ver=", "version", ""), ("subject=", "subject", ""), ("issuer=", "issuer", "")],
+    "files": [("file=", "filename", ""), ("type=", "mime_type", ""), ("size=", "total_bytes", ""), ("", "@hash", "")],
+    "notice": [("[", "note", "]"), ("", "msg", ""), ("(", "sub", ")")],
+    "ssh": [("[SSH]", "@", ""), ("ver=", "version", ""), ("auth=", "@auth", ""), ("client=", "client", ""), ("server=", "server", "")],
+    "dhcp": [("MAC=", "mac", ""), ("assigned=", "assigned_ip", ""), ("hostname=", "host_name", ""), ("lease=", "lease_time", "s")],
+    "x509": [("subject=", "certificate.subject", ""), ("issuer=", "certificate.issuer", ""), ("serial=", "certificate.serial", "")],
+    "kerberos": [("[Kerberos]", "@", ""), ("client=", "client", ""), ("service=", "service", ""), ("", "@ticket", "")],
+    "ntlm": [("[NTLM]", "@", ""), ("user=", "@account", ""), ("host=", "hostname", ""), ("", "@success", "")],
+    "smtp": [("[SMTP]", "@", ""), ("from=", "mailfrom", ""), ("to=", "rcptto", ""), ("subject=", "subject", ""), ("reply=", "last_reply", "")],
+    "ftp": [("[FTP]", "@", ""), ("user=", "user", ""), ("", "@command", ""), ("[", "@reply", "]")],
+    "weird": [("[WEIRD:", "name", "]"), ("", "addl", "")],
+    "rdp": [("[RDP]", "@", ""), ("cookie=", "cookie", ""), ("security=", "security_protocol", ""), ("result=", "result", "")],
+}
 
 
 def _verdict(name: str, yes: str, no: str | Column) -> Column:
     return F.when(field(name) == "T", yes).when(field(name) == "F", no)
 
 
-def sensor_message(log: Column) -> Column:
-    """One line for a record: its connection, then what the kind of log is about. Fixed layouts; absent fields leave no trace."""
+def derived(log: Column) -> dict[str, Column]:
+    """Fields that are made of others, for the kinds of records that have them."""
+    also = lambda name, before=" ", after="": F.coalesce(labelled(before, field(name), after), F.lit(""))
+    domain, user = known(field("domainname")), known(field("username"))
+    return {
+        "@proto": F.upper(field("proto")),
+        "@rcode": F.when(field("rcode_name") != "NOERROR", field("rcode_name")),
+        "@url": F.coalesce(F.concat(F.lit("http://"), known(field("host")), F.coalesce(field("uri"), F.lit(""))), field("uri")),
+        "@hash": F.coalesce(*[labelled(f"{k}=", field(k)) for k in ("sha256", "sha1", "md5")]),
+        "@auth": _verdict("auth_success", "SUCCESS", "FAILED"),
+        "@success": _verdict("success", "SUCCESS", "FAILED"),
+        "@ticket": _verdict("success", "SUCCESS", F.concat(F.lit("FAILED"), also("error_msg", " (", ")"))),
+        "@account": F.coalesce(F.concat(domain, F.lit("\\"), user), user),
+        "@command": F.concat(known(field("command")), also("arg")),
+        "@reply": F.concat(known(field("reply_code")), also("reply_msg")),
+    }
+
+
+def sensor_message(rows: DataFrame) -> DataFrame:
+    """Adds ``message``: a record's connection, then what its kind of log is about; absent fields leave no trace.
+
+    Layouts are data that one expression reads, so the plan doesn't grow with them.
+    """
     orig, resp = known(field("id.orig_h")), known(field("id.resp_h"))
     port = lambda name: F.coalesce(field(name), F.lit(""))
     conn = F.when(orig.isNotNull() & resp.isNotNull(), F.concat(orig, F.lit(":"), port("id.orig_p"), F.lit(" -> "), resp, F.lit(":"), port("id.resp_p"))).otherwise(F.coalesce(orig, F.lit("")))
-    url = F.when(known(field("host")).isNotNull(), F.concat(F.lit("http://"), field("host"), F.coalesce(field("uri"), F.lit("")))).otherwise(known(field("uri")))
-    failed = F.concat(F.lit("FAILED"), F.coalesce(_f(" (", "error_msg", ")"), F.lit("")))
-    account = F.when(known(field("domainname")).isNotNull() & known(field("username")).isNotNull(), F.concat(F.lit("user="), field("domainname"), F.lit("\\"), field("username"))).otherwise(_f("user=", "username"))
-    command = F.concat(known(field("command")), F.coalesce(_f(" ", "arg"), F.lit("")))
-    reply = F.concat(F.lit("["), known(field("reply_code")), F.coalesce(_f(" ", "reply_msg"), F.lit("")), F.lit("]"))
-    parts = {
-        "conn": [F.upper(_f("[", "proto", "]")), _f("service=", "service"), _f("state=", "conn_state"), _f("duration=", "duration", "s")],
-        "dns": [_f("query=", "query"), _f("type=", "qtype_name"), _f("answers=[", "answers", "]"), F.when(field("rcode_name") != "NOERROR", _f("rcode=", "rcode_name"))],
-        "http": [_f("", "method"), url, _f("[", "status_code", "]"), _f("UA=", "user_agent")],
-        "ssl": [_f("SNI=", "server_name"), _f("ver=", "version"), _f("subject=", "subject"), _f("issuer=", "issuer")],
-        "files": [_f("file=", "filename"), _f("type=", "mime_type"), _f("size=", "total_bytes"), F.coalesce(_f("sha256=", "sha256"), _f("sha1=", "sha1"), _f("md5=", "md5"))],
-        "notice": [_f("[", "note", "]"), _f("", "msg"), _f("(", "sub", ")")],
-        "ssh": [F.lit("[SSH]"), _f("ver=", "version"), _verdict("auth_success", "auth=SUCCESS", "auth=FAILED"), _f("client=", "client"), _f("server=", "server")],
-        "dhcp": [_f("MAC=", "mac"), _f("assigned=", "assigned_ip"), _f("hostname=", "host_name"), _f("lease=", "lease_time", "s")],
-        "kerberos": [F.lit("[Kerberos]"), _f("client=", "client"), _f("service=", "service"), _verdict("success", "SUCCESS", failed)],
-        "ntlm": [F.lit("[NTLM]"), account, _f("host=", "hostname"), _verdict("success", "SUCCESS", "FAILED")],
-        "smtp": [F.lit("[SMTP]"), _f("from=", "mailfrom"), _f("to=", "rcptto"), _f("subject=", "subject"), _f("reply=", "last_reply")],
-        "ftp": [F.lit("[FTP]"), _f("user=", "user"), command, reply],
-        "weird": [_f("[WEIRD:", "name", "]"), _f("", "addl")],
-        "rdp": [F.lit("[RDP]"), _f("cookie=", "cookie"), _f("security=", "security_protocol"), _f("result=", "result")],
-    }
-    # All but certificates start with the connection, which may be empty and then still has its blank.
-    out = F.when(log == "x509", trimmed(F.concat_ws(" ", _f("subject=", "certificate.subject"), _f("issuer=", "certificate.issuer"), _f("serial=", "certificate.serial"))))
-    for name, own in parts.items():
-        out = out.when(log == name, F.concat_ws(" ", conn, *own))
+    more = derived(F.col("log"))
+    rows = rows.withColumn("conn", conn).withColumn("names_all", F.concat("keys", F.array(*map(F.lit, more)))).withColumn("values_all", F.concat("values", F.array(*more.values())))
+    part = lambda x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "name", "after"), x, strict=True)])
+    table = F.create_map(*[c for log, parts in LAYOUTS.items() for c in (F.lit(log), F.array(*map(part, parts)))])
+
+    def shown(x: Column) -> Column:
+        place = F.array_position("names_all", x["name"]).cast("int")
+        value = F.when(x["name"] == "@", F.lit("")).otherwise(known(F.when(place > 0, F.try_element_at("values_all", place))))
+        return F.concat(x["label"], value, x["after"])
+
+    rows = rows.withColumn("layout", F.try_element_at(table, F.col("log")))
+    told = F.array_join(F.array_compact(F.transform("layout", shown)), " ")
     some = F.filter(F.arrays_zip("keys", "values"), lambda x: (x["values"] != "") & ~x["keys"].isin("ts", "uid"))
     rest = F.array_join(F.transform(F.slice(some, 1, 5), lambda x: F.concat(x["keys"], F.lit("="), x["values"])), " ")
-    return out.otherwise(F.when(conn != "", conn).otherwise(rest))
+    message = (
+        F.when(F.col("layout").isNull(), F.when(F.col("conn") != "", F.col("conn")).otherwise(rest))
+        .when(F.col("log") == "x509", told)
+        .otherwise(F.concat("conn", F.when(told != "", F.concat(F.lit(" "), told)).otherwise("")))
+    )
+    return rows.withColumn("message", message)

@@ -53,33 +53,45 @@ def json_events(texts: DataFrame, ctx: Context) -> DataFrame:
     return event(records(texts), timestamp=times.rfc3339(stamp), event_type=F.coalesce(kind, F.lit("Unknown")), event_id=F.coalesce(number, F.lit(0)), user=string_at(v, "user"), host=string_at(v, "host"), message=string_at(v, "message"), default=ctx.now, offset=times.offset_minutes(stamp))
 
 
+def _with(rows: DataFrame, **fields: tuple[str, ...]) -> DataFrame:
+    """The record's strings as columns, each read once."""
+    return rows.select("path", "source", "ordinal", *[string_at(F.col("v"), *keys).alias(name) for name, keys in fields.items()])
+
+
 def cloudtrail(texts: DataFrame, ctx: Context) -> DataFrame:
-    v = F.col("v")
-    source, name, host, stamp = string_at(v, "eventSource"), string_at(v, "eventName"), string_at(v, "sourceIPAddress"), string_at(v, "eventTime")
-    kind = F.when((source != "") | (name != ""), F.concat(F.lit("CloudTrail:"), source, F.lit(":"), name)).otherwise("CloudTrail")
-    user = F.coalesce(*[known(string_at(v, "userIdentity", k)) for k in ("userName", "arn", "principalId")])
-    message = F.concat_ws(" | ", labelled("Action: ", name), labelled("Service: ", source), labelled("Region: ", string_at(v, "awsRegion")), labelled("SourceIP: ", host), labelled("Error: ", string_at(v, "errorCode")), labelled("ErrorMsg: ", string_at(v, "errorMessage")))
-    return event(records(texts, "Records", ctx.compat), timestamp=times.rfc3339(stamp), event_type=kind, event_id="ordinal", user=user, host=host, message=message, offset=times.offset_minutes(stamp))
+    who = ("userName", "arn", "principalId")
+    rows = _with(records(texts, "Records", ctx.compat), service=("eventSource",), name=("eventName",), host=("sourceIPAddress",), stamp=("eventTime",), region=("awsRegion",), code=("errorCode",), reason=("errorMessage",), **{k: ("userIdentity", k) for k in who})
+    c = F.col
+    kind = F.when((c("service") != "") | (c("name") != ""), F.concat(F.lit("CloudTrail:"), "service", F.lit(":"), "name")).otherwise("CloudTrail")
+    message = F.concat_ws(" | ", labelled("Action: ", c("name")), labelled("Service: ", c("service")), labelled("Region: ", c("region")), labelled("SourceIP: ", c("host")), labelled("Error: ", c("code")), labelled("ErrorMsg: ", c("reason")))
+    return event(rows, timestamp=times.rfc3339(c("stamp")), event_type=kind, event_id="ordinal", user=F.coalesce(*[known(c(k)) for k in who]), host=c("host"), message=message, offset=times.offset_minutes(c("stamp")))
+
+
+def _first_time(*names: str):
+    """(the first of the columns that is a time, its offset)"""
+    stamps = [F.col(n) for n in names]
+    return F.coalesce(*[times.rfc3339(s) for s in stamps]), F.coalesce(*[F.when(times.rfc3339(s).isNotNull(), times.offset_minutes(s)) for s in stamps])
 
 
 def azure_activity(texts: DataFrame, ctx: Context) -> DataFrame:
-    v = F.col("v")
-    stamps = [string_at(v, k) for k in ("time", "eventTimestamp", "submissionTimestamp")]
-    stamp = F.coalesce(*[times.rfc3339(s) for s in stamps])
-    operation, host = string_at(v, "operationName"), string_at(v, "callerIpAddress")
-    user = F.coalesce(known(string_at(v, "identity", "claims", "name")), known(string_at(v, "identity", "claims", UPN)), string_at(v, "caller"))
-    message = F.concat_ws(" | ", labelled("Operation: ", operation), labelled("Category: ", string_at(v, "category")), labelled("Resource: ", tail_bytes(string_at(v, "resourceId"), 100, 97)), labelled("Result: ", string_at(v, "resultType")), labelled("CallerIP: ", host))
-    kind = F.coalesce(labelled("Azure:", operation), F.lit("AzureActivity"))
-    used = F.coalesce(*[F.when(times.rfc3339(s).isNotNull(), times.offset_minutes(s)) for s in stamps])
-    return event(records(texts, "value", ctx.compat, True), timestamp=stamp, event_type=kind, event_id="ordinal", user=user, host=host, message=message, offset=used)
+    rows = _with(
+        records(texts, "value", ctx.compat, True), t1=("time",), t2=("eventTimestamp",), t3=("submissionTimestamp",), operation=("operationName",), host=("callerIpAddress",), category=("category",),
+        resource=("resourceId",), result=("resultType",), name=("identity", "claims", "name"), upn=("identity", "claims", UPN), caller=("caller",),
+    )
+    c = F.col
+    stamp, offset = _first_time("t1", "t2", "t3")
+    message = F.concat_ws(" | ", labelled("Operation: ", c("operation")), labelled("Category: ", c("category")), labelled("Resource: ", tail_bytes(c("resource"), 100, 97)), labelled("Result: ", c("result")), labelled("CallerIP: ", c("host")))
+    return event(rows, timestamp=stamp, event_type=F.coalesce(labelled("Azure:", c("operation")), F.lit("AzureActivity")), event_id="ordinal", user=F.coalesce(known(c("name")), known(c("upn")), c("caller")), host=c("host"), message=message, offset=offset)
 
 
 def gcp_audit(texts: DataFrame, ctx: Context) -> DataFrame:
-    v = F.col("v")
-    stamps = [string_at(v, k) for k in ("timestamp", "receiveTimestamp")]
-    method, service, host = string_at(v, "protoPayload", "methodName"), string_at(v, "protoPayload", "serviceName"), string_at(v, "protoPayload", "requestMetadata", "callerIp")
-    resource = F.coalesce(*[known(string_at(v, "resource", "labels", k)) for k in ("instance_id", "bucket_name", "project_id", "cluster_name")])
-    message = F.concat_ws(" | ", labelled("Method: ", method), labelled("Service: ", service), labelled("ResourceType: ", string_at(v, "resource", "type")), labelled("Resource: ", resource), labelled("CallerIP: ", host), labelled("Severity: ", string_at(v, "severity")))
-    kind = F.when((service != "") | (method != ""), F.concat(F.lit("GCP:"), service, F.lit(":"), method)).otherwise("GCPAudit")
-    used = F.coalesce(*[F.when(times.rfc3339(s).isNotNull(), times.offset_minutes(s)) for s in stamps])
-    return event(records(texts, "entries", ctx.compat, True), timestamp=F.coalesce(*[times.rfc3339(s) for s in stamps]), event_type=kind, event_id="ordinal", user=string_at(v, "protoPayload", "authenticationInfo", "principalEmail"), host=host, message=message, offset=used)
+    labels = ("instance_id", "bucket_name", "project_id", "cluster_name")
+    rows = _with(
+        records(texts, "entries", ctx.compat, True), t1=("timestamp",), t2=("receiveTimestamp",), method=("protoPayload", "methodName"), service=("protoPayload", "serviceName"),
+        host=("protoPayload", "requestMetadata", "callerIp"), who=("protoPayload", "authenticationInfo", "principalEmail"), kind=("resource", "type"), severity=("severity",), **{k: ("resource", "labels", k) for k in labels},
+    )
+    c = F.col
+    stamp, offset = _first_time("t1", "t2")
+    message = F.concat_ws(" | ", labelled("Method: ", c("method")), labelled("Service: ", c("service")), labelled("ResourceType: ", c("kind")), labelled("Resource: ", F.coalesce(*[known(c(k)) for k in labels])), labelled("CallerIP: ", c("host")), labelled("Severity: ", c("severity")))
+    kind = F.when((c("service") != "") | (c("method") != ""), F.concat(F.lit("GCP:"), "service", F.lit(":"), "method")).otherwise("GCPAudit")
+    return event(rows, timestamp=stamp, event_type=kind, event_id="ordinal", user=c("who"), host=c("host"), message=message, offset=offset)
