@@ -6,6 +6,7 @@ executor then costs the tasks it held and no lineage has to be replayed from the
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         out._scratch_path = where
         return out
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of what has been written already: its cleaner follows the JVM's garbage collector."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         where = getattr(df, "_scratch_path", None)
         if where:

@@ -1,11 +1,12 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds, exact sorted-array intersection (operator 5).
 
 Texts are lower-cased (A-Z), split into words, and turned into sets of hashed word shingles. Two texts whose Jaccard similarity
-is at least t share one of the n - ceil(t n) + 1 smallest shingles of either, so only texts that share such a shingle meet:
+is at least t share one of the n - ceil(t n) + 1 first shingles of either, in any order that all follow: here by hash, with
+the most common shingles last. Only texts that share such a shingle meet:
 
-1. the smallest shingles of all texts go, packed, through fixed-size bit slices; those of one text alone are forgotten;
-2. texts of equal sets become one class; classes that share a shingle meet in tiles of one band of sizes (a ratio of 1.26) and
-   the next, cut into blocks so that a tile has a bounded number of rows however common its shingle is. There the parity
+1. the first shingles of all texts go, packed, through fixed-size bit slices; those of one text alone are forgotten;
+2. texts of equal sets become one class; classes that share a shingle meet in a tile. A shingle of more texts than a tile
+   takes has a tile for each band of sizes (a ratio of 1.26) with the next, cut into pairs of blocks of bounded size. There the parity
    bitmaps' differing bits bound the overlap from above. A tile gives a spanning forest of what passes, not its pairs;
 3. the forests' components are small sets of texts that may be near. In blocks of these, pairs that pass the bitmap bound and
    are not connected yet are intersected exactly as sorted arrays, which again gives a forest;
@@ -20,19 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._numeric import BitIndex, U, Words, as_long, chunks, mix, ranges, set_id, shingle_sets
+from ._numeric import BitIndex, U, Words, as_long, chunks, grams, mix, set_id, shingle_sets
 from ._store import Scratch
 from .components import connected_components
 
 BAND = 1.26
+COMMON_BITS = 22
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap about as wide as the set is large, 64 to 8,192 bits; each shingle flips a bit."""
-    width = min(8192, max(64, 1 << (len(shingles) - 1).bit_length()))
+    """A bitmap of 0.6 to 1.2 bits for each shingle, 64 to 8,192 in all; each shingle flips a bit.
+
+    Unlike sets then differ in 0.3 bits a shingle or more, and sets of similarity 0.8 in 0.23 at most.
+    """
+    width = min(8192, max(64, 1 << max(0, int(0.6 * len(shingles)) - 1).bit_length()))
     at = (mix(shingles) & U(width - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width) & 1 == 1, bitorder="little").tobytes()
 
@@ -98,6 +103,52 @@ def forest(sizes: np.ndarray, bitmaps: list[bytes], cross: np.ndarray | None, pe
             trees.join(i, rows)
 
 
+def near_pairs(batches, percent: int):
+    """For mapInArrow over (t, c, n, bits) sorted by t: links among the rows of each t.
+
+    Texts that are near share many shingles, so the same rows meet again and again; what was compared is remembered, up to a
+    fixed number of groups.
+    """
+    done: set = set()
+    us, vs = [], []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    for group in _runs(batches):
+        c = group.column("c").to_pylist()
+        key = tuple(sorted(c)) if len(c) < 9 else hash(frozenset(c))
+        if key in done:
+            continue
+        if len(done) > 200_000:
+            done.clear()
+        done.add(key)
+        for a, b in forest(np.asarray(group.column("n")).astype(np.int64), group.column("bits").to_pylist(), None, percent):
+            us.append(min(c[a], c[b]))
+            vs.append(max(c[a], c[b]))
+        if len(us) >= 4096:
+            yield out()
+            us, vs = [], []
+    yield out()
+
+
+def _runs(batches):
+    """Groups of two rows or more of one t, from batches sorted by it; only what may go on is held."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        t = np.asarray(batch.column(0))
+        edge = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+        for k in np.flatnonzero(np.diff(edge[:-1]) > 1).tolist():
+            yield batch.slice(int(edge[k]), int(edge[k + 1] - edge[k]))
+        held = batch.slice(int(edge[-2]))
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
 def _groups(batches, keys: int):
     """Groups of equal leading columns from sorted batches, one at a time; only the open group is held."""
     held: list[pa.RecordBatch] = []
@@ -157,24 +208,54 @@ def _in_tiles(tiles: DataFrame, run) -> DataFrame:
     return tiles.repartition(n, "t", "band", "i", "j").sortWithinPartitions("t", "band", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
+def common_shingles(docs: DataFrame, k: int, least: int = 64, most: int = 100_000) -> np.ndarray:
+    """Bits of shingles of very many texts, which every text then orders after all others.
+
+    Any order gives the same links; this one keeps what many texts share from bringing these together. Counts cover all texts,
+    of shingles that repeat within a few megabytes; ``most`` of them, the most frequent, are told apart.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for _, _, data, at in chunks(batch.column(0), 8 << 20):
+                words = Words(data, at, lower=True)
+                g = grams(words.hashes(), k)
+                s, n = np.unique(mix(g[np.arange(len(g)) + k <= words.stop()[: len(g)]] ^ U(k)), return_counts=True)
+                some = n > 3
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(s[some])), pa.array(n[some].astype(np.int64))], ["s", "n"])
+
+    counts = docs.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bits = np.zeros(1 << (COMMON_BITS - 6), U)
+    key = np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(most).select("s").collect()], np.int64).view(U)
+    np.bitwise_or.at(bits, (key >> U(64 - (COMMON_BITS - 6))).astype(np.int64), BitIndex._mask(key))
+    return bits
+
+
 def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, bits: int = 29, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with: n (set size), c (16 bytes naming the set, null where empty), bits, sets, tokens (those that may be shared).
+    """``docs`` with: n (set size), c (16 bytes naming the set, null where empty), bits, tokens (the smallest shingles that may be shared).
 
     Every column of ``docs`` stays except one called like these. A null text is an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
 
-    def smallest(s: np.ndarray) -> np.ndarray:
-        return mix(s[: len(s) - -(-percent * len(s) // 100) + 1])
+    frequent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select(text), k).tobytes())
+
+    def smallest(s: np.ndarray, late: BitIndex) -> np.ndarray:
+        if not len(s):
+            return s
+        last = late.has(s)
+        n = len(s) - -(-percent * len(s) // 100) + 1
+        return mix(np.concatenate((s[~last], s[last]))[:n] if last.any() else s[:n])
 
     def keys(batches):
+        late = BitIndex(COMMON_BITS, np.frombuffer(frequent.value, U))
         for batch in batches:
             for _, _, data, at in chunks(batch.column(0), 1 << 22):
                 known, each = set(), []
                 for s in shingle_sets(Words(data, at, lower=True), k):
                     if len(s) and (c := (len(s), int(s.sum(dtype=U)))) not in known:  # equal sets count once
                         known.add(c)
-                        each.append(smallest(s))
+                        each.append(smallest(s, late))
                 if each:
                     # A key in two sets of this chunk must reach its slice twice.
                     key, n = np.unique(np.concatenate(each), return_counts=True)
@@ -182,53 +263,80 @@ def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5, percent: in
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
 
     _, shared = BitIndex.built(docs.select(text).mapInArrow(keys, "slice int, keys binary"), bits, twice=True)
+    scratch.release()
     index = docs.sparkSession.sparkContext.broadcast((shared.bits, shared.words.tobytes()))
-    keep = [f for f in docs.schema.fields if f.name not in ("n", "c", "bits", "sets", "tokens")]
+    keep = [f for f in docs.schema.fields if f.name not in ("n", "c", "bits", "tokens")]
     place = [f.name for f in keep].index(text) if text in [f.name for f in keep] else None
     if place is None:
         raise ValueError(f"no column {text}")
 
     def classes(batches):
         w, packed = index.value
-        shared = BitIndex(w, np.frombuffer(packed, U))
+        shared, late = BitIndex(w, np.frombuffer(packed, U)), BitIndex(COMMON_BITS, np.frombuffer(frequent.value, U))
         for batch in batches:
             for i, j, data, at in chunks(batch.column(place)):
-                n, c, bit, sets, tokens = [], [], [], [], []
+                n, c, bit, tokens = [], [], [], []
                 for s in shingle_sets(Words(data, at, lower=True), k):
                     n.append(len(s))
-                    got = smallest(s) if len(s) else s
+                    got = smallest(s, late)
                     got = got[shared.has(got)]
                     c.append(set_id(s) if len(s) else None)
                     tokens.append(as_long(got))
                     bit.append(parity_bits(s) if len(got) else None)
-                    sets.append(s.tobytes() if len(got) else None)
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(x) for x in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bit, pa.binary()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], [f.name for f in keep] + ["n", "c", "bits", "sets", "tokens"])
+                yield pa.RecordBatch.from_arrays([own.column(x) for x in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bit, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], [f.name for f in keep] + ["n", "c", "bits", "tokens"])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    extra = _parse_datatype_string("n bigint, c binary, bits binary, sets binary, tokens array<bigint>")
+    extra = _parse_datatype_string("n bigint, c binary, bits binary, tokens array<bigint>")
     return docs.select(*[f.name for f in keep]).mapInArrow(classes, StructType(keep + extra.fields))
 
 
-def near_links(classes: DataFrame, percent: int = 80, tile_rows: int = 2048, block_rows: int = 512, scratch: Scratch | None = None) -> DataFrame:
-    """(u, v): a spanning forest of all exact links between the sets of :func:`shingle_classes`."""
+def _sets_of(docs: DataFrame, clusters: DataFrame, k: int, bits: int = 26) -> DataFrame:
+    """(c, n, bits, sets) of the texts whose c is in ``clusters``, and of some others; from the texts again, so that no sets
+    are kept of those that share nothing."""
+
+    def keys(batches):
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8")[::2].astype(U)
+            got = list(BitIndex.sliced(key))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
+
+    index = BitIndex.built(clusters.select("c").mapInArrow(keys, "slice int, keys binary"), bits, twice=False)
+    shared = docs.sparkSession.sparkContext.broadcast(index.words.tobytes())
+
+    def run(batches):
+        wanted = BitIndex(bits, np.frombuffer(shared.value, U))
+        for batch in batches:
+            for _, _, data, at in chunks(batch.column(0)):
+                got = [(set_id(s), s) for s in shingle_sets(Words(data, at, lower=True), k) if len(s)]
+                if not got:
+                    continue
+                hit = wanted.has(np.frombuffer(b"".join(c for c, _ in got), ">u8")[::2].astype(U))
+                got = [x for x, h in zip(got, hit.tolist(), strict=True) if h]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.binary()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([parity_bits(s) for _, s in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["c", "n", "bits", "sets"])
+
+    return docs.select(docs["text"]).mapInArrow(run, "c binary, n bigint, bits binary, sets binary")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 80, tile_rows: int = 2048, block_rows: int = 512, scratch: Scratch | None = None) -> DataFrame:
+    """(u, v): a spanning forest of all exact links between the sets of :func:`shingle_classes` of ``docs`` (text)."""
     scratch = scratch or Scratch(classes.sparkSession, "jaccard")
-    linked = classes.where("size(tokens) > 0")
-    one = linked.groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
-    rows = one.select(F.explode("tokens").alias("t"), F.floor(F.log("n") / float(np.log(BAND))).cast("int").alias("band"), "c", "n", "bits")
-    of = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("u"), F.max("c").alias("v"))
-    of = scratch.save(of.where("m > 1"), "shared")
-    two = of.where("m = 2").select("u", "v").distinct()
-    more = scratch.save(rows.join(of.where("m > 2").select("t"), "t"), "members")
-    roles = more.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("role"))
-    used = more.select("t", "band").distinct()  # a tile without texts of its own band has no pairs of interest
-    tiles = _tiled(roles.join(used, ["t", "band"], "left_semi"), tile_rows, ["c", "n", "bits", "role"])
-    maybe = two.union(_in_tiles(tiles, _links(percent, True, False))).distinct()
-    clusters = connected_components(scratch.save(maybe, "maybe"), scratch)
-    sets = linked.select("c", "n", "bits", "sets").join(clusters.select(F.col("node").alias("c"), F.xxhash64("root").alias("t")), "c")
-    sets = sets.groupBy("c", "t").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sets").alias("sets")).withColumn("band", F.lit(0))
+    one = classes.where("size(tokens) > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
+    rows = one.select(F.explode("tokens").alias("t"), "c", "n", "bits")
+    # Shingles of more texts than a tile takes; written, so that Catalyst knows its size and may broadcast it.
+    common = scratch.save(classes.where("size(tokens) > 0").dropDuplicates(["c"]).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > tile_rows), "common")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.join(common, "t", "left_anti").repartition(n, "t").sortWithinPartitions("t").mapInArrow(lambda b: near_pairs(b, percent), "u binary, v binary")
+    roles = rows.join(common.select("t"), "t").withColumn("role", F.explode(F.array(F.lit(0), F.lit(1))))
+    roles = roles.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int") - F.col("role"))
+    many = _in_tiles(_tiled(roles, tile_rows, ["c", "n", "bits", "role"]), _links(percent, True, False))
+    maybe = scratch.save(few.union(many).distinct(), "maybe")
+    scratch.release()
+    clusters = connected_components(maybe, scratch).select(F.col("node").alias("c"), F.xxhash64("root").alias("t"))
+    sets = _sets_of(docs, clusters, k).join(clusters, "c").groupBy("c", "t").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sets").alias("sets")).withColumn("band", F.lit(0))
     sets = scratch.save(sets, "clusters")
+    scratch.release()
     return _in_tiles(_tiled(sets, block_rows, ["c", "n", "bits", "sets"]), _links(percent, False, True))
 
 
@@ -244,9 +352,27 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     only = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     classes = shingle_classes(only, "text", k, percent, scratch=scratch).drop("text")
     classes = scratch.save(classes, "classes")
-    roots = connected_components(scratch.save(near_links(classes, percent, scratch=scratch), "links"), scratch)
+    roots = connected_components(scratch.save(near_links(only, classes, k, percent, scratch=scratch), "links"), scratch)
     ids = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     of = ids.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = of.groupBy("root").agg(F.min("least").alias("component"))
     named = of.join(least, "root").select("c", "component")
     return classes.select("doc_id", F.col("n").alias("n_shingles"), "c").join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("c").isNull(), F.col("doc_id"))).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, less those whose component has a smaller id: one document of each component stays.
+
+    Rows that share an id count as one document, of which the row with the smallest text hash stays. Rows without an id stay,
+    as nothing tells them apart. Texts without words link nothing and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    of = scratch.save(near_components(docs, doc_id, text, k, percent, scratch).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")), "components")
+    copies = scratch.save(of.where("least < doc_id").select(F.col("doc_id").alias("__copy")), "copies")
+    kept = docs.join(copies, docs[doc_id] == copies["__copy"], "left_anti")
+    again = scratch.save(of.where("rows > 1 and least = doc_id").select(F.col("doc_id").alias("__again")), "again")
+    if not again.take(1):
+        return kept
+    once = kept.join(again, kept[doc_id] == again["__again"], "left_anti")
+    row = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text)))
+    return once.unionByName(kept.join(again, kept[doc_id] == again["__again"], "left_semi").withColumn("__row", row).where("__row = 1").drop("__row"))
