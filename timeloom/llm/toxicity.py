@@ -62,8 +62,11 @@ class OrdinalModel:
         return self.grades[0] + above @ np.diff(self.grades).astype(float)
 
     def score(self, column: pa.Array) -> np.ndarray:
+        """The expected grade of each text; the lowest grade for one without any features."""
         bits = int(len(self.weights)).bit_length() - 1
-        return self.severity(np.array([self.weights[f].sum(dtype=float) for f in features(column, bits)], float))
+        found = list(features(column, bits))
+        got = self.severity(np.array([self.weights[f].sum(dtype=float) for f in found], float))
+        return np.where([len(f) > 0 for f in found], got, float(self.grades[0])) if found else got
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, penalty: float = 4e-4, rounds: int = 60, least_rows: int = 8, refit: bool = True) -> OrdinalModel:
@@ -154,7 +157,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", tex
 def scored(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text", reject: float = 0.2) -> DataFrame:
     """(doc_id, severity, toxic): expected grade of each row, and whether it is ``reject`` or more.
 
-    A null or empty text has no features and gets the grade expected without any. Each repeated row gets its own result row;
+    A null or empty text has no features and gets the lowest grade. Each repeated row gets its own result row;
     an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
