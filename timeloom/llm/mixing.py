@@ -89,7 +89,7 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share,
     plan = F.broadcast(plan)  # at most max_sources rows
     placed = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "seeded", "size", "source_no", "source_size", "target", "quota", F.pmod(F.xxhash64("seeded"), F.col("shards")).alias("shard"))
 
-    def dealt(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         words = pdf["words"].to_numpy()
         blocks = apportion(words, int(pdf["quota"].iloc[0]), most * words // block)
@@ -126,7 +126,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     names = {r.source: r for r in docs.select(docs[source].cast("string").alias("source")).groupBy("source").agg(F.count("*").alias("docs")).collect()}
     order = sorted(names, key=lambda s: (s is None, s or ""))
     count = {s: max(1, -(-names[s].docs // shard_docs)) for s in order}
-    plan = docs.sparkSession.createDataFrame([(s, i, count[s]) for i, s in enumerate(order)], "____mix_source string, __mix_no int, __mix_shards bigint")
+    plan = docs.sparkSession.createDataFrame([(s, i, count[s]) for i, s in enumerate(order)], "__mix_source string, __mix_no int, __mix_shards bigint")
     cuts = cuts.select(F.col("source_no").alias("__mix_no"), F.col("shard").alias("__mix_shard"), F.col("passes").alias("__mix_passes"), F.col("last").alias("__mix_last"))
     cuts = F.broadcast(cuts) if sum(count.values()) <= broadcast_shards else cuts
     seeded = F.xxhash64(F.lit(seed), docs[doc_id].cast("bigint"), docs[text].cast("string"))
