@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 def test_names():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) > 60
+    assert set(sql) <= set(queries) and len(queries) > 50
 
 
 def test_nothing_imports_the_removable_part():
