@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._numeric import BitIndex, U, mix
 from ._store import Scratch
@@ -32,15 +33,20 @@ def _intervals(d, h, first, last, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last + length, pa.int32())], ["d", "h", "a", "b"])
 
 
-def _repeated(batch: pa.RecordBatch, spread: Callable, length: int) -> Iterator[pa.RecordBatch]:
-    ids, before = spread(batch)
+def _seen_twice(ids: np.ndarray) -> np.ndarray:
     flat = ids.ravel()
     used = flat != 0
     column = np.tile(np.arange(ids.shape[1], dtype=U), len(ids))
     _, inverse, n = np.unique((flat ^ mix(column))[used], return_inverse=True, return_counts=True)
     hit = np.zeros(len(flat), bool)
     hit[used] = n[inverse] > 1
-    hit = np.pad(hit.reshape(ids.shape), ((0, 0), (1, 1)))
+    return hit.reshape(ids.shape)
+
+
+def _runs_of(spread: Callable, batch: pa.RecordBatch, length: int, chosen: Callable) -> Iterator[pa.RecordBatch]:
+    """The intervals that the chosen windows of each row cover, a row for each run of neighbours."""
+    ids, before = spread(batch)
+    hit = np.pad(chosen(ids), ((0, 0), (1, 1)))
     row, first = np.nonzero(hit[:, 1:] & ~hit[:, :-1])
     _, last = np.nonzero(hit[:, :-1] & ~hit[:, 1:])
     last = last - 1
@@ -48,12 +54,13 @@ def _repeated(batch: pa.RecordBatch, spread: Callable, length: int) -> Iterator[
     yield _intervals(np.asarray(batch.column("d"))[row], np.asarray(batch.column("h"))[row], at + first, at + last, length)
 
 
-def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratch: Scratch, most: int = 5000, batch_rows: int = 1000) -> DataFrame:
+def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratch: Scratch, most: int = 40_000, batch_rows: int = 1000, bits: int = 28) -> DataFrame:
     """(d, h, a, b): intervals that cover every window of ``length`` which occurs at two places or more.
 
     ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents of at most ``most`` anchors
-    are compared in one task, where they stream by; windows around more common ones are counted by key, pre-aggregated, and
-    joined back, which adaptive execution can split.
+    are compared in one task, where they stream by. Around more common ones, rows with the same surroundings are settled by
+    counting those; of the distinct surroundings left, windows that may be there twice are counted by key. All counts are
+    pre-aggregated, and joined back in joins that adaptive execution can split.
     """
     anchors = scratch.save(anchors, "anchors")
     common = scratch.save(anchors.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > most).select("g"), "common")
@@ -71,7 +78,7 @@ def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratc
             start = 0
             while start < len(g):  # batches end where a group ends
                 end = int(np.searchsorted(g, g[min(start + batch_rows, len(g)) - 1], "right"))
-                yield from _repeated(rows.slice(start, end - start), spread, length)
+                yield from _runs_of(spread, rows.slice(start, end - start), length, _seen_twice)
                 start = end
 
         for batch in batches:
@@ -92,19 +99,56 @@ def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratc
     if not common.take(1):
         return found
 
+    # Of these, rows whose windows are all the same as another's are settled together; one of them stands for them below.
+    def named(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(i, batch_rows)
+                ids, _ = spread(part)
+                yield part.append_column("around_id", pa.array(mix(mix(ids ^ mix(np.arange(ids.shape[1], dtype=U))).sum(axis=1, dtype=U)).view(np.int64)))
+
+    many = scratch.save(anchors.join(common, "g", "left_semi").mapInArrow(named, StructType([*anchors.schema.fields, StructField("around_id", LongType())])), "common-anchors")
+    alike = many.groupBy("around_id").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first"))
+    alike = scratch.save(alike, "alike")
+    settled = many.join(alike.where("n > 1").select("around_id"), "around_id", "left_semi").drop("around_id")
+
+    def whole(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_rows):
+                yield from _runs_of(spread, batch.slice(i, batch_rows), length, lambda ids: ids != 0)
+
+    rest = many.join(alike.select("around_id", "first"), "around_id").where(F.struct("d", "h", "at") == F.col("first")).drop("around_id", "first")
+    rest = scratch.save(rest, "distinct-anchors")
+
+    def window_keys(part):
+        ids, before = spread(part)
+        row, column = np.nonzero(ids)
+        return row, np.asarray(part.column("at")).astype(np.int64)[row] - before + column, mix(ids[row, column] ^ mix(column.astype(U)))
+
+    def packed(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_rows):
+                key, n = np.unique(window_keys(batch.slice(i, batch_rows))[2], return_counts=True)
+                got = [*BitIndex.sliced(key), *BitIndex.sliced(key[n > 1])]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
+
+    _, again = BitIndex.built(rest.mapInArrow(packed, "slice int, keys binary"), bits, twice=True)
+    maybe = rest.sparkSession.sparkContext.broadcast(again.words.tobytes())
+
     def windows(batches):
+        again = BitIndex(bits, np.frombuffer(maybe.value, U))
         for batch in batches:
             for i in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(i, batch_rows)
-                ids, before = spread(part)
-                row, column = np.nonzero(ids)
-                at = np.asarray(part.column("at")).astype(np.int64)[row] - before + column
-                key = ids[row, column] ^ mix(column.astype(U))
+                row, at, key = window_keys(part)
+                hit = again.has(key)
+                row, at, key = row[hit], at[hit], key[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(part.column("d"))[row]), pa.array(np.asarray(part.column("h"))[row]), pa.array(at.astype(np.int32))], ["key", "d", "h", "a"])
 
-    rows = scratch.save(anchors.join(common, "g", "left_semi").mapInArrow(windows, "key bigint, d bigint, h bigint, a int"), "windows")
+    rows = scratch.save(rest.mapInArrow(windows, "key bigint, d bigint, h bigint, a int"), "windows")
     twice = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return found.union(rows.join(twice, "key", "left_semi").select("d", "h", "a", (F.col("a") + length).cast("int").alias("b")))
+    partly = rows.join(twice, "key", "left_semi").select("d", "h", "a", (F.col("a") + length).cast("int").alias("b"))
+    return found.union(settled.mapInArrow(whole, INTERVALS)).union(partly)
 
 
 def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, scratch: Scratch, bits: int = 26) -> DataFrame:
@@ -115,6 +159,7 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, s
     spark = docs.sparkSession
     # As many as a row has anchors at most.
     of = scratch.save(intervals.groupBy("d", "h").agg(F.collect_set(F.struct("a", "b")).alias("s")), "intervals")
+    scratch.release()
 
     def keys(batches):
         for b in batches:

@@ -79,9 +79,11 @@ def repeats(docs: DataFrame, length: int, bits: int, scratch: Scratch) -> DataFr
     def keys(batches):
         for batch in batches:
             for _, _, data, at in chunks(batch.column(0)):
-                yield _packed([anchors_of(data, at, length)[1]], True)
+                # Anchors have small hashes; the index needs keys that are spread.
+                yield _packed([mix(anchors_of(data, at, length)[1])], True)
 
     _, again = BitIndex.built(docs.select("text").mapInArrow(keys, KEYS), bits, twice=True)
+    scratch.release()
     shared = docs.sparkSession.sparkContext.broadcast(again.words.tobytes())
 
     def anchors(batches):
@@ -90,7 +92,7 @@ def repeats(docs: DataFrame, length: int, bits: int, scratch: Scratch) -> DataFr
             d, h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             for i, _, data, at in chunks(batch.column(0)):
                 place, bucket = anchors_of(data, at, length)
-                hit = again.has(bucket)
+                hit = again.has(mix(bucket))
                 place, bucket = place[hit], bucket[hit]
                 row = np.searchsorted(at, place, "right") - 1
                 first, stop = np.maximum(at[row], place - before), np.minimum(at[row + 1], place + length)
