@@ -22,10 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of fewer rows between Spark and Python than by default: texts are long, and each copy of a batch takes memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Names the tables of one operator call, and removes those no longer read."""
 
     def __init__(self, spark: SparkSession, what: str):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/timeloom/{what}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numeric import BitIndex, U, Words, chunks, grams, mix
+from ._store import small_batches
 
 INDEX_BITS = 24
 
@@ -79,6 +80,7 @@ class ItemIndex:
 
 def item_blocks(items: DataFrame, item_id: str, text: str, k: int, percent: int, block_bytes: int):
     """Indexes over blocks of the items, of about ``block_bytes`` of text each; the driver holds one at a time."""
+    small_batches(items.sparkSession)
     only = items.select(items[item_id].cast("bigint").alias("item_id"), items[text].cast("string").alias("text")).where("text is not null")
     total = only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

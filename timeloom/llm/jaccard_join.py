@@ -216,13 +216,22 @@ def common_shingles(docs: DataFrame, k: int, least: int = 64, most: int = 100_00
     """
 
     def count(batches):
+        def some(held):
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_long(s[n > 3])), pa.array(n[n > 3].astype(np.int64))], ["s", "n"])
+
+        held, size = [], 0
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0), 8 << 20):
+            for _, _, data, at in chunks(batch.column(0)):
                 words = Words(data, at, lower=True)
                 g = grams(words.hashes(), k)
-                s, n = np.unique(mix(g[np.arange(len(g)) + k <= words.stop()[: len(g)]] ^ U(k)), return_counts=True)
-                some = n > 3
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(s[some])), pa.array(n[some].astype(np.int64))], ["s", "n"])
+                held.append(mix(g[np.arange(len(g)) + k <= words.stop()[: len(g)]] ^ U(k)))
+                size += len(held[-1])
+                if size > 1_200_000:
+                    yield some(held)
+                    held, size = [], 0
+        if held:
+            yield some(held)
 
     counts = docs.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bits = np.zeros(1 << (COMMON_BITS - 6), U)
@@ -250,7 +259,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     def keys(batches):
         late = BitIndex(COMMON_BITS, np.frombuffer(frequent.value, U))
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0), 1 << 22):
+            for _, _, data, at in chunks(batch.column(0)):
                 known, each = set(), []
                 for s in shingle_sets(Words(data, at, lower=True), k):
                     if len(s) and (c := (len(s), int(s.sum(dtype=U)))) not in known:  # equal sets count once

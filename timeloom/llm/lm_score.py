@@ -46,10 +46,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(w, n): hash and count of each word of the text column, the first."""
 
     def count(batches):
+        def some(held):
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+
+        held, size = [], 0
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0), 8 << 20):
-                w, n = np.unique(Words(data, at, lower=True).hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+            for _, _, data, at in chunks(batch.column(0)):
+                held.append(Words(data, at, lower=True).hashes())
+                size += len(held[-1])
+                if size > 1_500_000:
+                    yield some(held)
+                    held, size = [], 0
+        if held:
+            yield some(held)
 
     return docs.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -90,7 +100,7 @@ def _score_slice(rows: list[dict], least: int):
             yield _parts(d[of], h[of], np.frombuffer(r["word"], np.int64)[used], -np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 2, common: int = 1 << 21, slice_pairs: int = 3_000_000) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 2, common: int = 1 << 21, slice_pairs: int = 2_000_000) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) of each row, rounded to 4 decimals.
 
     A null or empty text has 0 words and null scores. Repeated rows count as often as they are there, and each gets its row.
@@ -119,7 +129,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
         word, log = np.frombuffer(known.value[0], U), np.frombuffer(known.value[1], float)
         for batch in batches:
             all_d, all_h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for i, j, data, at in chunks(batch.column(0), 4 << 20):
+            for i, j, data, at in chunks(batch.column(0)):
                 t = Words(data, at, lower=True)
                 h = t.hashes()
                 distinct, inverse = np.unique(h, return_inverse=True)

@@ -39,7 +39,10 @@ MAGIC = b"RPB1"
 class WordTable:
     """Ids of words by hash; forgets all beyond ``most`` words."""
 
-    def __init__(self, file: str, most: int = 1_500_000):
+    #: Stands between words that are encoded in one go, as a token of its own.
+    MARK = "\u2402"
+
+    def __init__(self, file: str, most: int = 3_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,25 +52,46 @@ class WordTable:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.uint16)
+        self.stops = np.zeros(128, np.uint16)
+        for c in ",.":
+            (self.stops[ord(c)],) = self.tokenizer.encode(c, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.start, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.hash, self.start, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many of each): many words a call where the mark between them is found again, else one."""
+        n = len(self.mark)
+        got = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint16)
+        at = np.flatnonzero(got[: len(got) - n + 1] == self.mark[0])
+        for i in range(1, n):
+            at = at[got[at + i] == self.mark[i]]
+        if len(at) == len(words) - 1 and (np.diff(at) > n).all() and not any(self.MARK in w for w in words):
+            keep = np.ones(len(got), bool)
+            keep[(at[:, None] + np.arange(n)).ravel()] = False
+            return got[keep], np.diff(np.concatenate(([-n], at, [len(got)]))) - n
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint16), np.array([len(x) for x in each])
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hash) + len(words) > self.most:
-            self.clear()
-        ids = [np.array(e.ids, np.uint16) for i in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], np.int64)
-        start = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, *ids])
+        parts = [self._ids(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+        count = np.concatenate([n for _, n in parts]).astype(np.uint32)
+        start = (len(self.pool) + np.cumsum(count, dtype=np.int64) - count).astype(np.uint32)
+        self.pool = np.concatenate([self.pool, *[x for x, _ in parts]])
         merged = np.concatenate([self.hash, hashes])
         order = np.argsort(merged, kind="stable")
         self.hash, self.start, self.count = merged[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many of each), END_ID after each text."""
-        words = Words(data, offsets)
+        # Letters count in lower case, and a comma or full stop after one is a token of its own: fewer words to know.
+        words = Words(data, offsets, lower=True)
+        last, before = words.data[words.end - 1], words.data[np.maximum(words.end - 2, 0)]
+        mark = np.where((words.end - words.start > 1) & (before >= 97) & (before <= 122), last, 0)
+        marked = (mark == 44) | (mark == 46)
+        words.end = words.end - marked
         distinct, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hash, distinct)
         known = at < len(self.hash)
@@ -77,16 +101,18 @@ class WordTable:
                 self.clear()
                 known[:] = False
             new = first[~known]
-            raw = data.tobytes()
+            raw = words.data.tobytes()
             self.add(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
             at = np.searchsorted(self.hash, distinct)
         at = at[inverse]
-        count = self.count[at]
-        total = np.concatenate(([0], np.cumsum(count)))
+        count = self.count[at].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(count + marked)))
         per_text = np.diff(total[words.at])
         out = np.full(int(total[-1]) + len(per_text), END_ID, np.uint16)
-        text_of = np.repeat(np.arange(len(per_text)), per_text)
-        out[np.arange(int(total[-1])) + text_of] = self.pool[ranges(self.start[at], count)]
+        # A word's ids go behind those of the words before it and the end ids of the texts before it.
+        to = total[:-1] + np.repeat(np.arange(len(per_text)), words.count)
+        out[ranges(to, count)] = self.pool[ranges(self.start[at].astype(np.int64), count)]
+        out[(to + count)[marked]] = self.stops[mark[marked]]
         return out, per_text + 1
 
 
@@ -229,7 +255,7 @@ def write_blocks(docs: DataFrame, file: str, scratch: Scratch, doc_id: str = "do
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, data, at in chunks(batch.column(1), 4 << 20):
+            for i, j, data, at in chunks(batch.column(1)):
                 held.append((ids[i:j], *table.encode(data, at)))
                 size += len(data) + 64 * (j - i)
                 if size >= block_bytes:

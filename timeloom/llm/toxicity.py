@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numeric import BASES, U, Words, chunks, mix, powers
+from ._store import small_batches
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -140,6 +141,7 @@ def graded(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
 
 def fit_toxicity(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000, bits: int = BITS) -> OrdinalModel:
     """A model from the ``sample`` rows of ``grades`` (doc_id, grade) with the smallest id hashes that have a document."""
+    small_batches(docs.sparkSession)
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     only = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = only.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
@@ -160,6 +162,7 @@ def scored(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: s
     A null or empty text has no features and gets the lowest grade. Each repeated row gets its own result row;
     an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -172,6 +175,7 @@ def scored(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: s
 
 def not_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = 0.2) -> DataFrame:
     """The rows of ``docs``, all columns, of a severity below ``reject``."""
+    small_batches(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
