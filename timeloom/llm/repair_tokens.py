@@ -42,7 +42,7 @@ class WordTable:
     #: Stands between words that are encoded in one go, as a token of its own.
     MARK = "\u2402"
 
-    def __init__(self, file: str, most: int = 3_000_000):
+    def __init__(self, file: str, most: int = 2_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
