@@ -10,7 +10,7 @@ c(w) / N. A text's score is the sum of log S over its words, with counts over al
   counts to the same pairs at once, so count table and exploded pairs move together, once. Slices hold about ``slice_pairs``
   pairs; a common pair is counted once for each text and place in it, and a slice's memory doesn't depend on what it is.
 * Counts of other words are joined to the few places that need them.
-* All parts are summed by text.
+* What slices add is summed by chunk of texts, in which the places of its texts are known.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from ._numeric import U, Words, chunks, mix, pair
 from ._repeats import NO_ID, keyed
 from ._store import Scratch
 
-PAIRS = "slice int, d binary, h binary, n binary, key binary, gain binary, place binary, word binary, base binary, words binary, rare_of binary, rare binary"
-PARTS = "d bigint, h bigint, w bigint, value double, words bigint, texts bigint"
+PAIRS = "slice int, chunk bigint, of binary, n binary, key binary, gain binary, place binary, word binary, place_d binary, place_h binary, d binary, h binary, base binary, words binary"
+#: Of a chunk of texts: what a slice adds to some of them, or who they are; and places that need the counts of rare words.
+SUMS = "chunk bigint, of binary, value binary, d binary, h binary, words binary, rare_d binary, rare_h binary, rare binary, rare_times double"
+PARTS = "d bigint, h bigint, value double, words bigint, texts bigint"
 #: Gains are fixed-point numbers of 40 bits from -GAIN_FLOOR on.
 GAIN_FLOOR, GAIN_UNIT = 64.0, float(1 << 33)
 
@@ -64,40 +67,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def _parts(d, h, w, value, words, texts) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((d, h, w, value, words, texts), kinds, strict=True)], ["d", "h", "w", "value", "words", "texts"])
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [name for name, _ in fields])
 
 
 def _score_slice(rows: list[dict], least: int):
-    """Parts from all rows of one slice."""
-    keys = [_unpack(r["key"], 6) for r in rows]
-    sizes = np.array([len(k) for k in keys])
-    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    count = count[inverse]
-    hits, logs, at = count >= least, np.log(count), np.concatenate(([0], np.cumsum(sizes)))
-    for r, lo, hi in zip(rows, at[:-1].tolist(), at[1:].tolist(), strict=True):
-        d, h = np.frombuffer(r["d"], np.int64), np.frombuffer(r["h"], np.int64)
-        if r["base"] is not None:
-            of = np.frombuffer(r["rare_of"], np.uint32).astype(np.int64)
-            yield _parts(d, h, [None] * len(d), np.frombuffer(r["base"], float), np.frombuffer(r["words"], np.int64), np.ones(len(d), np.int64))
-            if len(of):
-                yield _parts(d[of], h[of], np.frombuffer(r["rare"], np.int64), np.ones(len(of)), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64))
-            continue
-        hit = hits[lo:hi]
-        gain = np.where(hit, _unpack(r["gain"], 5) / GAIN_UNIT - GAIN_FLOOR + logs[lo:hi], 0.0)
-        text = np.repeat(np.arange(len(d)), np.frombuffer(r["n"], np.uint32))
-        total = np.bincount(text, weights=gain, minlength=len(d))
-        some = np.bincount(text, weights=hit, minlength=len(d)) > 0
-        n = int(some.sum())
-        if n:
-            yield _parts(d[some], h[some], [None] * n, total[some], np.zeros(n, np.int64), np.zeros(n, np.int64))
-        place = np.frombuffer(r["place"], np.uint32).astype(np.int64)
-        used = hit[place]
-        n = int(used.sum())
-        if n:
-            of = text[place[used]]
-            yield _parts(d[of], h[of], np.frombuffer(r["word"], np.int64)[used], -np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
+    """Sums from all rows of one slice."""
+    out = [(r["chunk"], None, r["base"], r["d"], r["h"], r["words"], r["place_d"], r["place_h"], r["word"], 1.0) for r in rows if r["base"] is not None]
+    rows = [r for r in rows if r["base"] is None]
+    if rows:
+        keys = [_unpack(r["key"], 6) for r in rows]
+        at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        count = count[inverse]
+        hits, logs = count >= least, np.log(count)
+        for r, lo, hi in zip(rows, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            hit, n = hits[lo:hi], np.frombuffer(r["n"], np.uint32)
+            gain = np.where(hit, _unpack(r["gain"], 5) / GAIN_UNIT - GAIN_FLOOR + logs[lo:hi], 0.0)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=gain, minlength=len(n))
+            some = total != 0
+            used = hit[np.frombuffer(r["place"], np.uint32).astype(np.int64)]
+            rare = [np.frombuffer(r[k], np.int64)[used].tobytes() for k in ("place_d", "place_h", "word")]
+            out.append((r["chunk"], np.frombuffer(r["of"], np.uint32)[some].tobytes(), total[some].tobytes(), None, None, None, *rare, -1.0))
+    yield _batch(SUMS, out)
+
+
+def _added(batches):
+    """For mapInArrow over sums sorted by chunk: (d, h, value, words, texts) of each text."""
+
+    def out(rows):
+        who = next(r for r in rows if r["of"] is None)
+        value = np.frombuffer(who["value"], float).copy()
+        for r in rows:
+            if r["of"] is not None:
+                value[np.frombuffer(r["of"], np.uint32)] += np.frombuffer(r["value"], float)
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(who["d"], np.int64)), pa.array(np.frombuffer(who["h"], np.int64)), pa.array(value), pa.array(np.frombuffer(who["words"], np.int64)), pa.array(np.ones(len(value), np.int64))], ["d", "h", "value", "words", "texts"])
+
+    held, now = [], None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and r["chunk"] != now:
+                yield out(held)
+                held = []
+            now = r["chunk"]
+            held.append(r)
+    if held:
+        yield out(held)
+
+
+def _rare(batches):
+    for batch in batches:
+        for d, h, w, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if w:
+                n = len(w) // 8
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.frombuffer(x, np.int64)) for x in (d, h, w)], pa.array(np.full(n, times))], ["d", "h", "w", "value"])
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 2, common: int = 1 << 21, slice_pairs: int = 2_000_000) -> DataFrame:
@@ -127,6 +152,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
 
     def dealt(batches):
         word, log = np.frombuffer(known.value[0], U), np.frombuffer(known.value[1], float)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             all_d, all_h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             for i, j, data, at in chunks(batch.column(0)):
@@ -142,8 +168,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
                 text_of = np.repeat(np.arange(j - i), t.count)
                 base = np.bincount(text_of, weights=c - whole + back, minlength=j - i) - np.where(t.count > 0, back, 0.0)
                 d, hh = all_d[i:j], all_h[i:j]
-                empty = b""
-                out = [(int(hh[0] % slices), d.tobytes(), hh.tobytes(), empty, empty, empty, empty, empty, base.tobytes(), t.count.astype(np.int64).tobytes(), text_of[rare].astype(np.uint32).tobytes(), h[rare].tobytes())]
+                chunk += 1
+                none = (None,) * 4
+                out = [(int(hh[0] % slices), chunk, None, None, None, None, None, h[rare].tobytes(), d[text_of[rare]].tobytes(), hh[text_of[rare]].tobytes(), d.tobytes(), hh.tobytes(), base.tobytes(), t.count.astype(np.int64).tobytes())]
                 if len(h) > 1:
                     at_pair = np.flatnonzero(text_of[1:] == text_of[:-1])
                     key = mix(pair(h[at_pair], h[at_pair + 1]))
@@ -157,8 +184,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
                         first, second = rare[at_pair[own]], rare[at_pair[own] + 1]
                         where = np.concatenate((np.flatnonzero(first), np.flatnonzero(second))).astype(np.uint32)
                         which = np.concatenate((h[at_pair[own]][first], h[at_pair[own] + 1][second]))
-                        out.append((s, d[texts].tobytes(), hh[texts].tobytes(), n.astype(np.uint32).tobytes(), _pack(key[own], 6), _pack(gain[own], 5), where.tobytes(), which.tobytes(), None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32())] + [pa.array([x[k] for x in out], pa.binary()) for k in range(1, 12)], [f.split()[0] for f in PAIRS.split(", ")])
+                        of = text_of[at_pair[own]][where]
+                        out.append((s, chunk, texts.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), _pack(key[own], 6), _pack(gain[own], 5), where.tobytes(), which.tobytes(), d[of].tobytes(), hh[of].tobytes(), *none))
+                yield _batch(PAIRS, out)
 
     def joined(batches):
         held, now = [], None
@@ -175,9 +203,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
     # Slices are dealt by number, one after the other, so that partitions get like many.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.select("text", "d", "h").mapInArrow(dealt, PAIRS)
-    found = scratch.save(packed.repartition(max(parts, slices), "slice").sortWithinPartitions("slice").mapInArrow(joined, PARTS), "parts")
-    sums = found.where("w is null").groupBy("d", "h").agg(F.sum("value").alias("value"), F.sum("words").alias("words"), F.sum("texts").alias("texts"))
-    rare = found.where("w is not null").groupBy("w", "d", "h").agg(F.sum("value").alias("times")).where("times <> 0").join(words, "w")
+    found = scratch.save(packed.repartition(max(parts, slices), "slice").sortWithinPartitions("slice").mapInArrow(joined, SUMS), "sums")
+    scratch.release()
+    texts = found.select("chunk", "of", "value", "d", "h", "words").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_added, PARTS)
+    sums = texts.groupBy("d", "h").agg(F.sum("value").alias("value"), F.sum("words").alias("words"), F.sum("texts").alias("texts"))
+    rare = found.select("rare_d", "rare_h", "rare", "rare_times").mapInArrow(_rare, "d bigint, h bigint, w bigint, value double")
+    rare = rare.groupBy("w", "d", "h").agg(F.sum("value").alias("times")).where("times <> 0").join(words, "w")
     rare = rare.groupBy("d", "h").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
     result = sums.join(rare, ["d", "h"], "left").withColumn("score", (F.col("value") + F.coalesce("more", F.lit(0.0))) / F.col("texts")).withColumn("n_words", (F.col("words") / F.col("texts")).cast("bigint"))
     result = result.withColumn("each", F.explode(F.array_repeat(F.lit(1), F.col("texts").cast("int"))))
