@@ -112,6 +112,9 @@ def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str
 
     depth = int(min(max_depth, max(0, np.ceil(np.log2(max(1, n / leaf))))))
     forest = spark.sparkContext.broadcast(Forest(lifted(np.stack(fit.to_list())), trees, depth, seed))
+    # Neighbouring leaves meet in one group, 8 a tree unless leaves are too many for groups of 2**8; a query then has a bounded
+    # number of partial results however many leaves it visits.
+    together = max(0, min(depth - 3, 8))
     wanted = max(share, least / n) if n else 1.0
 
     def matrix(column) -> np.ndarray:
@@ -143,17 +146,26 @@ def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str
         if not len(left) or not len(right):
             return out
         v, ids = np.frombuffer(b"".join(right["v"]), float).reshape(len(right), -1), right["entry"].to_numpy()
-        parts = []
-        for i in range(0, len(left), 512):  # blocks of queries keep the product small
-            q = np.frombuffer(b"".join(left["v"].iloc[i : i + 512]), float).reshape(-1, v.shape[1])
-            score = q @ v.T
-            some = min(k + 1, len(right))
-            least_kept = np.partition(score, -some, axis=1)[:, -some]
-            at, col = np.nonzero(score >= least_kept[:, None])
-            parts.append(pd.DataFrame({"query": left["entry"].to_numpy()[i + at], "entry": ids[col], "score": score[at, col]}))
-        return pd.concat(parts)
-
-    met = distinct.mapInArrow(walk, kinds).groupBy("tree", "leaf").cogroup(index.select("v", "entry").mapInArrow(deal, kinds).groupBy("tree", "leaf")).applyInPandas(meet, "query bigint, entry bigint, score double")
+        parts, of = [], right["leaf"].to_numpy()
+        for leaf_no, asking in left.groupby("leaf"):
+            own = np.flatnonzero(of == leaf_no)
+            if not len(own):
+                continue
+            names = asking["entry"].to_numpy()
+            for i in range(0, len(asking), 512):  # blocks of queries keep the product small
+                q = np.frombuffer(b"".join(asking["v"].iloc[i : i + 512]), float).reshape(-1, v.shape[1])
+                score = q @ v[own].T
+                some = min(k + 1, len(own))
+                least_kept = np.partition(score, -some, axis=1)[:, -some]
+                at, col = np.nonzero(score >= least_kept[:, None])
+                parts.append(pd.DataFrame({"query": names[i + at], "entry": ids[own[col]], "score": score[at, col]}))
+        if not parts:
+            return out
+        best = pd.concat(parts).sort_values(["query", "score", "entry"], ascending=[True, False, True])
+        return best.groupby("query").head(k + 1)
+
+    near = F.shiftright("leaf", together)
+    met = distinct.mapInArrow(walk, kinds).groupBy("tree", near).cogroup(index.select("v", "entry").mapInArrow(deal, kinds).groupBy("tree", near)).applyInPandas(meet, "query bigint, entry bigint, score double")
     best = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 1)
     answers = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).join(best.join(index.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id")), "query").where("vec_id <> query_id")
