@@ -295,6 +295,22 @@ def test_word_table():
             assert ids[stop[k - i] - n[k - i] : stop[k - i]].tolist() == [*table.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 2]
 
 
+def test_word_table_case():
+    """Reserved ids are found in the text as it is, and letters are composed with marks before their case is lowered."""
+    table = repair_tokens.WordTable(vocabulary())
+    import pyarrow as pa
+    from timeloom.llm._numeric import chunks
+
+    reserved = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>, <|STARTOFTEXT|>. <|endoftext|>", "<|Im_Start|> <A, <|ABC <|"]
+    marks = ["H\u0331 J\u030cA. T\u0308, W\u030a xY\u030aZ h\u0331 E\u0301", "\u00c9A, \u0130B. \u212a \u03a3A\u03a3 STRASSE, ABC."]
+    texts = [*reserved, *marks, "", None, "ABC abc Abc, ABC."]
+    for i, j, data, at in chunks(pa.array(texts)):
+        ids, n = table.encode(data, at)
+        stop = np.cumsum(n)
+        for k in range(i, j):
+            assert ids[stop[k - i] - n[k - i] : stop[k - i]].tolist() == [*table.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 2], texts[k]
+
+
 def test_scores(docs, none):
     words = [WORD.findall(lower(t or "")) for _, t, *_ in ROWS]
     one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))

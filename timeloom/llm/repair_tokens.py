@@ -56,6 +56,9 @@ class WordTable:
         self.stops = np.zeros(128, np.uint16)
         for c in ",.":
             (self.stops[ord(c)],) = self.tokenizer.encode(c, add_special_tokens=False).ids
+        # Bytes of words whose case may matter: reserved ids are found in the text as it is, and marks are composed before case.
+        self.cased = np.arange(256) >= 128
+        self.cased[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -88,6 +91,9 @@ class WordTable:
         """(ids of all texts, how many of each), END_ID after each text."""
         # Letters count in lower case, and a comma or full stop after one is a token of its own: fewer words to know.
         words = Words(data, offsets, lower=True)
+        kept = np.unique(np.searchsorted(words.start, np.flatnonzero(self.cased[data]), "right") - 1)
+        kept = ranges(words.start[kept], words.end[kept] - words.start[kept])
+        words.data[kept] = data[kept]
         last, before = words.data[words.end - 1], words.data[np.maximum(words.end - 2, 0)]
         mark = np.where((words.end - words.start > 1) & (before >= 97) & (before <= 122), last, 0)
         marked = (mark == 44) | (mark == 46)
