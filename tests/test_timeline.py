@@ -192,6 +192,20 @@ def test_engine(spark, folder):
     assert build_timeline(spark, str(folder), max_size=0, context=NOW).events.count() == 0
 
 
+def test_large_files(spark, tmp_path):
+    """Files of any size are listed, and those that can't be read are errors."""
+    (tmp_path / "syslog").write_text("<1>2024-01-01T00:00:00Z h p: m\n")
+    for name in ("big.log", "big.json"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate((2 << 30) + 1)
+    t = build_timeline(spark, str(tmp_path), only={"syslog", "json"}, context=NOW)
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert {name(r): r.error is None for r in t.files.collect()} == {"syslog": True, "big.log": True, "big.json": False}
+    assert [name(r) for r in t.errors.collect()] == ["big.json"] and t.events.count() == 1
+    t = build_timeline(spark, str(tmp_path), max_size=2 << 30, context=NOW)
+    assert {name(r) for r in t.errors.collect()} == {"big.log", "big.json"} and t.files.count() == 3 and t.events.count() == 1
+
+
 def test_sinks(spark, folder, tmp_path):
     events = build_timeline(spark, str(folder / "access.log"), context=NOW, ordered=True).events
     writers.single_file(writers.write_csv, events, str(tmp_path / "o.csv"))

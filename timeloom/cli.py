@@ -19,12 +19,13 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", default="jsonl", choices=["csv", "jsonl", "sqlite", "parquet"])
     p.add_argument("--filter", help="keep events whose user, host, message or source matches")
     p.add_argument("--only", action="append", help="parser to use; may be repeated")
+    p.add_argument("--max-size", type=int, help="bytes above which files are skipped and reported; all are read by default")
     p.add_argument("--reference-time", type=datetime.fromisoformat, help="what formats without a date or year take for now")
     p.add_argument("--compat", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("timeloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = a.reference_time or datetime.now(timezone.utc)
-    timeline = build_timeline(spark, *a.input, pattern=a.filter, context=Context(now if now.tzinfo else now.replace(tzinfo=timezone.utc), a.compat), only=set(a.only) if a.only else None)
+    timeline = build_timeline(spark, *a.input, pattern=a.filter, context=Context(now if now.tzinfo else now.replace(tzinfo=timezone.utc), a.compat), only=set(a.only) if a.only else None, max_size=a.max_size)
     sink(a.format)(timeline.events, a.output)
     for r in timeline.errors.toLocalIterator():
         print(f"{r.path}: {r.error}")

@@ -18,7 +18,8 @@ from ..sources.manifest import manifest
 from ..sources.sqlite import read_history
 from ..sources.whole import read_texts
 
-MAX_FILE_SIZE = 2 << 30
+#: Bytes that one row can hold.
+MAX_WHOLE = (1 << 31) - 16
 Parser = Callable[[SparkSession, list[str], Context], DataFrame]
 
 
@@ -31,7 +32,7 @@ def _texts(parse) -> Parser:
 
 
 def _sysmon(spark: SparkSession, paths: list[str], ctx: Context) -> DataFrame:
-    texts = read_texts(spark, paths)
+    texts = read_texts(spark, paths, MAX_WHOLE)  # events stream from files of any size
     is_config = F.col("text").rlike(r"<Sysmon[\s>]")
     config = xml_logs.monitor_config(texts.where(is_config), ctx)
     return config.union(xml_logs.monitor_events(xml_logs.read_events(spark, paths), ctx))
@@ -66,6 +67,8 @@ PARSERS: dict[str, Parser] = {
 }
 #: Formats that are recognised and have no parser.
 UNSUPPORTED = ("prefetch", "shellbags")
+#: Parsers that hold a file in one row.
+WHOLE = ("json", "cloudtrail", "azure", "gcp", "scheduled_task", "generic_xml", "browser_chrome", "browser_firefox", "browser_safari", "evtx")
 
 
 @dataclass
@@ -75,10 +78,11 @@ class Timeline:
     errors: DataFrame
 
 
-def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None, context: Context | None = None, only: set[str] | None = None, max_size: int | None = MAX_FILE_SIZE, ordered: bool = False) -> Timeline:
+def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None, context: Context | None = None, only: set[str] | None = None, max_size: int | None = None, ordered: bool = False) -> Timeline:
     """The events of all files at or below ``inputs``, which files there are, and what went wrong with them.
 
-    ``only``: names of parsers; files of others aren't read at all. ``ordered``: by time, source and number.
+    ``only``: names of parsers; files of others aren't read at all. ``ordered``: by time, source and number. ``max_size``: larger
+    files are only listed, with an error.
     """
     context = context or Context()
     if pattern:
@@ -88,6 +92,8 @@ def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None
     kept = []
     for r in files.collect():
         error = r.error or (f"{r.parser} files can't be parsed" if r.parser in UNSUPPORTED else None)
+        if error is None and r.parser in WHOLE and r.size > MAX_WHOLE:
+            error = f"{r.size} bytes are more than the {MAX_WHOLE} that a {r.parser} file can have"
         kept.append((r.path, r.size, r.modified, r.parser, error))
         if error is None and (only is None or r.parser in only):
             by[r.parser].append(r.path)

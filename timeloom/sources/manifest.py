@@ -42,9 +42,9 @@ def _head(spark: SparkSession, path: str) -> tuple[str, list[str], str | None]:
 
 
 def manifest(spark: SparkSession, *inputs: str, max_size: int | None = None, threads: int = 32) -> DataFrame:
-    """The files with their heads. Those above ``max_size`` bytes are left out, whichever way they were named."""
-    files = list_files(spark, *inputs)
-    rows = (files if max_size is None else files.where(F.col("size") <= max_size)).collect()
+    """The files with their heads. Those above ``max_size`` bytes have that as their error, whichever way they were named."""
+    rows = list_files(spark, *inputs).collect()
     with ThreadPoolExecutor(threads) as pool:
         heads = list(pool.map(lambda r: _head(spark, r.path), rows))
-    return spark.createDataFrame([(r.path, r.size, r.modified, *h) for r, h in zip(rows, heads, strict=True)], MANIFEST)
+    over = lambda r: None if max_size is None or r.size <= max_size else f"skipped: {r.size} bytes are more than {max_size}"
+    return spark.createDataFrame([(r.path, r.size, r.modified, head, lines, error or over(r)) for r, (head, lines, error) in zip(rows, heads, strict=True)], MANIFEST)
