@@ -461,6 +461,15 @@ def route_files(spark, sf):
     return rows.select("page_id", "path", routing.route("path", F.lit(""), F.array().cast("array<string>")).alias("parser"))
 
 
+# Beside route_files: every page, by the tail of its url and by each path in a folder of that name.
+@query("""SELECT page_id, tail AS path, CASE WHEN regexp_extract(tail, '[^/]*$') LIKE '%4104%' THEN 'script_block' ELSE 'log' END AS parser FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS tail FROM pages)
+UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) || v.path, v.parser FROM pages, (VALUES """ + ", ".join(f"('{p}', '{r}')" for p, r in _ROUTES) + ") v(path, parser)")
+def route_pages(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1).alias("tail"))
+    rows = pages.select("page_id", F.explode(F.array("tail", *[_s(F.col("tail"), p) for p, _ in _ROUTES])).alias("path"))
+    return rows.select("page_id", "path", routing.route("path", F.lit(""), F.array().cast("array<string>")).alias("parser"))
+
+
 _UNION_SQL = f"({_WEB_SQL}) UNION ALL (" + ORACLES["syslog_5424_parse"] + ") UNION ALL (" + ORACLES["windows_text_parse"] + ") UNION ALL (" + ORACLES["winfirewall_parse"] + ")"
 
 
