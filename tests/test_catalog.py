@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from timeloom.operators import xml_logs
 from timeloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,10 @@ def table(spark, name):
 def test_route_pages(spark):
     rows = compared(spark, "route_pages")
     assert Counter(r[0] for r in rows) == {r.page_id: 1 + len(catalog._ROUTES) for r in table(spark, "pages").collect()}
+
+
+def test_sysmon_names(spark):
+    parts, events = compared(spark, "sysmon_type_names"), compared(spark, "sysmon_all_events")
+    assert len(parts) == table(spark, "part").count() and len(events) == table(spark, "orders").count()
+    kinds = {k for _, k in parts} | {r[1] for r in events}
+    assert {f"Sysmon:{n}" for n in xml_logs.MONITOR_EVENTS.values()} <= kinds

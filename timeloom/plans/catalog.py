@@ -370,6 +370,21 @@ def sysmon_parse(spark, sf):
     return said(xml_logs.monitor_events(xml_logs.events_in(_event_xml(spark, sf, "Microsoft-Windows-Sysmon")), CTX)).where("event_id > 255")
 
 
+# Beside sysmon_type_map and sysmon_parse: all parts and all orders, by a list of names of its own.
+_MONITOR_SQL = """(VALUES (1, 'ProcessCreate'), (2, 'FileCreateTime'), (3, 'NetworkConnect'), (4, 'ServiceStateChange'), (5, 'ProcessTerminate'), (6, 'DriverLoad'), (7, 'ImageLoad'), (8, 'CreateRemoteThread'), (9, 'RawAccessRead'), (10, 'ProcessAccess'), (11, 'FileCreate'), (12, 'RegistryCreate'), (13, 'RegistrySetValue'), (14, 'RegistryRename'), (15, 'FileCreateStreamHash'),
+(16, 'ConfigChange'), (17, 'PipeCreated'), (18, 'PipeConnected'), (19, 'WmiFilter'), (20, 'WmiConsumer'), (21, 'WmiBinding'), (22, 'DnsQuery'), (23, 'FileDelete'), (24, 'ClipboardChange'), (25, 'ProcessTampering'), (26, 'FileDeleteDetected'), (27, 'FileBlockExecutable'), (28, 'FileBlockShredding'), (255, 'Error')) n(id, name)"""
+
+
+@query(f"SELECT p_partkey, 'Sysmon:' || coalesce(name, 'Event' || p_size) AS kind FROM part LEFT JOIN {_MONITOR_SQL} ON p_size = id")
+def sysmon_type_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", xml_logs.monitor_type(F.col("p_size")).alias("kind"))
+
+
+@query(f"""SELECT epoch_us(o_orderdate) + 500000 AS ts_us, 'Sysmon:' || coalesce(name, 'Event' || o_orderkey) AS event_type, o_orderkey AS event_id, o_orderstatus AS "user", 'c' || o_custkey AS host, 'User=' || o_orderstatus || ' | Image=' || repeat('i', 147) || '...' AS message FROM orders LEFT JOIN {_MONITOR_SQL} ON o_orderkey = id""")
+def sysmon_all_events(spark, sf):
+    return said(xml_logs.monitor_events(xml_logs.events_in(_event_xml(spark, sf, "Microsoft-Windows-Sysmon")), CTX))
+
+
 @query("""WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, list(struct_pack(n := l_linenumber, p := l_partkey) ORDER BY l_linenumber, l_partkey) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
 SELECT epoch_us(d) AS ts_us, 'ScheduledTask:Registration' AS event_type, 0 AS event_id, 'a' || k AS "user", '' AS host, 'URI: /t' || k || ' | Author: a' || k || ' | Enabled: true' AS message FROM t
 UNION ALL SELECT epoch_us(d), 'ScheduledTask:Action', i, 'a' || k, '', 'Task: /t' || k || ' | Command: c' || x[i].p FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM t)
