@@ -39,3 +39,8 @@ def test_sysmon_names(spark):
     assert len(parts) == table(spark, "part").count() and len(events) == table(spark, "orders").count()
     kinds = {k for _, k in parts} | {r[1] for r in events}
     assert {f"Sysmon:{n}" for n in xml_logs.MONITOR_EVENTS.values()} <= kinds
+
+
+def test_web_raw_lines(spark):
+    rows = compared(spark, "web_raw_lines")
+    assert len(rows) == sum(x.strip() != "" for r in table(spark, "documents").collect() for x in (r.text or "").split("\n"))

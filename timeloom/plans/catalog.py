@@ -86,6 +86,14 @@ def web_raw_fallback(spark, sf):
     return said(text_logs.web_access(lines(d, F.col("t"), "doc_id", "/logs/access.log"), CTX))
 
 
+# Beside web_raw_fallback: every line of every document.
+@query("""SELECT CAST(NULL AS BIGINT) AS ts_us, 'WebAccessRaw' AS event_type, CAST(i AS BIGINT) AS event_id, '' AS "user", '' AS host, rtrim(l, chr(13)) AS message, '/logs/' || doc_id || '/access.log' AS path
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(l) <> ''""")
+def web_raw_lines(spark, sf):
+    d = table(spark, sf, "documents").select(_s("/logs/", F.col("doc_id").cast("string"), "/access.log").alias("path"), "text")
+    return said(text_logs.web_access(lines_of(d), CTX), "path")
+
+
 @query(f"SELECT {_E} AS ts_us, 'Syslog' AS event_type, event_id, '' AS \"user\", 'h' || user_id AS host, '[' || event_type || '[' || event_id || ']] value ' || CAST(event_id % 7 AS VARCHAR) AS message FROM events")
 def syslog_5424_parse(spark, sf):
     e = table(spark, sf, "events")
