@@ -295,6 +295,17 @@ def test_word_table():
             assert ids[stop[k - i] - n[k - i] : stop[k - i]].tolist() == [*table.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 2]
 
 
+def test_near_links_of_other_sizes(spark):
+    """Half of a text under shingles of more than ``tile_rows`` texts is found at 50 percent."""
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(base), *[" ".join(base + [f"v{k}x{i}" for i in range(26)]) for k in range(6)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scratch = Scratch(spark, "test")
+    classes = jaccard_join.shingle_classes(rows, percent=50, scratch=scratch).select("doc_id", "c", "n", "bits", "tokens")
+    links = jaccard_join.near_links(rows, scratch.save(classes, "classes"), percent=50, tile_rows=1, block_rows=2, scratch=scratch)
+    assert len({(r.u, r.v) for r in links.collect()}) == 6
+
+
 def test_word_table_case():
     """Reserved ids are found in the text as it is, and letters are composed with marks before their case is lowered."""
     table = repair_tokens.WordTable(vocabulary())

@@ -6,8 +6,8 @@ the most common shingles last. Only texts that share such a shingle meet:
 
 1. the first shingles of all texts go, packed, through fixed-size bit slices; those of one text alone are forgotten;
 2. texts of equal sets become one class; classes that share a shingle meet in a tile. A shingle of more texts than a tile
-   takes has a tile for each band of sizes (a ratio of 1.26) with the next, cut into pairs of blocks of bounded size. There the parity
-   bitmaps' differing bits bound the overlap from above. A tile gives a spanning forest of what passes, not its pairs;
+   takes has a tile for each band of sizes (a ratio a little above 100 / percent) with the next, cut into pairs of blocks of
+   bounded size. There the parity bitmaps' differing bits bound the overlap from above. A tile gives a spanning forest of what passes, not its pairs;
 3. the forests' components are small sets of texts that may be near. In blocks of these, pairs that pass the bitmap bound and
    are not connected yet are intersected exactly as sorted arrays, which again gives a forest;
 4. the components of these exact links are the result.
@@ -28,7 +28,8 @@ from ._numeric import BitIndex, U, Words, as_long, chunks, grams, mix, set_id, s
 from ._store import Scratch
 from .components import connected_components
 
-BAND = 1.26
+#: Ratio of sizes in a band, as a multiple of what ``percent`` allows.
+BAND = 1.008
 COMMON_BITS = 22
 
 
@@ -338,7 +339,7 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 8
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = rows.join(common, "t", "left_anti").repartition(n, "t").sortWithinPartitions("t").mapInArrow(lambda b: near_pairs(b, percent), "u binary, v binary")
     roles = rows.join(common.select("t"), "t").withColumn("role", F.explode(F.array(F.lit(0), F.lit(1))))
-    roles = roles.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int") - F.col("role"))
+    roles = roles.withColumn("band", F.floor(F.log("n") / float(np.log(BAND * 100 / percent))).cast("int") - F.col("role"))
     many = _in_tiles(_tiled(roles, tile_rows, ["c", "n", "bits", "role"]), _links(percent, True, False))
     maybe = scratch.save(few.union(many).distinct(), "maybe")
     scratch.release()
