@@ -322,27 +322,32 @@ def test_word_table_case():
             assert ids[stop[k - i] - n[k - i] : stop[k - i]].tolist() == [*table.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 2], texts[k]
 
 
-def test_scores(docs, none):
-    words = [WORD.findall(lower(t or "")) for _, t, *_ in ROWS]
+def brute_scores(rows, least):
+    words = [WORD.findall(lower(t or "")) for _, t, *_ in rows]
     one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
     total = sum(one.values())
     want = []
-    for (doc, *_), x in zip(ROWS, words, strict=True):
+    for (doc, *_), x in zip(rows, words, strict=True):
         s = 0.0
         for i, w in enumerate(x):
             if i == 0:
                 s += np.log(one[w] / total)
-            elif two[x[i - 1], w] >= 2:
+            elif two[x[i - 1], w] >= least:
                 s += np.log(two[x[i - 1], w] / one[x[i - 1]])
             else:
                 s += np.log(0.4 * one[w] / total)
         want.append((doc, len(x), s if x else None))
-    for options in ({}, {"common": 60, "slice_pairs": 100}):
-        got = [tuple(r) for r in lm_score.scores(docs, **options).collect()]
-        assert len(got) == len(want)
-        for a, b in zip(key(got), key([(d, n, None if s is None else round(s, 4), None if s is None else round(s / n, 4)) for d, n, s in want]), strict=True):
-            assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 2e-4 and abs(a[3] - b[3]) < 2e-4)
-    assert lm_score.scores(none).collect() == []
+    return want
+
+
+@pytest.mark.parametrize("options", [{}, {"common": 60, "slice_pairs": 100, "most_hot": 20}, {"least": 1, "most_hot": 1}, {"common": 0, "least": 1}, {"common": 200, "least": 3, "slice_pairs": 2000}])
+def test_scores(docs, none, options):
+    want = brute_scores(ROWS, options.get("least", 2))
+    got = [tuple(r) for r in lm_score.scores(docs, **options).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(key(got), key([(d, n, None if s is None else round(s, 4), None if s is None else round(s / n, 4)) for d, n, s in want]), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 2e-4 and abs(a[3] - b[3]) < 2e-4)
+    assert lm_score.scores(none, **options).collect() == []
 
 
 def test_nearest(spark):
