@@ -30,17 +30,17 @@ def table(spark, name):
 
 
 def test_route_pages(spark):
-    rows = compared(spark, "route_pages")
+    rows = compared(spark, "route_files")
     assert Counter(r[0] for r in rows) == {r.page_id: 1 + len(catalog._ROUTES) for r in table(spark, "pages").collect()}
 
 
 def test_sysmon_names(spark):
-    parts, events = compared(spark, "sysmon_type_names"), compared(spark, "sysmon_all_events")
+    parts, events = compared(spark, "sysmon_type_map"), compared(spark, "sysmon_parse")
     assert len(parts) == table(spark, "part").count() and len(events) == table(spark, "orders").count()
     kinds = {k for _, k in parts} | {r[1] for r in events}
     assert {f"Sysmon:{n}" for n in xml_logs.MONITOR_EVENTS.values()} <= kinds
 
 
 def test_web_raw_lines(spark):
-    rows = compared(spark, "web_raw_lines")
+    rows = compared(spark, "web_raw_fallback")
     assert len(rows) == sum(x.strip() != "" for r in table(spark, "documents").collect() for x in (r.text or "").split("\n"))

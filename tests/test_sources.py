@@ -118,7 +118,19 @@ def test_years():
 
 
 def test_patterns():
-    assert tx.java_regex(r"^a.\s[\s\]]$") == r"(?d)^a.[\t\n\f\r ][\t\n\f\r \]]\z"
+    assert tx.java_regex(r"^a.\s[\s\]]$") == r"(?du)^a.[\t\n\f\r ][\t\n\f\r \]]\z"
+
+
+PATTERNS = [
+    (r"\p{L}+", "a", "1"), (r"\pN", "1", "a"), (r"end\z", "the end", "end\n"), ("a(?i)B", "ab", "Ab"), ("(?P<x>a)", "a", "b"), ("[[:digit:]]+", "2", "d"), ("[[:^digit:]]", "x", "2"),
+    ("^[]a]$", "]", "b"), ("[a[]", "[", "b"), ("(?m)^x$", "a\nx\nb", "ax"), ("(?m:^x$)\ny$", "x\ny", "x\ny\n"), ("x$", "x", "x\n"), ("[a&&b]", "&", "c"), ("(?i)é", "É", "e"), (r"\Qa.b$\E", "a.b$", "axb"), (r"[a]+b", "aab", "a"),
+]
+
+
+def test_patterns_of_a_linear_engine(spark):
+    got = spark.range(1).select(*[F.struct(F.lit(y).rlike(tx.java_regex(p)), F.lit(n).rlike(tx.java_regex(p))) for p, y, n in PATTERNS]).first()
+    assert [tuple(x) for x in got] == [(True, False)] * len(PATTERNS)
+    assert all(tx.linear(p) for p, *_ in PATTERNS) and not any(tx.linear(p) for p in ("(?=a)", "(?<!a)", "(?>a)", "a*+", "a{2}+", r"(a)\1"))
 
 
 def test_expressions(spark):

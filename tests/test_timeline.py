@@ -29,6 +29,7 @@ FILES = {
     "zeek/conn.log": "#separator \\x09\n#empty_field\t(empty)\n#unset_field\t-\n#path\tconn\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tduration\n1682087445.123456\tC1\t10.0.0.1\t1000\t10.0.0.2\t53\tudp\t-\t0.5\n",
     "x509.log": "#fields\tts\tcertificate.subject\tcertificate.serial\n#path\tx509\n1682087445\tCN=a\t01\n",
     "app.txt": "start\n2023-04-21T15:30:45Z one 2023-04-21T15:30:45Z\n2023-04-21 15:30:46 two\n2023-04-21T15:30:47+01:00 three\n",
+    "odd.txt": "2023-04-21 15:30:45 first\n2024-13-45 10:00:00 second\n",
     "access.log.1": '21/Apr/2023:15:30:45 +0000 rotated\n',
     "events.json": '[{"timestamp":"2023-04-21T15:30:45+02:00","event_type":"A","event_id":7.9,"user":"u","host":3,"message":"m"}, 5, {"timestamp":5}]',
     "one.json": '{\n "message": "alone"\n}',
@@ -133,6 +134,10 @@ def test_generic_log(by_file):
     assert shown(by_file["app.txt"], "event_id", "timestamp", "message") == [(1, None, "start"), (2, at(2023, 4, 21, 15, 30, 45), "one 2023-04-21T15:30:45Z"), (3, None, "2023-04-21 15:30:46 two"), (4, at(2023, 4, 21, 14, 30, 47), "three")]
 
 
+def test_what_looks_like_a_time(by_file):
+    assert shown(by_file["odd.txt"], "timestamp", "message") == [(at(2023, 4, 21, 15, 30, 45), "first"), (None, "2024-13-45 10:00:00 second")]
+
+
 def test_json(by_file):
     assert shown(by_file["events.json"], "event_id", "event_type", "user", "host", "timestamp") == [(0, "Unknown", "", "", at(2024, 1, 15, 12)), (7, "A", "u", "", at(2023, 4, 21, 13, 30, 45))]
     assert shown(by_file["one.json"], "message") == [("alone",)]
@@ -183,15 +188,27 @@ def test_browsers(by_file):
 
 def test_engine(spark, folder):
     t = build_timeline(spark, str(folder), str(folder / "syslog"), context=NOW)
-    assert {r.parser for r in t.errors.collect()} == {"prefetch", "shellbags"}
+    assert {(r.parser, r.path.rsplit("/", 1)[1]) for r in t.errors.collect()} == {("prefetch", "x.pf"), ("shellbags", "shellbags.dat"), ("json", "bad.json")}
     assert t.files.count() == len(FILES) + 3
     one = build_timeline(spark, str(folder), pattern="Failed|GetObject", only={"syslog", "cloudtrail"}, context=NOW)
     assert {r.message[:6] for r in one.events.collect()} == {"[sshd[", "Action"}
-    with pytest.raises(ValueError):
-        build_timeline(spark, str(folder), pattern="(")
+    for bad in ("(", "(?=x)", "a++", r"(a)\1"):
+        with pytest.raises(ValueError):
+            build_timeline(spark, str(folder), pattern=bad)
     assert build_timeline(spark, str(folder), max_size=0, context=NOW).events.count() == 0
 
 
+def test_bad_files(spark, tmp_path):
+    """One file of each kind that can't be read: an error for each, and all of the others."""
+    for name, data in {"bad.json": b'[{"a": 1}, {', "cloudtrail.jsonl": b"nothing\n", "chrome/History": b"no database", "Safari/History.db": b"SQLite format 3\0" + b"x" * 90, "bad.evtx": b"x" * 9000, "empty.evtx": b"ElfFile\0" + bytes(9000), "task.xml": b"<Task><Actions>", "other.xml": b"<a><b/>", "syslog": b"2024-01-01T00:00:00Z h p: m\n", "good.json": b'{"message": "m"}'}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    t = build_timeline(spark, str(tmp_path), context=NOW)
+    got = {r.path.removeprefix(str(tmp_path) + "/") for r in t.errors.collect()}
+    assert got == {"bad.json", "cloudtrail.jsonl", "chrome/History", "Safari/History.db", "bad.evtx", "empty.evtx", "task.xml", "other.xml"}
+    assert {(r.source, r.message) for r in t.events.collect() if r.source in ("syslog", "good.json")} == {("syslog", "[p] m"), ("good.json", "m")}
+
+
 def test_large_files(spark, tmp_path):
     """Files of any size are listed, and those that can't be read are errors."""
     (tmp_path / "syslog").write_text("<1>2024-01-01T00:00:00Z h p: m\n")

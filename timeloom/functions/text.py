@@ -11,28 +11,79 @@ MAX_REGEX_BYTES = 65_536
 _MARK = "\x01\x17\x01"
 
 
+#: Named classes within brackets.
+NAMED_CLASSES = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
+    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+#: What backtracking engines have and linear-time ones don't: looking around, atomic groups, possessive repeats, references back.
+_ONLY_BACKTRACKING = re.compile(r"\(\?(?:[=!>]|<[=!])|(?<!\\)(?:\\\\)*(?:(?:[*+?]|\{\d+(?:,\d*)?\})\+|\\[1-9]|\\k<)")
+
+
 def java_regex(pattern: str) -> str:
-    """A pattern written for a linear-time engine, for Java: ``.`` excludes line feeds alone, ``$`` is the very end, ``\\s`` has no vertical tab."""
+    """A pattern written for a linear-time engine, for Java.
+
+    ``.`` excludes line feeds alone, ``$`` is the very end unless lines are matched, ``\\s`` has no vertical tab, named groups are
+    ``(?P<name>...)``, brackets hold ``[:class:]`` names, and an open bracket or ``&&`` in brackets is just that.
+    """
     out, in_class, i = [], False, 0
+    by_line = [False]  # whether $ matches at line ends, by open group
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
+            if pattern.startswith(r"\Q", i):
+                end = pattern.find(r"\E", i)
+                end = len(pattern) if end < 0 else end + 2
+                out.append(pattern[i:end])
+                i = end
+                continue
             two = pattern[i : i + 2]
             out.append({r"\s": r"\t\n\f\r " if in_class else r"[\t\n\f\r ]", r"\S": two if in_class else r"[^\t\n\f\r ]"}.get(two, two))
             i += 2
             continue
-        if c == "[" and not in_class:
+        if in_class:
+            named = re.match(r"\[:(\^?)(\w+):\]", pattern[i:])
+            if named and named[2] in NAMED_CLASSES:
+                name = NAMED_CLASSES[named[2]]
+                out.append((name[0] + name[1].swapcase() + name[2:]) if named[1] else name)
+                i += named.end()
+                continue
+            if c == "]":
+                in_class = False
+            elif c == "[" or pattern.startswith("&&", i):
+                c = "\\" + c
+        elif c == "[":
             in_class = True
-            if pattern[i + 1 : i + 2] == "^":
-                out.append("[")
-                c, i = "^", i + 1
-        elif c == "]" and in_class:
-            in_class = False
-        elif c == "$" and not in_class:
+            for more in ("^", "]"):  # a closing bracket that comes first is one of the characters
+                if pattern[i + 1 : i + 2] == more:
+                    c, i = c + more.replace("]", "\\]"), i + 1
+        elif c == "(":
+            flags = re.match(r"\(\?([a-zA-Z]*)(-[a-zA-Z]*)?([:)])", pattern[i:])
+            now = by_line[-1]
+            if flags:
+                now = "m" in flags[1] or (now and "m" not in (flags[2] or ""))
+            if flags and flags[3] == ")":
+                by_line[-1] = now
+                out.append(flags[0])
+                i += flags.end()
+                continue
+            by_line.append(now)
+            if pattern.startswith("(?P<", i):
+                c, i = "(?<", i + 3
+        elif c == ")":
+            if len(by_line) > 1:
+                by_line.pop()
+        elif c == "$" and not by_line[-1]:
             c = r"\z"
         out.append(c)
         i += 1
-    return "(?d)" + "".join(out)
+    return "(?du)" + "".join(out)
+
+
+def linear(pattern: str) -> bool:
+    """Whether a pattern does without what linear-time engines lack; brackets and quotes are not looked into."""
+    bare = re.sub(r"\\[pPx]\{[^}]*\}|\\Q.*?(\\E|$)|\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]", "x", pattern, flags=re.S)
+    return not _ONLY_BACKTRACKING.search(bare)
 
 
 def groups(line: Column, pattern: str) -> Column:

@@ -27,8 +27,12 @@ def visit_message(title: Column, url: Column, count: Column) -> Column:
 
 
 def visits(pages: DataFrame, visited: DataFrame, browser: str, ctx: Context) -> DataFrame:
-    """Events of pages (path, id, url, title, visit_count) and visits (path, page, visit_time, visit_micros) by time."""
+    """Events of pages (path, id, url, title, visit_count) and visits (path, page, visit_time, visit_micros).
+
+    The visits of a database follow each other by time: they are sorted within the partition that the database is in.
+    """
     rows = pages.alias("p").join(visited.alias("v"), (F.col("p.path") == F.col("v.path")) & (F.col("p.id") == F.col("v.page"))).where("p.url is not null and p.visit_count is not null")
     rows = rows.select(F.col("p.path").alias("path"), base_name(F.col("p.path")).alias("source"), "url", "title", "visit_count", "visit_time", "visit_micros")
+    rows = rows.repartition("path").sortWithinPartitions("path", "visit_time", "visit_micros")
     title = title_of(F.col("url")) if browser == "safari" else F.col("title")
     return event(rows, timestamp=CLOCKS[browser](), event_type="BrowserHistory", event_id=F.lit(0), message=visit_message(title, F.col("url"), F.col("visit_count")))

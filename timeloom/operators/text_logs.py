@@ -67,13 +67,13 @@ def generic_log(lines: DataFrame, ctx: Context) -> DataFrame:
         times.parsed(texts[2], "dd/MMM/yyyy:HH:mm:ss xx"),
         times.parsed(texts[3], "M/d/yyyy h:mm:ss a"),
     ]
-    tried = lines.withColumn("tries", F.array(*[F.struct(s.alias("ts"), t.alias("text")) for s, t in zip(stamps, texts, strict=True)]))
+    tried = lines.withColumn("tries", F.array(*[F.struct(s.alias("ts"), F.when(s.isNotNull(), t).alias("text")) for s, t in zip(stamps, texts, strict=True)]))
     first = F.coalesce(*[F.when(F.col("tries")[i]["ts"].isNotNull(), F.lit(i)) for i in range(len(GENERIC))])
     tried = tried.withColumn("form", first)
     chosen = tried.where("form is not null").groupBy("path").agg(F.min_by(F.struct("form", "line_no"), "line_no").alias("sticky"))
     rows = tried.drop("form").join(chosen, "path", "left")  # a row for each file
     used = F.when(F.col("line_no") >= F.col("sticky.line_no"), F.col("tries")[F.col("sticky.form")])
-    # The text of a time that is none is cut out too, but only once the form is settled.
+    # What looks like a time and is none stays in the message.
     rows = rows.withColumn("stamp", used["ts"]).withColumn("cut", known(used["text"]))
     at = F.instr(F.col("line"), F.col("cut"))
     rest = trimmed(F.concat(F.substring("line", F.lit(1), at - 1), F.substring("line", at + F.length("cut"), F.length("line"))))

@@ -36,6 +36,11 @@ def query(sql: str | None = None):
     return add
 
 
+def alias(name: str, of: str) -> None:
+    """A second name that a query has had."""
+    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in df.schema.fields])
@@ -80,20 +85,17 @@ def failed_requests(spark, sf):
     return events.groupBy("host").agg(F.count("*").alias("failed"), F.max(F.unix_micros("timestamp")).alias("last_us"))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS ts_us, 'WebAccessRaw' AS event_type, doc_id AS event_id, '' AS \"user\", '' AS host, string_split(text, chr(10))[1] AS message FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''")
-def web_raw_fallback(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("t")).where("trim(t) <> ''")
-    return said(text_logs.web_access(lines(d, F.col("t"), "doc_id", "/logs/access.log"), CTX))
-
-
-# Beside web_raw_fallback: every line of every document.
 @query("""SELECT CAST(NULL AS BIGINT) AS ts_us, 'WebAccessRaw' AS event_type, CAST(i AS BIGINT) AS event_id, '' AS "user", '' AS host, rtrim(l, chr(13)) AS message, '/logs/' || doc_id || '/access.log' AS path
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(l) <> ''""")
-def web_raw_lines(spark, sf):
+def web_raw_fallback(spark, sf):
+    """Every line of every document, none of which is of the format."""
     d = table(spark, sf, "documents").select(_s("/logs/", F.col("doc_id").cast("string"), "/access.log").alias("path"), "text")
     return said(text_logs.web_access(lines_of(d), CTX), "path")
 
 
+alias("web_raw_lines", "web_raw_fallback")
+
+
 @query(f"SELECT {_E} AS ts_us, 'Syslog' AS event_type, event_id, '' AS \"user\", 'h' || user_id AS host, '[' || event_type || '[' || event_id || ']] value ' || CAST(event_id % 7 AS VARCHAR) AS message FROM events")
 def syslog_5424_parse(spark, sf):
     e = table(spark, sf, "events")
@@ -102,10 +104,10 @@ def syslog_5424_parse(spark, sf):
 
 
 @query("""SELECT epoch_us(make_timestamp(CASE WHEN month(d) = 12 AND day(d) > 15 THEN 2023 ELSE 2024 END, month(d), day(d), 1, 2, 3)) AS ts_us, 'Syslog' AS event_type, o_orderkey AS event_id, '' AS "user", 'h' AS host, '[p] m' AS message
-FROM (SELECT o_orderkey, make_timestamp(2000, month(o_orderdate), least(day(o_orderdate), 28), 0, 0, 0) AS d FROM orders)""")
+FROM (SELECT o_orderkey, make_timestamp(2000, month(o_orderdate), day(o_orderdate), 0, 0, 0) AS d FROM orders)""")
 def syslog_3164_year(spark, sf):
     """Each line a file of its own; over six months ahead of the reference time is the year before."""
-    o = table(spark, sf, "orders").withColumn("d", F.least(F.dayofmonth("o_orderdate"), F.lit(28)))
+    o = table(spark, sf, "orders").withColumn("d", F.dayofmonth("o_orderdate"))
     line = _s(F.date_format("o_orderdate", "MMM"), " ", F.lpad(F.col("d").cast("string"), 2, " "), " 01:02:03 h p: m")
     return said(text_logs.syslog(lines(o, line, "o_orderkey", _s("/logs/", F.col("o_orderkey").cast("string"), "/syslog")), CTX))
 
@@ -258,14 +260,14 @@ def zeek_x509(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT *, user_id % 5 AS k, min(event_id) OVER (PARTITION BY user_id % 5) AS first FROM events)
-SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE CASE k WHEN 0 THEN {_E} WHEN 1 THEN {_E} WHEN 2 THEN {_E} + 7200000000 WHEN 3 THEN {_E} ELSE NULL END END AS ts_us, 'LogEntry' AS event_type, event_id, '' AS "user", '' AS host,
-CASE WHEN event_id % 11 = 0 THEN 'none ' || event_type ELSE CASE k WHEN 4 THEN event_type || ' no time' ELSE event_type || '  end' END END AS message FROM e""")
+SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL ELSE CASE k WHEN 0 THEN {_E} WHEN 1 THEN {_E} WHEN 2 THEN {_E} + 7200000000 WHEN 3 THEN {_E} ELSE NULL END END AS ts_us, 'LogEntry' AS event_type, event_id, '' AS "user", '' AS host,
+CASE WHEN event_id % 11 = 0 THEN 'none ' || event_type WHEN event_id % 13 = 0 THEN '2024-13-45 10:00:00 ' || event_type ELSE CASE k WHEN 4 THEN event_type || ' no time' ELSE event_type || '  end' END END AS message FROM e""")
 def log_sticky_pattern(spark, sf):
-    """Five files, each of another form of times, with lines that have none."""
+    """Five files, each of another form of times, with lines that have none and lines with what only looks like one."""
     e = table(spark, sf, "events")
     k, t = F.col("user_id") % 5, F.col("ts")
     stamp = F.when(k == 0, _s(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), "Z")).when(k == 1, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 2, _s(F.date_format(t, "dd/MMM/yyyy:HH:mm:ss"), " -0200")).when(k == 3, F.date_format(t, "M/d/yyyy h:mm:ss a"))
-    line = F.when(F.col("event_id") % 11 == 0, _s("none ", F.col("event_type"))).when(k == 4, _s(F.col("event_type"), " no time")).otherwise(_s(F.col("event_type"), " ", stamp, " end"))
+    line = F.when(F.col("event_id") % 11 == 0, _s("none ", F.col("event_type"))).when(F.col("event_id") % 13 == 0, _s("2024-13-45 10:00:00 ", F.col("event_type"))).when(k == 4, _s(F.col("event_type"), " no time")).otherwise(_s(F.col("event_type"), " ", stamp, " end"))
     return said(text_logs.generic_log(lines(e, line, "event_id", _s("/logs/", k.cast("string"), ".txt")), CTX))
 
 
@@ -356,11 +358,6 @@ def winxml_level_map(spark, sf):
     return table(spark, sf, "part").select("p_partkey", xml_logs.level_name((F.col("p_size") % 8).cast("int")).alias("level"))
 
 
-@query("SELECT p_partkey, CASE p_size WHEN 1 THEN 'Sysmon:ProcessCreate' WHEN 3 THEN 'Sysmon:NetworkConnect' WHEN 22 THEN 'Sysmon:DnsQuery' WHEN 28 THEN 'Sysmon:FileBlockShredding' WHEN 15 THEN 'Sysmon:FileCreateStreamHash' ELSE 'Sysmon:Event' || p_size END AS kind FROM part WHERE p_size IN (1, 3, 22, 28, 15) OR p_size > 28")
-def sysmon_type_map(spark, sf):
-    return table(spark, sf, "part").where("p_size in (1, 3, 22, 28, 15) or p_size > 28").select("p_partkey", xml_logs.monitor_type(F.col("p_size")).alias("kind"))
-
-
 def _event_xml(spark, sf, provider: str) -> DataFrame:
     o = table(spark, sf, "orders")
     text = _s('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="', provider, '"/><EventID>', F.col("o_orderkey").cast("string"), "</EventID><Level>", (F.col("o_orderkey") % 7).cast("string"), '</Level><TimeCreated SystemTime="', F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), '.5000000Z"/><Channel>', F.when(F.col("o_orderkey") % 2 == 0, "Sec").otherwise(""), "</Channel><Computer>c", F.col("o_custkey").cast("string"), '</Computer><Security UserID="S-1"/></System><EventData><Data Name="User">', F.col("o_orderstatus"), '</Data><Data Name="Image">', F.repeat(F.lit("i"), 160), '</Data><Data Name="Other">x</Data><Data>unnamed</Data></EventData></Event>')
@@ -373,26 +370,25 @@ def winxml_parse(spark, sf):
     return said(xml_logs.windows_events(xml_logs.events_in(_event_xml(spark, sf, "Prov")), CTX))
 
 
-@query("""SELECT epoch_us(o_orderdate) + 500000 AS ts_us, 'Sysmon:Event' || o_orderkey AS event_type, o_orderkey AS event_id, o_orderstatus AS "user", 'c' || o_custkey AS host, 'User=' || o_orderstatus || ' | Image=' || repeat('i', 147) || '...' AS message FROM orders WHERE o_orderkey > 255""")
-def sysmon_parse(spark, sf):
-    return said(xml_logs.monitor_events(xml_logs.events_in(_event_xml(spark, sf, "Microsoft-Windows-Sysmon")), CTX)).where("event_id > 255")
-
-
-# Beside sysmon_type_map and sysmon_parse: all parts and all orders, by a list of names of its own.
+# Names of the monitor's events, listed apart from the operator's.
 _MONITOR_SQL = """(VALUES (1, 'ProcessCreate'), (2, 'FileCreateTime'), (3, 'NetworkConnect'), (4, 'ServiceStateChange'), (5, 'ProcessTerminate'), (6, 'DriverLoad'), (7, 'ImageLoad'), (8, 'CreateRemoteThread'), (9, 'RawAccessRead'), (10, 'ProcessAccess'), (11, 'FileCreate'), (12, 'RegistryCreate'), (13, 'RegistrySetValue'), (14, 'RegistryRename'), (15, 'FileCreateStreamHash'),
 (16, 'ConfigChange'), (17, 'PipeCreated'), (18, 'PipeConnected'), (19, 'WmiFilter'), (20, 'WmiConsumer'), (21, 'WmiBinding'), (22, 'DnsQuery'), (23, 'FileDelete'), (24, 'ClipboardChange'), (25, 'ProcessTampering'), (26, 'FileDeleteDetected'), (27, 'FileBlockExecutable'), (28, 'FileBlockShredding'), (255, 'Error')) n(id, name)"""
 
 
 @query(f"SELECT p_partkey, 'Sysmon:' || coalesce(name, 'Event' || p_size) AS kind FROM part LEFT JOIN {_MONITOR_SQL} ON p_size = id")
-def sysmon_type_names(spark, sf):
+def sysmon_type_map(spark, sf):
     return table(spark, sf, "part").select("p_partkey", xml_logs.monitor_type(F.col("p_size")).alias("kind"))
 
 
 @query(f"""SELECT epoch_us(o_orderdate) + 500000 AS ts_us, 'Sysmon:' || coalesce(name, 'Event' || o_orderkey) AS event_type, o_orderkey AS event_id, o_orderstatus AS "user", 'c' || o_custkey AS host, 'User=' || o_orderstatus || ' | Image=' || repeat('i', 147) || '...' AS message FROM orders LEFT JOIN {_MONITOR_SQL} ON o_orderkey = id""")
-def sysmon_all_events(spark, sf):
+def sysmon_parse(spark, sf):
     return said(xml_logs.monitor_events(xml_logs.events_in(_event_xml(spark, sf, "Microsoft-Windows-Sysmon")), CTX))
 
 
+alias("sysmon_type_names", "sysmon_type_map")
+alias("sysmon_all_events", "sysmon_parse")
+
+
 @query("""WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, list(struct_pack(n := l_linenumber, p := l_partkey) ORDER BY l_linenumber, l_partkey) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
 SELECT epoch_us(d) AS ts_us, 'ScheduledTask:Registration' AS event_type, 0 AS event_id, 'a' || k AS "user", '' AS host, 'URI: /t' || k || ' | Author: a' || k || ' | Enabled: true' AS message FROM t
 UNION ALL SELECT epoch_us(d), 'ScheduledTask:Action', i, 'a' || k, '', 'Task: /t' || k || ' | Command: c' || x[i].p FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM t)
@@ -463,9 +459,12 @@ def visit_title_from_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", browser.title_of(F.col("url")).alias("title"))
 
 
-@query(f"SELECT * FROM ({_WEB_SQL}) WHERE regexp_matches(message, 'error|purchase') OR regexp_matches(\"user\", 'error|purchase|^u1[0-9]$') OR regexp_matches(message, '^u1[0-9]$') OR regexp_matches(host, '^u1[0-9]$')")
+_PATTERN = r"(?P<what>error)|[[:alpha:]]urchase|^u1\pN$|\p{Lu}ZZ"
+
+
+@query(f"SELECT * FROM ({_WEB_SQL}) WHERE regexp_matches(message, '{_PATTERN}') OR regexp_matches(\"user\", '{_PATTERN}') OR regexp_matches(host, '{_PATTERN}')")
 def event_filter_regex(spark, sf):
-    return said(filters.matching(text_logs.web_access(_web(spark, sf), CTX), "error|purchase|^u1[0-9]$"))
+    return said(filters.matching(text_logs.web_access(_web(spark, sf), CTX), _PATTERN))
 
 
 _ROUTES = [
@@ -476,23 +475,18 @@ _ROUTES = [
 ]
 
 
-@query("SELECT u.page_id, v.path, v.parser FROM pages u, (VALUES " + ", ".join(f"('{p}', '{r}')" for p, r in _ROUTES) + ") v(path, parser) WHERE u.page_id < 3")
-def route_files(spark, sf):
-    pages = table(spark, sf, "pages").where("page_id < 3").select("page_id")  # each path for a few pages: a check of rules, not of data
-    paths = F.explode(F.array(*[F.lit(p) for p, _ in _ROUTES]))
-    rows = pages.select("page_id", paths.alias("path"))
-    return rows.select("page_id", "path", routing.route("path", F.lit(""), F.array().cast("array<string>")).alias("parser"))
-
-
-# Beside route_files: every page, by the tail of its url and by each path in a folder of that name.
 @query("""SELECT page_id, tail AS path, CASE WHEN regexp_extract(tail, '[^/]*$') LIKE '%4104%' THEN 'script_block' ELSE 'log' END AS parser FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS tail FROM pages)
 UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) || v.path, v.parser FROM pages, (VALUES """ + ", ".join(f"('{p}', '{r}')" for p, r in _ROUTES) + ") v(path, parser)")
-def route_pages(spark, sf):
+def route_files(spark, sf):
+    """Every page, by the tail of its url and by each path in a folder of that name."""
     pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1).alias("tail"))
     rows = pages.select("page_id", F.explode(F.array("tail", *[_s(F.col("tail"), p) for p, _ in _ROUTES])).alias("path"))
     return rows.select("page_id", "path", routing.route("path", F.lit(""), F.array().cast("array<string>")).alias("parser"))
 
 
+alias("route_pages", "route_files")
+
+
 _UNION_SQL = f"({_WEB_SQL}) UNION ALL (" + ORACLES["syslog_5424_parse"] + ") UNION ALL (" + ORACLES["windows_text_parse"] + ") UNION ALL (" + ORACLES["winfirewall_parse"] + ")"
 
 

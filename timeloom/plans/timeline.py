@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import browser, csv_artifacts, filters, header_logs, json_logs, powershell, routing, text_logs, xml_logs
 from ..schema import EVENT_SCHEMA, Context
+from ..sources.checks import BYTES, JSON, unreadable
 from ..sources.evtx import read_evtx
 from ..sources.lines import read_lines
 from ..sources.manifest import manifest
@@ -81,12 +82,15 @@ class Timeline:
 def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None, context: Context | None = None, only: set[str] | None = None, max_size: int | None = None, ordered: bool = False) -> Timeline:
     """The events of all files at or below ``inputs``, which files there are, and what went wrong with them.
 
+    A file that can't be read as what it is takes nothing from the others: it gives the events that its reader could get, and
+    a row of ``errors``, for which such formats are read once more when ``errors`` is.
+
     ``only``: names of parsers; files of others aren't read at all. ``ordered``: by time, source and number. ``max_size``: larger
     files are only listed, with an error.
     """
     context = context or Context()
     if pattern:
-        filters.check_pattern(pattern)
+        filters.check_pattern(spark, pattern)
     files = manifest(spark, *inputs, max_size=max_size).withColumn("parser", routing.route()).drop("head", "head_lines")
     by: dict[str, list[str]] = defaultdict(list)
     kept = []
@@ -100,4 +104,7 @@ def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None
     files = spark.createDataFrame(kept, "path string, size bigint, modified timestamp, parser string, error string")
     parts = [filters.matching(PARSERS[p](spark, sorted(paths), context), pattern) for p, paths in sorted(by.items())]
     events = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], EVENT_SCHEMA)
-    return Timeline(events.orderBy("timestamp", "source", "event_id") if ordered else events, files, files.where("error is not null").select("path", "parser", "error"))
+    errors = files.where("error is not null").select("path", "parser", "error")
+    for p in sorted(set(by) & (BYTES.keys() | JSON.keys())):
+        errors = errors.union(unreadable(spark, sorted(by[p]), p).select("path", F.lit(p), "error"))
+    return Timeline(events.orderBy("timestamp", "source", "event_id") if ordered else events, files, errors)
