@@ -153,27 +153,27 @@ def covered(sequences, width):
 @pytest.mark.parametrize("most", [40_000, 2])
 def test_repeated_words(docs, none, monkeypatch, most):
     plain = _repeats.repeated_intervals
-    monkeypatch.setattr(block_anchors, "repeated_intervals", lambda *a: plain(*a, most=most, batch_rows=7, bits=20))
+    monkeypatch.setattr(block_anchors, "repeated_intervals", lambda *a, **k: plain(*a, **k, batch_rows=7))
     words = [WORD.findall(t or "") for _, t, *_ in ROWS]
     want = []
     for (doc, *_), w, mark in zip(ROWS, words, covered(words, 35), strict=True):
         want.append((doc, len(w), sum(mark), " ".join(x for x, m in zip(w, mark, strict=True) if not m)))
-    got = [tuple(r) for r in block_anchors.without_repeats(docs, bits=20).collect()]
+    got = [tuple(r) for r in block_anchors.without_repeats(docs, most=most, slice_bytes=3000).collect()]
     assert key(got) == key(want) and sum(r[2] for r in got) > 500
-    assert block_anchors.without_repeats(none, bits=20).collect() == []
+    assert block_anchors.without_repeats(none, most=most).collect() == []
 
 
 @pytest.mark.parametrize("most", [40_000, 2])
 def test_repeated_bytes(docs, none, monkeypatch, most):
     plain = _repeats.repeated_intervals
-    monkeypatch.setattr(suffix_dedup, "repeated_intervals", lambda *a: plain(*a, most=most, batch_rows=7, bits=20))
+    monkeypatch.setattr(suffix_dedup, "repeated_intervals", lambda *a, **k: plain(*a, **k, batch_rows=7))
     data = [(t or "").encode() for _, t, *_ in ROWS]
     want = []
     for (doc, *_), x, mark in zip(ROWS, data, covered(data, 200), strict=True):
         want.append((doc, len(x), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(bytes(b for b, m in zip(x, mark, strict=True) if not m)).hexdigest()))
-    got = [tuple(r) for r in suffix_dedup.without_repeats(docs, bits=20, digest=True).collect()]
+    got = [tuple(r) for r in suffix_dedup.without_repeats(docs, most=most, slice_bytes=3000, digest=True).collect()]
     assert key(got) == key(want) and sum(r[2] for r in got) > 3000
-    assert suffix_dedup.without_repeats(none, bits=20).collect() == []
+    assert suffix_dedup.without_repeats(none, most=most).collect() == []
 
 
 def test_contained_items(spark, docs, none):

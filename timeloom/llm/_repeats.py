@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._numeric import BitIndex, U, mix
+from ._places import meeting, slice_count
 from ._store import Scratch
 
 NO_ID = -(1 << 63)
@@ -54,17 +55,37 @@ def _runs_of(spread: Callable, batch: pa.RecordBatch, length: int, chosen: Calla
     yield _intervals(np.asarray(batch.column("d"))[row], np.asarray(batch.column("h"))[row], at + first, at + last, length)
 
 
-def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratch: Scratch, most: int = 40_000, batch_rows: int = 1000, bits: int = 28) -> DataFrame:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def row_names(d: np.ndarray, h: np.ndarray) -> bytes:
+    """16 bytes for each row of :func:`keyed`."""
+    return np.column_stack((d, h)).astype("<i8").tobytes()
+
+
+def with_places(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(text, d, h, at) of the rows of :func:`keyed` that have places in ``met``, each once."""
+
+    def run(batches):
+        for b in batches:
+            who = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), b.column(1)], ["d", "h", "at"])
+
+    of = met.select("name", "at").mapInArrow(run, "d bigint, h bigint, at binary").dropDuplicates(["d", "h"])
+    return docs.select("text", "d", "h").join(of, ["d", "h"]).select("text", "d", "h", "at")
+
+
+def repeated_intervals(anchors: Callable[[], DataFrame], common: DataFrame, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
     """(d, h, a, b): intervals that cover every window of ``length`` which occurs at two places or more.
 
-    ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents of at most ``most`` anchors
-    are compared in one task, where they stream by. Around more common ones, rows with the same surroundings are settled by
-    counting those; of the distinct surroundings left, windows that may be there twice are counted by key. All counts are
-    pre-aggregated, and joined back in joins that adaptive execution can split.
+    ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents that are
+    not in ``common`` (g) are compared in one task, where they stream by. Around common ones, rows with the same surroundings
+    are settled by counting those; of the distinct surroundings left, windows are compared by key in slices.
     """
-    anchors = scratch.save(anchors, "anchors")
-    common = scratch.save(anchors.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > most).select("g"), "common")
-    n = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = scratch.save(common, "common")
+    some_common = bool(common.take(1))
+    n = int(common.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def few(batches):
         held: list[pa.RecordBatch] = []
@@ -95,8 +116,9 @@ def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratc
         for r in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
             yield from flush(r)
 
-    found = anchors.join(common, "g", "left_anti").repartition(n, "g").sortWithinPartitions("g").mapInArrow(few, INTERVALS)
-    if not common.take(1):
+    rare = anchors().join(common, "g", "left_anti") if some_common else anchors()
+    found = rare.repartition(n, "g").sortWithinPartitions("g").mapInArrow(few, INTERVALS)
+    if not some_common:
         return found
 
     # Of these, rows whose windows are all the same as another's are settled together; one of them stands for them below.
@@ -107,7 +129,8 @@ def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratc
                 ids, _ = spread(part)
                 yield part.append_column("around_id", pa.array(mix(mix(ids ^ mix(np.arange(ids.shape[1], dtype=U))).sum(axis=1, dtype=U)).view(np.int64)))
 
-    many = scratch.save(anchors.join(common, "g", "left_semi").mapInArrow(named, StructType([*anchors.schema.fields, StructField("around_id", LongType())])), "common-anchors")
+    rows = anchors().join(common, "g", "left_semi")
+    many = scratch.save(rows.mapInArrow(named, StructType([*rows.schema.fields, StructField("around_id", LongType())])), "common-anchors")
     alike = many.groupBy("around_id").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first"))
     alike = scratch.save(alike, "alike")
     settled = many.join(alike.where("n > 1").select("around_id"), "around_id", "left_semi").drop("around_id")
@@ -120,35 +143,27 @@ def repeated_intervals(anchors: DataFrame, spread: Callable, length: int, scratc
     rest = many.join(alike.select("around_id", "first"), "around_id").where(F.struct("d", "h", "at") == F.col("first")).drop("around_id", "first")
     rest = scratch.save(rest, "distinct-anchors")
 
-    def window_keys(part):
-        ids, before = spread(part)
-        row, column = np.nonzero(ids)
-        return row, np.asarray(part.column("at")).astype(np.int64)[row] - before + column, mix(ids[row, column] ^ mix(column.astype(U)))
-
-    def packed(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, batch_rows):
-                key, n = np.unique(window_keys(batch.slice(i, batch_rows))[2], return_counts=True)
-                got = [*BitIndex.sliced(key), *BitIndex.sliced(key[n > 1])]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
+    def windows(batch):
+        for i in range(0, batch.num_rows, batch_rows):
+            part = batch.slice(i, batch_rows)
+            ids, before = spread(part)
+            row, column = np.nonzero(ids)
+            width = ids.shape[1]
+            names = np.column_stack([np.asarray(part.column("d")), np.asarray(part.column("h")), np.asarray(part.column("at")).astype(np.int64) - before]).astype("<i8")
+            yield names.tobytes(), np.arange(len(ids)) * width, row * width + column, mix(ids[row, column] ^ mix(column.astype(U))), None
 
-    _, again = BitIndex.built(rest.mapInArrow(packed, "slice int, keys binary"), bits, twice=True)
-    maybe = rest.sparkSession.sparkContext.broadcast(again.words.tobytes())
+    met, _ = meeting(rest, windows, slice_count(rest.count() * 1024, slice_bytes), scratch, width=24, exact=True)
 
-    def windows(batches):
-        again = BitIndex(bits, np.frombuffer(maybe.value, U))
-        for batch in batches:
-            for i in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(i, batch_rows)
-                row, at, key = window_keys(part)
-                hit = again.has(key)
-                row, at, key = row[hit], at[hit], key[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(part.column("d"))[row]), pa.array(np.asarray(part.column("h"))[row]), pa.array(at.astype(np.int32))], ["key", "d", "h", "a"])
-
-    rows = scratch.save(rest.mapInArrow(windows, "key bigint, d bigint, h bigint, a int"), "windows")
-    twice = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    partly = rows.join(twice, "key", "left_semi").select("d", "h", "a", (F.col("a") + length).cast("int").alias("b"))
-    return found.union(settled.mapInArrow(whole, INTERVALS)).union(partly)
+    def spans(batches):
+        for b in batches:
+            for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                d, h, start = np.frombuffer(name, "<i8").tolist()
+                at = np.frombuffer(at, "<u4").astype(np.int64)
+                edge = np.flatnonzero(np.diff(at, prepend=-2, append=1 << 40) > 1)
+                first, last = at[edge[:-1]], at[edge[1:] - 1]
+                yield _intervals(np.full(len(first), d), np.full(len(first), h), start + first, start + last, length)
+
+    return found.union(settled.mapInArrow(whole, INTERVALS)).union(met.mapInArrow(spans, INTERVALS))
 
 
 def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, scratch: Scratch, bits: int = 26) -> DataFrame:

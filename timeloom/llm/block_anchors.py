@@ -3,12 +3,11 @@
 A repeated window of ``window`` words holds a whole block of (window + 1) // 2 words of any text cut into such blocks. So the
 non-overlapping blocks of every text are indexed and every rolling window of a block's length probes the index:
 
-1. blocks go, packed, through fixed-size bit slices, which also tell those that occur twice;
-2. all rolling windows probe the bits; hits that are not a block themselves are gathered in the same way;
-3. blocks that were hit and windows that hit one are anchors. Around each anchor stand the identifiers of all windows that
-   contain it, and anchors of equal words meet: a hit extends as far as these windows repeat.
+1. blocks and rolling windows are dealt by content into slices of the index, about 5 bytes each, and those that meet are anchors;
+2. around each anchor stand the identifiers of all windows that contain it, and anchors of equal words meet: a hit extends as
+   far as these windows repeat. Only texts with anchors are joined to them and read again.
 
-Bits are of fixed size, so broadcasts are bounded; what they let through too much is dropped by comparing in step 3.
+The index is as large as the corpus needs and lies in as many tasks; nothing of it is broadcast.
 """
 
 from __future__ import annotations
@@ -19,19 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._numeric import BitIndex, U, Words, chunks, grams, mix
-from ._repeats import cut_out, keyed, repeated_intervals
+from ._numeric import U, Words, chunks, grams, mix
+from ._places import meeting, met_key, slice_count
+from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes, with_places
 from ._store import Scratch
 
-KEYS = "slice int, keys binary"
-
-
-def _packed(keys: list[np.ndarray], twice: bool) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    got = [*BitIndex.sliced(key), *(BitIndex.sliced(key[n > 1]) if twice else [])]
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
-
-
 class Rolling:
     """Rolling block hashes of a chunk: ``key``, and which of them are whole and which are blocks of their text."""
 
@@ -47,40 +38,26 @@ class Rolling:
         self.block = self.whole & ((place - self.first[:n]) % block == 0)
 
 
-def repeats(docs: DataFrame, window: int, bits: int, scratch: Scratch) -> DataFrame:
+def repeats(docs: DataFrame, window: int, most: int, slice_bytes: int | None, scratch: Scratch) -> DataFrame:
     """(d, h, a, b) over :func:`keyed` rows: word intervals that cover every window with a second occurrence."""
-    block, spark = (window + 1) // 2, docs.sparkSession
-
-    def blocks(batches):
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                r = Rolling(data, at, block)
-                yield _packed([r.key[r.block]], True)
-
-    index, again = BitIndex.built(docs.select("text").mapInArrow(blocks, KEYS), bits, twice=True)
-    shared = spark.sparkContext.broadcast(index.words.tobytes())
+    block = (window + 1) // 2
+    offsets, slices = window - block + 1, slice_count(text_bytes(docs), slice_bytes)
 
-    def probes(batches):
-        index = BitIndex(bits, np.frombuffer(shared.value, U))
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                r = Rolling(data, at, block)
-                key = r.key[r.whole & ~r.block]
-                yield _packed([key[index.has(key)]], False)
+    def probes(batch):
+        d, h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        for i, j, data, at in chunks(batch.column(0), 4 << 20):
+            r = Rolling(data, at, block)
+            place = np.flatnonzero(r.whole)
+            yield row_names(d[i:j], h[i:j]), r.words.at[:-1], place, r.key[place], r.block[place]
 
-    hit = BitIndex.built(docs.select("text").mapInArrow(probes, KEYS), bits, twice=False)
-    hits = spark.sparkContext.broadcast((again.words | hit.words).tobytes())
-    offsets = window - block + 1
+    met, common = meeting(docs.select("text", "d", "h"), probes, slices, scratch, most=most)
 
     def anchors(batches):
-        index, hit = BitIndex(bits, np.frombuffer(shared.value, U)), BitIndex(bits, np.frombuffer(hits.value, U))
         for batch in batches:
-            d, h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for i, _, data, at in chunks(batch.column(0)):
+            d, h, places = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
+            for i, j, data, at in chunks(batch.column(0)):
                 r = Rolling(data, at, block)
-                found = np.flatnonzero(r.whole)
-                key, is_block = r.key[found], r.block[found]
-                found = found[np.where(is_block, hit.has(key), index.has(key))]
+                found = np.concatenate([r.words.at[k - i] + np.frombuffer(places[k], "<u4").astype(np.int64) for k in range(i, j)])
                 full = mix(grams(r.hash, window)) | U(1)
                 start = found[:, None] - (window - block) + np.arange(offsets)
                 inside = (start >= r.first[found][:, None]) & (start + window <= r.stop[found][:, None])
@@ -88,13 +65,13 @@ def repeats(docs: DataFrame, window: int, bits: int, scratch: Scratch) -> DataFr
                 some = inside.any(axis=1)
                 found, ids = found[some], ids[some]
                 row = np.searchsorted(r.words.at, found, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r.key[found].view(np.int64)), pa.array(d[i + row]), pa.array(h[i + row]), pa.array((found - r.words.at[row]).astype(np.int32)), pa.array([x.tobytes() for x in ids], pa.binary())], ["g", "d", "h", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(met_key(r.key[found], slices)), pa.array(d[i + row]), pa.array(h[i + row]), pa.array((found - r.words.at[row]).astype(np.int32)), pa.array([x.tobytes() for x in ids], pa.binary())], ["g", "d", "h", "at", "ids"])
 
     def spread(batch):
         return np.frombuffer(b"".join(batch.column("ids").to_pylist()), U).reshape(batch.num_rows, offsets), window - block
 
-    rows = docs.select("text", "d", "h").mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, ids binary")
-    return repeated_intervals(rows, spread, window, scratch)
+    rows = lambda: with_places(docs, met).mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, ids binary")
+    return repeated_intervals(rows, common, spread, window, scratch, slice_bytes=slice_bytes)
 
 
 def kept_words(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):
@@ -112,16 +89,17 @@ def kept_words(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int
             yield ids[k], hi - lo, int(hi - lo - keep.sum()), b" ".join([raw[s - base : e - base] for s, e in zip(start, end, strict=True)])
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, bits: int = 28, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, most: int = 40_000, slice_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each row; with ``digest``, kept_sha256 instead of the kept text.
 
     A word goes if it is in a window of ``window`` words whose sequence also starts at another place, in the same row or any
     other. A null or empty text has no words. A repeated row is another place, so all its windows go. Rows without an id are
-    rows like others. An empty table gives an empty result; further columns take no part.
+    rows like others. A text of any length is taken whole. An empty table gives an empty result; further columns take no part.
+    Blocks at more than ``most`` places are compared by their surroundings.
     """
     scratch = Scratch(docs.sparkSession, "blocks")
     rows = keyed(docs, doc_id, text)
-    found = repeats(rows, window, bits, scratch)
+    found = repeats(rows, window, most, slice_bytes, scratch)
     last = "kept_sha256" if digest else "kept"
 
     def cut(ids, column, a, b):

@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._numeric import BASES, BitIndex, U, chunks, mix, pair, powers
-from ._repeats import cut_out, keyed, repeated_intervals
+from ._numeric import BASES, U, chunks, mix, pair, powers
+from ._places import meeting, met_key, slice_count
+from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes, with_places
 from ._store import Scratch
-from .block_anchors import KEYS, _packed
 
 Q = 64
 
@@ -36,15 +36,23 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(now[: len(now) - (width - w)], now[width - w :]) if w < width else now
 
 
+def first_buckets(data: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Identifiers of the first Q bytes of all suffixes, or of those at the given places."""
+    n = len(data)
+    up, down = powers(BASES[0], n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
+    if place is None:
+        return mix((total[Q:] - total[:-Q]) * down[: n + 1 - Q])
+    return mix((total[place + Q] - total[place]) * down[place])
+
+
 def anchors_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, bucket identifiers) of the anchors in a chunk of texts, in bytes from the chunk's start."""
     n, span = len(data), length - Q + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    up, down = powers(BASES[0], n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
-    bucket = mix((total[Q:] - total[:-Q]) * down[: n + 1 - Q])
+    bucket = first_buckets(data)
     rank = (bucket >> U(32)).astype(np.uint32)
     least = _sliding(rank, span, np.minimum)
     # Windows that cross into the next text choose no anchors.
@@ -72,33 +80,29 @@ def refined(context: np.ndarray, length: int) -> np.ndarray:
     return now
 
 
-def repeats(docs: DataFrame, length: int, bits: int, scratch: Scratch) -> DataFrame:
+def repeats(docs: DataFrame, length: int, most: int, slice_bytes: int | None, scratch: Scratch) -> DataFrame:
     """(d, h, a, b) over :func:`keyed` rows: byte intervals that cover every string of ``length`` with a second occurrence."""
-    before = length - Q
+    before, slices = length - Q, slice_count(text_bytes(docs), slice_bytes)
 
-    def keys(batches):
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                # Anchors have small hashes; the index needs keys that are spread.
-                yield _packed([mix(anchors_of(data, at, length)[1])], True)
+    def buckets(batch):
+        d, h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        for i, j, data, at in chunks(batch.column(0)):
+            place, bucket = anchors_of(data, at, length)
+            yield row_names(d[i:j], h[i:j]), at[:-1], place, mix(bucket), None  # anchors have small hashes; keys need to be spread
 
-    _, again = BitIndex.built(docs.select("text").mapInArrow(keys, KEYS), bits, twice=True)
-    scratch.release()
-    shared = docs.sparkSession.sparkContext.broadcast(again.words.tobytes())
+    met, common = meeting(docs.select("text", "d", "h"), buckets, slices, scratch, most=most)
 
     def anchors(batches):
-        again = BitIndex(bits, np.frombuffer(shared.value, U))
         for batch in batches:
-            d, h = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for i, _, data, at in chunks(batch.column(0)):
-                place, bucket = anchors_of(data, at, length)
-                hit = again.has(mix(bucket))
-                place, bucket = place[hit], bucket[hit]
+            d, h, places = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
+            for i, j, data, at in chunks(batch.column(0)):
+                place = np.concatenate([at[k - i] + np.frombuffer(places[k], "<u4").astype(np.int64) for k in range(i, j)])
                 row = np.searchsorted(at, place, "right") - 1
                 first, stop = np.maximum(at[row], place - before), np.minimum(at[row + 1], place + length)
                 raw = data.tobytes()
                 around = [raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(d[i + row]), pa.array(h[i + row]), pa.array((place - at[row]).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(around, pa.binary())], ["g", "d", "h", "at", "left", "around"])
+                g = met_key(mix(first_buckets(data, place)), slices)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d[i + row]), pa.array(h[i + row]), pa.array((place - at[row]).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(around, pa.binary())], ["g", "d", "h", "at", "left", "around"])
 
     def spread(batch):
         left = np.asarray(batch.column("left")).astype(np.int64)
@@ -111,8 +115,8 @@ def repeats(docs: DataFrame, length: int, bits: int, scratch: Scratch) -> DataFr
         start = at[:, : before + 1]
         return np.where((start >= 0) & (start + length <= size[:, None]), ids, U(0)), before
 
-    rows = docs.select("text", "d", "h").mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, left int, around binary")
-    return repeated_intervals(rows, spread, length, scratch)
+    rows = lambda: with_places(docs, met).mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, left int, around binary")
+    return repeated_intervals(rows, common, spread, length, scratch, slice_bytes=slice_bytes)
 
 
 def kept_bytes(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):
@@ -133,18 +137,19 @@ def kept_bytes(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int
             yield ids[k], len(raw), len(raw) - len(kept), len(runs), kept
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, bits: int = 28, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, most: int = 40_000, slice_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is binary, or with ``digest`` kept_sha256.
 
     A byte goes if a string of ``length`` bytes over it also starts at another place, in the same row or any other. A null or
-    empty text has no bytes. A repeated row is another place. Rows without an id are rows like others. An empty table gives an
-    empty result; further columns take no part.
+    empty text has no bytes. A repeated row is another place. Rows without an id are rows like others. A text of any length is
+    taken whole. An empty table gives an empty result; further columns take no part. Buckets of more than ``most`` anchors are
+    compared by their surroundings.
     """
     if length < Q + 1:
         raise ValueError(f"length must exceed {Q}")
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = keyed(docs, doc_id, text)
-    found = repeats(rows, length, bits, scratch)
+    found = repeats(rows, length, most, slice_bytes, scratch)
     last, kind = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
 
     def cut(ids, column, a, b):
