@@ -61,19 +61,13 @@ def text_bytes(docs: DataFrame) -> int:
 
 def row_names(d: np.ndarray, h: np.ndarray) -> bytes:
     """16 bytes for each row of :func:`keyed`."""
-    return np.column_stack((d, h)).astype("<i8").tobytes()
+    return np.column_stack((d, h)).astype(">i8").tobytes()
 
 
 def with_places(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(text, d, h, at) of the rows of :func:`keyed` that have places in ``met``, each once."""
-
-    def run(batches):
-        for b in batches:
-            who = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), b.column(1)], ["d", "h", "at"])
-
-    of = met.select("name", "at").mapInArrow(run, "d bigint, h bigint, at binary").dropDuplicates(["d", "h"])
-    return docs.select("text", "d", "h").join(of, ["d", "h"]).select("text", "d", "h", "at")
+    """(text, d, h, at) of the rows of :func:`keyed` that have places in ``met``."""
+    name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d", "h")]))
+    return docs.select("text", "d", "h", name.alias("name")).join(met.select("name", "at").dropDuplicates(["name"]), "name").select("text", "d", "h", "at")
 
 
 def repeated_intervals(anchors: Callable[[], DataFrame], common: DataFrame, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
