@@ -26,7 +26,7 @@ from ._store import Scratch
 DEALT = "slice int, kind int, chunk bigint, key binary, place binary, names binary, starts binary"
 #: Places that meet, by chunk; what is known of a chunk; without a chunk, keys of more than ``most`` places.
 FOUND = "chunk bigint, key binary, place binary, names binary, starts binary"
-MET = "name binary, at binary, key binary"
+MET = "name binary, at binary, key array<bigint>"
 HELD = 1 << 20
 
 
@@ -55,7 +55,7 @@ def _placed(data: bytes) -> np.ndarray:
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [name for name, _ in fields])
 
@@ -129,7 +129,7 @@ def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, wi
 
     ``places(batch)`` yields of each chunk of ``rows``: names (bytes, ``width`` for each text), starts (ascending), places
     (ascending, counted over the chunk; one belongs to the last text that starts at or before it), keys (uint64, well mixed),
-    and which are references (None: all). ``at`` (u4) are places less their text's start, ``key`` (i8) what :func:`met_key` gives,
+    and which are references (None: all). ``at`` (u4) are places less their text's start, ``key`` what :func:`met_key` gives,
     or the key itself if ``exact``.
     """
     bits = "<u8" if exact else "<u4"
@@ -184,7 +184,7 @@ def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, wi
         text = np.searchsorted(starts, place, "right") - 1
         edge = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
         at = (place - starts[text]).astype("<u4")
-        return [(who["names"][width * t : width * t + width], at[a:b].tobytes(), key[a:b].tobytes()) for t, a, b in zip(text[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return [(who["names"][width * t : width * t + width], at[a:b].tobytes(), key[a:b]) for t, a, b in zip(text[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def gathered(batches):
         held, now = [], None

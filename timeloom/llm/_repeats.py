@@ -64,21 +64,56 @@ def row_names(d: np.ndarray, h: np.ndarray) -> bytes:
     return np.column_stack((d, h)).astype(">i8").tobytes()
 
 
-def with_places(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(text, d, h, at) of the rows of :func:`keyed` that have places in ``met``."""
-    name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d", "h")]))
-    return docs.select("text", "d", "h", name.alias("name")).join(met.select("name", "at").dropDuplicates(["name"]), "name").select("text", "d", "h", "at")
+def perhaps_in(docs: DataFrame, names: DataFrame, bits: int = 26) -> Callable[[bool], Callable]:
+    """Filters for mapInArrow over rows of :func:`keyed`: True keeps all that are in ``names`` (d, h) and some others, False the rest.
+
+    What is broadcast is of fixed size. If there are more names than it can tell apart, more rows than need be go on to the
+    join that follows, at most all.
+    """
+
+    def keys(batches):
+        for b in batches:
+            key = mix(np.asarray(b.column(0)).view(U) ^ mix(np.asarray(b.column(1)).view(U)))
+            got = list(BitIndex.sliced(key))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
+
+    index = BitIndex.built(names.select("d", "h").mapInArrow(keys, "slice int, keys binary"), bits, twice=False)
+    shared = docs.sparkSession.sparkContext.broadcast(index.words.tobytes())
+
+    def chosen(has: bool):
+        def run(batches):
+            wanted = BitIndex(bits, np.frombuffer(shared.value, U))
+            for b in batches:
+                yield b.filter(pa.array(wanted.has(mix(np.asarray(b.column("d")).view(U) ^ mix(np.asarray(b.column("h")).view(U)))) == has))
+
+        return run
+
+    return chosen
 
 
-def repeated_intervals(anchors: Callable[[], DataFrame], common: DataFrame, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
+def placed(met: DataFrame) -> DataFrame:
+    """(d, h, at, key) from the names that :func:`row_names` gave, one row for each."""
+    part = lambda i: F.conv(F.hex(F.substring("name", i, 8)), 16, -10).cast("bigint")
+    return met.select(part(1).alias("d"), part(9).alias("h"), "at", "key").dropDuplicates(["d", "h"])
+
+
+def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(text, d, h, at) of the rows of :func:`keyed` that have ``places``; other texts aren't shuffled."""
+    docs = docs.select("text", "d", "h")
+    return docs.mapInArrow(perhaps_in(docs, places)(True), docs.schema).join(places.select("d", "h", "at"), ["d", "h"]).select("text", "d", "h", "at")
+
+
+def repeated_intervals(docs: DataFrame, met: DataFrame, common: DataFrame, anchors: Callable, schema: str, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
     """(d, h, a, b): intervals that cover every window of ``length`` which occurs at two places or more.
 
-    ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents that are
+    ``met``: names and places of the texts that have anchors. ``anchors(batches)`` makes rows of ``schema`` from their texts,
+    (text, d, h, at). ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents that are
     not in ``common`` (g) are compared in one task, where they stream by. Around common ones, rows with the same surroundings
     are settled by counting those; of the distinct surroundings left, windows are compared by key in slices.
     """
     common = scratch.save(common, "common")
     some_common = bool(common.take(1))
+    places = scratch.save(placed(met), "places")
     n = int(common.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def few(batches):
@@ -110,7 +145,8 @@ def repeated_intervals(anchors: Callable[[], DataFrame], common: DataFrame, spre
         for r in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
             yield from flush(r)
 
-    rare = anchors().join(common, "g", "left_anti") if some_common else anchors()
+    rare = with_places(docs, places).mapInArrow(anchors, schema)
+    rare = rare.join(common, "g", "left_anti") if some_common else rare
     found = rare.repartition(n, "g").sortWithinPartitions("g").mapInArrow(few, INTERVALS)
     if not some_common:
         return found
@@ -123,7 +159,9 @@ def repeated_intervals(anchors: Callable[[], DataFrame], common: DataFrame, spre
                 ids, _ = spread(part)
                 yield part.append_column("around_id", pa.array(mix(mix(ids ^ mix(np.arange(ids.shape[1], dtype=U))).sum(axis=1, dtype=U)).view(np.int64)))
 
-    rows = anchors().join(common, "g", "left_semi")
+    have = places.select("d", "h", F.explode("key").alias("g")).join(common, "g", "left_semi").select("d", "h").distinct()
+    have = scratch.save(places.join(have, ["d", "h"], "left_semi"), "common-places")
+    rows = with_places(docs, have).mapInArrow(anchors, schema).join(common, "g", "left_semi")
     many = scratch.save(rows.mapInArrow(named, StructType([*rows.schema.fields, StructField("around_id", LongType())])), "common-anchors")
     alike = many.groupBy("around_id").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first"))
     alike = scratch.save(alike, "alike")
@@ -165,27 +203,11 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, s
 
     Only rows that may have intervals are joined; the others are cut where they are read.
     """
-    spark = docs.sparkSession
     # As many as a row has anchors at most.
     of = scratch.save(intervals.groupBy("d", "h").agg(F.collect_set(F.struct("a", "b")).alias("s")), "intervals")
     scratch.release()
 
-    def keys(batches):
-        for b in batches:
-            key = mix(np.asarray(b.column(0)).view(U) ^ mix(np.asarray(b.column(1)).view(U)))
-            got = list(BitIndex.sliced(key))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
-
-    index = BitIndex.built(of.select("d", "h").mapInArrow(keys, "slice int, keys binary"), bits, twice=False)
-    shared = spark.sparkContext.broadcast(index.words.tobytes())
-
-    def chosen(has: bool):
-        def run(batches):
-            wanted = BitIndex(bits, np.frombuffer(shared.value, U))
-            for b in batches:
-                yield b.filter(pa.array(wanted.has(mix(np.asarray(b.column("d")).view(U) ^ mix(np.asarray(b.column("h")).view(U)))) == has))
-
-        return run
+    chosen = perhaps_in(docs, of, bits)
 
     def plain(batches):
         for b in chosen(False)(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from ._numeric import U, Words, chunks, grams, mix
 from ._places import meeting, met_key, slice_count
-from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes, with_places
+from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes
 from ._store import Scratch
 
 class Rolling:
@@ -70,8 +70,7 @@ def repeats(docs: DataFrame, window: int, most: int, slice_bytes: int | None, sc
     def spread(batch):
         return np.frombuffer(b"".join(batch.column("ids").to_pylist()), U).reshape(batch.num_rows, offsets), window - block
 
-    rows = lambda: with_places(docs, met).mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, ids binary")
-    return repeated_intervals(rows, common, spread, window, scratch, slice_bytes=slice_bytes)
+    return repeated_intervals(docs, met, common, anchors, "g bigint, d bigint, h bigint, at int, ids binary", spread, window, scratch, slice_bytes=slice_bytes)
 
 
 def kept_words(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):

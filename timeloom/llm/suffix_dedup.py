@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from ._numeric import BASES, U, chunks, mix, pair, powers
 from ._places import meeting, met_key, slice_count
-from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes, with_places
+from ._repeats import cut_out, keyed, repeated_intervals, row_names, text_bytes
 from ._store import Scratch
 
 Q = 64
@@ -115,8 +115,7 @@ def repeats(docs: DataFrame, length: int, most: int, slice_bytes: int | None, sc
         start = at[:, : before + 1]
         return np.where((start >= 0) & (start + length <= size[:, None]), ids, U(0)), before
 
-    rows = lambda: with_places(docs, met).mapInArrow(anchors, "g bigint, d bigint, h bigint, at int, left int, around binary")
-    return repeated_intervals(rows, common, spread, length, scratch, slice_bytes=slice_bytes)
+    return repeated_intervals(docs, met, common, anchors, "g bigint, d bigint, h bigint, at int, left int, around binary", spread, length, scratch, slice_bytes=slice_bytes)
 
 
 def kept_bytes(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):
