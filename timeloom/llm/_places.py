@@ -27,7 +27,7 @@ DEALT = "slice int, kind int, chunk bigint, key binary, place binary, names bina
 #: Places that meet, by chunk; what is known of a chunk; without a chunk, keys of more than ``most`` places.
 FOUND = "chunk bigint, key binary, place binary, names binary, starts binary"
 MET = "name binary, at binary, key array<bigint>"
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def slice_count(text_bytes: int, slice_bytes: int | None = None) -> int:
@@ -124,8 +124,8 @@ class _Slice:
             yield None, self._whole(self.key[many]), None, None, None
 
 
-def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, width: int = 16, most: int = 1 << 62, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((name, at, key) of each text with places that meet, (g) keys of more than ``most`` places).
+def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, width: int = 16, most: int = 1 << 62, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((name, at, key) of each text with places that meet, (g) keys of more than ``most`` places, the table that both read).
 
     ``places(batch)`` yields of each chunk of ``rows``: names (bytes, ``width`` for each text), starts (ascending), places
     (ascending, counted over the chunk; one belongs to the last text that starts at or before it), keys (uint64, well mixed),
@@ -207,4 +207,4 @@ def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, wi
             for key in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64))], ["g"])
 
-    return met, found.where("chunk is null").select("key").mapInArrow(listed, "g bigint")
+    return met, found.where("chunk is null").select("key").mapInArrow(listed, "g bigint"), found

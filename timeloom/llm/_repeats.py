@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -100,20 +100,29 @@ def placed(met: DataFrame) -> DataFrame:
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(text, d, h, at) of the rows of :func:`keyed` that have ``places``; other texts aren't shuffled."""
     docs = docs.select("text", "d", "h")
-    return docs.mapInArrow(perhaps_in(docs, places)(True), docs.schema).join(places.select("d", "h", "at"), ["d", "h"]).select("text", "d", "h", "at")
+    some = docs.mapInArrow(perhaps_in(docs, places)(True), docs.schema)
+    return some.join(hashed_if_small(places.select("d", "h", "at"), F.octet_length("at")), ["d", "h"]).select("text", "d", "h", "at")
 
 
-def repeated_intervals(docs: DataFrame, met: DataFrame, common: DataFrame, anchors: Callable, schema: str, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
+def hashed_if_small(side: DataFrame, width: Column, most: int = 32 << 20) -> DataFrame:
+    """A side of a join with texts, hashed where its share of a partition is ``most`` bytes at most, so that texts aren't sorted."""
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = side.agg(F.sum(width + 64)).first()[0] or 0
+    return side.hint("shuffle_hash") if size <= most * parts else side
+
+
+def repeated_intervals(docs: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame], anchors: Callable, schema: str, spread: Callable, length: int, scratch: Scratch, batch_rows: int = 1000, slice_bytes: int | None = None) -> DataFrame:
     """(d, h, a, b): intervals that cover every window of ``length`` which occurs at two places or more.
 
-    ``met``: names and places of the texts that have anchors. ``anchors(batches)`` makes rows of ``schema`` from their texts,
+    ``found``: what :func:`meeting` found of anchors. ``anchors(batches)`` makes rows of ``schema`` from their texts,
     (text, d, h, at). ``spread(batch)`` gives (identifiers (rows, offsets), how far before the anchor the first window starts). Contents that are
-    not in ``common`` (g) are compared in one task, where they stream by. Around common ones, rows with the same surroundings
+    not common are compared in one task, where they stream by. Around common ones, rows with the same surroundings
     are settled by counting those; of the distinct surroundings left, windows are compared by key in slices.
     """
-    common = scratch.save(common, "common")
+    common = scratch.save(found[1], "common")
     some_common = bool(common.take(1))
-    places = scratch.save(placed(met), "places")
+    places = scratch.save(placed(found[0]), "places")
+    scratch.drop(found[2])
     n = int(common.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def few(batches):
@@ -184,7 +193,7 @@ def repeated_intervals(docs: DataFrame, met: DataFrame, common: DataFrame, ancho
             names = np.column_stack([np.asarray(part.column("d")), np.asarray(part.column("h")), np.asarray(part.column("at")).astype(np.int64) - before]).astype("<i8")
             yield names.tobytes(), np.arange(len(ids)) * width, row * width + column, mix(ids[row, column] ^ mix(column.astype(U))), None
 
-    met, _ = meeting(rest, windows, slice_count(rest.count() * 1024, slice_bytes), scratch, width=24, exact=True)
+    met, _, _ = meeting(rest, windows, slice_count(rest.count() * 1024, slice_bytes), scratch, width=24, exact=True)
 
     def spans(batches):
         for b in batches:
@@ -205,7 +214,6 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, s
     """
     # As many as a row has anchors at most.
     of = scratch.save(intervals.groupBy("d", "h").agg(F.collect_set(F.struct("a", "b")).alias("s")), "intervals")
-    scratch.release()
 
     chosen = perhaps_in(docs, of, bits)
 
@@ -223,5 +231,5 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut: Callable, schema: str, s
                 e.append([x[1] for x in s])
             yield from cut(b.column("doc_id").to_pylist(), b.column("text"), a, e)
 
-    some = docs.mapInArrow(chosen(True), docs.schema).join(of.hint("shuffle_hash"), ["d", "h"], "left").select("doc_id", "text", "s")
+    some = docs.mapInArrow(chosen(True), docs.schema).join(hashed_if_small(of, 32 * F.size("s")), ["d", "h"], "left").select("doc_id", "text", "s")
     return docs.mapInArrow(plain, schema).union(some.mapInArrow(joined, schema))

@@ -6,19 +6,24 @@ executor then costs the tasks it held and no lineage has to be replayed from the
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. A local folder stands in for it only where it is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="timeloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="timeloom-")
+        where = _folders[app]
     return where.rstrip("/")
 
 
@@ -41,18 +46,21 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a frame that reads it, with the path kept for :meth:`drop`."""
+        """Write ``df`` and return a frame that reads it, with the path kept for :meth:`drop`.
+
+        What was shuffled for it is no longer needed then, and Spark is told to remove it when the write ends.
+        """
         where = self.path(name)
-        df.write.parquet(where)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
         return out
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of what has been written already: its cleaner follows the JVM's garbage collector."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         where = getattr(df, "_scratch_path", None)
         if where:

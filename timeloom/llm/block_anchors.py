@@ -50,12 +50,12 @@ def repeats(docs: DataFrame, window: int, most: int, slice_bytes: int | None, sc
             place = np.flatnonzero(r.whole)
             yield row_names(d[i:j], h[i:j]), r.words.at[:-1], place, r.key[place], r.block[place]
 
-    met, common = meeting(docs.select("text", "d", "h"), probes, slices, scratch, most=most)
+    found = meeting(docs.select("text", "d", "h"), probes, slices, scratch, most=most)
 
     def anchors(batches):
         for batch in batches:
             d, h, places = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
-            for i, j, data, at in chunks(batch.column(0)):
+            for i, j, data, at in chunks(batch.column(0), 1 << 18):
                 r = Rolling(data, at, block)
                 found = np.concatenate([r.words.at[k - i] + np.frombuffer(places[k], "<u4").astype(np.int64) for k in range(i, j)])
                 full = mix(grams(r.hash, window)) | U(1)
@@ -70,7 +70,7 @@ def repeats(docs: DataFrame, window: int, most: int, slice_bytes: int | None, sc
     def spread(batch):
         return np.frombuffer(b"".join(batch.column("ids").to_pylist()), U).reshape(batch.num_rows, offsets), window - block
 
-    return repeated_intervals(docs, met, common, anchors, "g bigint, d bigint, h bigint, at int, ids binary", spread, window, scratch, slice_bytes=slice_bytes)
+    return repeated_intervals(docs, found, anchors, "g bigint, d bigint, h bigint, at int, ids binary", spread, window, scratch, slice_bytes=slice_bytes)
 
 
 def kept_words(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):

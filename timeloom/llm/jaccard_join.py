@@ -273,7 +273,6 @@ def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5, percent: in
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
 
     _, shared = BitIndex.built(docs.select(text).mapInArrow(keys, "slice int, keys binary"), bits, twice=True)
-    scratch.release()
     index = docs.sparkSession.sparkContext.broadcast((shared.bits, shared.words.tobytes()))
     keep = [f for f in docs.schema.fields if f.name not in ("n", "c", "bits", "tokens")]
     place = [f.name for f in keep].index(text) if text in [f.name for f in keep] else None
@@ -342,11 +341,9 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 8
     roles = roles.withColumn("band", F.floor(F.log("n") / float(np.log(BAND * 100 / percent))).cast("int") - F.col("role"))
     many = _in_tiles(_tiled(roles, tile_rows, ["c", "n", "bits", "role"]), _links(percent, True, False))
     maybe = scratch.save(few.union(many).distinct(), "maybe")
-    scratch.release()
     clusters = connected_components(maybe, scratch).select(F.col("node").alias("c"), F.xxhash64("root").alias("t"))
     sets = _sets_of(docs, clusters, k).join(clusters, "c").groupBy("c", "t").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sets").alias("sets")).withColumn("band", F.lit(0))
     sets = scratch.save(sets, "clusters")
-    scratch.release()
     return _in_tiles(_tiled(sets, block_rows, ["c", "n", "bits", "sets"]), _links(percent, False, True))
 
 

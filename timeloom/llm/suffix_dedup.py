@@ -90,12 +90,12 @@ def repeats(docs: DataFrame, length: int, most: int, slice_bytes: int | None, sc
             place, bucket = anchors_of(data, at, length)
             yield row_names(d[i:j], h[i:j]), at[:-1], place, mix(bucket), None  # anchors have small hashes; keys need to be spread
 
-    met, common = meeting(docs.select("text", "d", "h"), buckets, slices, scratch, most=most)
+    found = meeting(docs.select("text", "d", "h"), buckets, slices, scratch, most=most)
 
     def anchors(batches):
         for batch in batches:
             d, h, places = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
-            for i, j, data, at in chunks(batch.column(0)):
+            for i, j, data, at in chunks(batch.column(0), 1 << 18):
                 place = np.concatenate([at[k - i] + np.frombuffer(places[k], "<u4").astype(np.int64) for k in range(i, j)])
                 row = np.searchsorted(at, place, "right") - 1
                 first, stop = np.maximum(at[row], place - before), np.minimum(at[row + 1], place + length)
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame, length: int, most: int, slice_bytes: int | None, sc
         start = at[:, : before + 1]
         return np.where((start >= 0) & (start + length <= size[:, None]), ids, U(0)), before
 
-    return repeated_intervals(docs, met, common, anchors, "g bigint, d bigint, h bigint, at int, left int, around binary", spread, length, scratch, slice_bytes=slice_bytes)
+    return repeated_intervals(docs, found, anchors, "g bigint, d bigint, h bigint, at int, left int, around binary", spread, length, scratch, slice_bytes=slice_bytes)
 
 
 def kept_bytes(ids: list, column: pa.Array, a: list[list[int]], b: list[list[int]]):
