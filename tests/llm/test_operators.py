@@ -96,8 +96,8 @@ def test_common_shingles_meet_in_blocks(spark, docs):
     """The path for shingles of more texts than a tile takes."""
     scratch = Scratch(spark, "test")
     only = docs.where("doc_id is not null and text not like 'another text%'").select("doc_id", "text")
-    classes = scratch.save(jaccard_join.shingle_classes(only, scratch=scratch).drop("text"), "classes")
-    links = jaccard_join.near_links(only, classes, tile_rows=3, block_rows=2, scratch=scratch)
+    classes = scratch.save(jaccard_join.shingle_classes(only).drop("text"), "classes")
+    links = jaccard_join.near_links(only, classes, tile_rows=3, block_rows=2, scratch=scratch, slice_bytes=3000)
     roots = {bytes(r.node): bytes(r.root) for r in connected_components(links, scratch).collect()}
     rows = [r for r in classes.collect() if r.c is not None]
     got, want = {}, {}
@@ -301,7 +301,7 @@ def test_near_links_of_other_sizes(spark):
     texts = [" ".join(base), *[" ".join(base + [f"v{k}x{i}" for i in range(26)]) for k in range(6)]]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     scratch = Scratch(spark, "test")
-    classes = jaccard_join.shingle_classes(rows, percent=50, scratch=scratch).select("doc_id", "c", "n", "bits", "tokens")
+    classes = jaccard_join.shingle_classes(rows).select("doc_id", "c", "n", "bits")
     links = jaccard_join.near_links(rows, scratch.save(classes, "classes"), percent=50, tile_rows=1, block_rows=2, scratch=scratch)
     assert len({(r.u, r.v) for r in links.collect()}) == 6
 

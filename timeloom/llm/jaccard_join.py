@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z), split into words, and turned into sets of hashed wo
 is at least t share one of the n - ceil(t n) + 1 first shingles of either, in any order that all follow: here by hash, with
 the most common shingles last. Only texts that share such a shingle meet:
 
-1. the first shingles of all texts go, packed, through fixed-size bit slices; those of one text alone are forgotten;
+1. the first shingles of all texts are dealt by hash into slices, some 5 bytes each; those of one text alone are forgotten;
 2. texts of equal sets become one class; classes that share a shingle meet in a tile. A shingle of more texts than a tile
    takes has a tile for each band of sizes (a ratio a little above 100 / percent) with the next, cut into pairs of blocks of
    bounded size. There the parity bitmaps' differing bits bound the overlap from above. A tile gives a spanning forest of what passes, not its pairs;
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import BitIndex, U, Words, as_long, chunks, grams, mix, set_id, shingle_sets
+from ._places import meeting, slice_count
+from ._repeats import text_bytes
 from ._store import Scratch
 from .components import connected_components
 
@@ -241,63 +243,60 @@ def common_shingles(docs: DataFrame, k: int, least: int = 64, most: int = 100_00
     return bits
 
 
-def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, bits: int = 29, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with: n (set size), c (16 bytes naming the set, null where empty), bits, tokens (the smallest shingles that may be shared).
+def smallest(s: np.ndarray, late: BitIndex, percent: int) -> np.ndarray:
+    """The shingles of a set of which any set that is near shares one: the first in an order with the common ones last."""
+    if not len(s):
+        return s
+    last = late.has(s)
+    n = len(s) - -(-percent * len(s) // 100) + 1
+    return mix(np.concatenate((s[~last], s[last]))[:n] if last.any() else s[:n])
 
-    Every column of ``docs`` stays except one called like these. A null text is an empty one.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
 
+def shared_tokens(docs: DataFrame, text: str, k: int, percent: int, scratch: Scratch, slice_bytes: int | None = None) -> DataFrame:
+    """(c, t): the :func:`smallest` shingles that a set has in common with another, each set once; sets that share none are left out."""
     frequent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select(text), k).tobytes())
 
-    def smallest(s: np.ndarray, late: BitIndex) -> np.ndarray:
-        if not len(s):
-            return s
-        last = late.has(s)
-        n = len(s) - -(-percent * len(s) // 100) + 1
-        return mix(np.concatenate((s[~last], s[last]))[:n] if last.any() else s[:n])
-
-    def keys(batches):
+    def tokens(batch):
         late = BitIndex(COMMON_BITS, np.frombuffer(frequent.value, U))
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                known, each = set(), []
-                for s in shingle_sets(Words(data, at, lower=True), k):
-                    if len(s) and (c := (len(s), int(s.sum(dtype=U)))) not in known:  # equal sets count once
-                        known.add(c)
-                        each.append(smallest(s, late))
-                if each:
-                    # A key in two sets of this chunk must reach its slice twice.
-                    key, n = np.unique(np.concatenate(each), return_counts=True)
-                    got = [*BitIndex.sliced(key), *BitIndex.sliced(key[n > 1])]
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["slice", "keys"])
-
-    _, shared = BitIndex.built(docs.select(text).mapInArrow(keys, "slice int, keys binary"), bits, twice=True)
-    index = docs.sparkSession.sparkContext.broadcast((shared.bits, shared.words.tobytes()))
-    keep = [f for f in docs.schema.fields if f.name not in ("n", "c", "bits", "tokens")]
+        for _, _, data, at in chunks(batch.column(0)):
+            known = {}
+            for s in shingle_sets(Words(data, at, lower=True), k):
+                if len(s) and (c := set_id(s)) not in known:  # equal sets count once
+                    known[c] = smallest(s, late, percent)
+            stop = np.cumsum([len(x) for x in known.values()], dtype=np.int64)
+            total = int(stop[-1]) if len(stop) else 0
+            yield b"".join(known), np.concatenate(([0], stop[:-1])) if total else stop, np.arange(total), np.concatenate(list(known.values())) if total else np.zeros(0, U), None
+
+    only = docs.select(docs[text].cast("string").alias("text"))
+    met, _, found = meeting(only, tokens, slice_count(text_bytes(only), slice_bytes), scratch)
+    out = scratch.save(met.select(F.col("name").alias("c"), F.col("key").alias("t")).dropDuplicates(["c"]), "tokens")
+    scratch.drop(found)
+    return out
+
+
+def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5) -> DataFrame:
+    """``docs`` with: n (set size), c (16 bytes naming the set, null where empty), bits (of the set, null where empty).
+
+    Every column of ``docs`` stays except one called like these. A null text is an empty one.
+    """
+    keep = [f for f in docs.schema.fields if f.name not in ("n", "c", "bits")]
     place = [f.name for f in keep].index(text) if text in [f.name for f in keep] else None
     if place is None:
         raise ValueError(f"no column {text}")
 
     def classes(batches):
-        w, packed = index.value
-        shared, late = BitIndex(w, np.frombuffer(packed, U)), BitIndex(COMMON_BITS, np.frombuffer(frequent.value, U))
         for batch in batches:
             for i, j, data, at in chunks(batch.column(place)):
-                n, c, bit, tokens = [], [], [], []
-                for s in shingle_sets(Words(data, at, lower=True), k):
-                    n.append(len(s))
-                    got = smallest(s, late)
-                    got = got[shared.has(got)]
-                    c.append(set_id(s) if len(s) else None)
-                    tokens.append(as_long(got))
-                    bit.append(parity_bits(s) if len(got) else None)
+                sets = list(shingle_sets(Words(data, at, lower=True), k))
+                n = [len(s) for s in sets]
+                c = [set_id(s) if len(s) else None for s in sets]
+                bit = [parity_bits(s) if len(s) else None for s in sets]
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(x) for x in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bit, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], [f.name for f in keep] + ["n", "c", "bits", "tokens"])
+                yield pa.RecordBatch.from_arrays([own.column(x) for x in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bit, pa.binary())], [f.name for f in keep] + ["n", "c", "bits"])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    extra = _parse_datatype_string("n bigint, c binary, bits binary, tokens array<bigint>")
+    extra = _parse_datatype_string("n bigint, c binary, bits binary")
     return docs.select(*[f.name for f in keep]).mapInArrow(classes, StructType(keep + extra.fields))
 
 
@@ -328,13 +327,15 @@ def _sets_of(docs: DataFrame, clusters: DataFrame, k: int, bits: int = 26) -> Da
     return docs.select(docs["text"]).mapInArrow(run, "c binary, n bigint, bits binary, sets binary")
 
 
-def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 80, tile_rows: int = 2048, block_rows: int = 512, scratch: Scratch | None = None) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 80, tile_rows: int = 2048, block_rows: int = 512, scratch: Scratch | None = None, slice_bytes: int | None = None) -> DataFrame:
     """(u, v): a spanning forest of all exact links between the sets of :func:`shingle_classes` of ``docs`` (text)."""
     scratch = scratch or Scratch(classes.sparkSession, "jaccard")
-    one = classes.where("size(tokens) > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
-    rows = one.select(F.explode("tokens").alias("t"), "c", "n", "bits")
+    tokens = shared_tokens(docs, "text", k, percent, scratch, slice_bytes)
+    one = classes.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    one = scratch.save(tokens.join(one, "c"), "sharing")
+    rows = one.select(F.explode("t").alias("t"), "c", "n", "bits")
     # Shingles of more texts than a tile takes; written, so that Catalyst knows its size and may broadcast it.
-    common = scratch.save(classes.where("size(tokens) > 0").dropDuplicates(["c"]).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > tile_rows), "common")
+    common = scratch.save(one.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > tile_rows), "common")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = rows.join(common, "t", "left_anti").repartition(n, "t").sortWithinPartitions("t").mapInArrow(lambda b: near_pairs(b, percent), "u binary, v binary")
     roles = rows.join(common.select("t"), "t").withColumn("role", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -352,13 +353,12 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the smallest doc_id that links reach, the row's own for a text without words. Rows with a null doc_id get
     the component's smallest id too, null where no row of it has one. Repeated rows each have a result row. An empty table
-    gives none. Further columns take no part.
+    gives none. A text of any length is taken whole. Further columns take no part.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     only = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    classes = shingle_classes(only, "text", k, percent, scratch=scratch).drop("text")
-    classes = scratch.save(classes, "classes")
+    classes = scratch.save(shingle_classes(only, "text", k).drop("text"), "classes")
     roots = connected_components(scratch.save(near_links(only, classes, k, percent, scratch=scratch), "links"), scratch)
     ids = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     of = ids.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
