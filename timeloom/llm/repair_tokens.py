@@ -2,7 +2,7 @@
 
 Texts are range-partitioned by id, encoded, and written in blocks of about ``block_bytes`` of text. A block is a shard with a
 grammar of its own: the most frequent pairs of neighbouring ids, counted over the whole block, become nonterminals, all
-occurrences are replaced, and this repeats on what results. Pairs never cross documents, so each document is a run of symbols
+occurrences are replaced, and this repeats on what results until no pair pays for its rule or symbols run out. Pairs never cross documents, so each document is a run of symbols
 of its own. A block holds, little-endian and in this order:
 
     "RPB1", then u32: documents, rules, symbols, first nonterminal
@@ -20,6 +20,7 @@ neighbours. Each Python worker keeps a bounded table of words it has encoded wit
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -131,12 +132,15 @@ def word_table(file: str) -> WordTable:
     return _tables[file]
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int = 4, pairs: int = 4000, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules (n, 2), symbols of each document): up to ``pairs`` pairs a round, of ``least`` occurrences or more."""
+def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int | None = None, pairs: int = 4000, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules (n, 2), symbols of each document): the ``pairs`` most frequent pairs a round, of ``least`` occurrences or more.
+
+    Ends when no pair is left that pays for its rule of 8 bytes, or all 16-bit symbols are used, or after ``rounds``.
+    """
     s, rules = ids.astype(np.int32), []
     ends = np.zeros(len(s), bool)
     ends[np.cumsum(counts) - 1] = True
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         room = min(pairs, (1 << 16) - first - len(rules))
         if len(s) < 2 or room <= 0:
             break
