@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id (operator 5).
 
-    Of repeated rows of that id one stays. Rows without an id stay only if their component has no other.
+    Of repeated rows of that id one stays. Rows without an id all stay, as nothing tells them apart.
     """
     return jaccard_join.without_near_copies(docs)
 

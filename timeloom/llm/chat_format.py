@@ -91,7 +91,7 @@ def encoder(file: str) -> Encoder:
 
 
 def formatted(turns: DataFrame, file: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_ids: int = 200_000) -> DataFrame:
-    """Rows of chunks (see above). Turns are in order of ``turn``, nulls first, ties by role and then encoded text.
+    """Rows of chunks (see above). Turns are in order of ``turn``, nulls first, ties by role and then text.
 
     A null role or text is an empty one. Rows of a null conv_id form one conversation of that id. Repeated rows are turns of
     their own. An empty table gives no rows; further columns take no part.
@@ -104,7 +104,7 @@ def formatted(turns: DataFrame, file: str, conv_id: str = "conv_id", turn: str =
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 ids = [x.tobytes() for x in enc.encode([escape(x) for x in part.column(3).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.binary())], ["conv_id", "turn", "role", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.binary()), part.column(3)], ["conv_id", "turn", "role", "ids", "text"])
 
     def assemble(batches):
         enc = encoder(file)
@@ -140,8 +140,8 @@ def formatted(turns: DataFrame, file: str, conv_id: str = "conv_id", turn: str =
             yield out()
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = only.mapInArrow(encode, "conv_id bigint, turn bigint, role string, ids binary")
-    return encoded.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids").mapInArrow(assemble, FORMATTED)
+    encoded = only.mapInArrow(encode, "conv_id bigint, turn bigint, role string, ids binary, text string")
+    return encoded.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "ids").mapInArrow(assemble, FORMATTED)
 
 
 def read_turns(enc: Encoder, ids: np.ndarray):

@@ -140,11 +140,16 @@ def graded(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
 
 
 def fit_toxicity(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 8_000, bits: int = BITS) -> OrdinalModel:
-    """A model from the ``sample`` rows of ``grades`` (doc_id, grade) with the smallest id hashes that have a document."""
+    """A model from the ``sample`` rows of ``grades`` (doc_id, grade) with the smallest id hashes.
+
+    A label without a document adds nothing. Of several rows of an id the one with the smallest text hash counts. A null or
+    empty text has no features. Without labels the model says 0 of every text.
+    """
     small_batches(docs.sparkSession)
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     only = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = only.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def packed(batches):
         for b in batches:
@@ -152,7 +157,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(f, pa.binary())], ["doc_id", "grade", "f"])
 
     got = rows.select("text", "doc_id", "grade").mapInArrow(packed, "doc_id bigint, grade int, f binary").toPandas()
-    got = got.drop_duplicates().sort_values(["doc_id", "f"])
+    got = got.sort_values("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got["f"]], got["grade"].to_numpy(), bits)
 
 
@@ -174,7 +179,7 @@ def scored(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: s
 
 
 def not_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = 0.2) -> DataFrame:
-    """The rows of ``docs``, all columns, of a severity below ``reject``."""
+    """The rows of ``docs``, all columns, of a severity below ``reject``; each repeated row and each null or empty text stays or goes as :func:`scored` says."""
     small_batches(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
