@@ -413,3 +413,22 @@ def test_severity(spark, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic}
     empty = toxicity.fit_toxicity(none, toxicity.graded(labels.limit(0)))
     assert {r.severity for r in toxicity.scored(docs.limit(3), empty).collect()} == {0.0} and toxicity.scored(none, empty).collect() == []
+
+
+def test_texts_above_a_chunk(spark):
+    """Texts longer than the chunks that texts are read in, of which two share their ends."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("%06x" % rng.getrandbits(24) for _ in range(n))
+    end = say(300)
+    rows = [(1, say(160_000) + " " + end), (2, say(150_100) + " " + end + " last"), (3, "short " + end), (4, "none of it")]
+    assert all(len(t) > 1 << 20 for _, t in rows[:2])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = {d: t.split() for d, t in rows}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in block_anchors.without_repeats(docs).collect()} == {d: (len(w), 300 if d < 4 else 0) for d, w in words.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_removed >= len(end), r.n_spans) for r in suffix_dedup.without_repeats(docs, digest=True).collect()} == {d: (len(t), d < 4, int(d < 4)) for d, t in rows}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(docs).collect()} == {d: (len(shingles(t)), d) for d, t in rows}
+    want = {d: (n, round(s, 4)) for d, n, s in brute_scores(rows, 2)}
+    assert all(r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 2e-3 for r in lm_score.scores(docs).collect())
+    assert {r.doc_id: r.taken <= 2 * r.size and r.size == len(words[r.doc_id]) for r in mixing.mixture(docs.withColumn("source", F.lit("s"))).collect()} == {d: True for d in words}
+    items = spark.createDataFrame([(7, " ".join(end.split()[100:120]))], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in contamination.contained_items(docs, items).collect()) == [1, 2, 3]
