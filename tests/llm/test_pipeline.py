@@ -1,11 +1,16 @@
 """The pipeline, stage by stage, on tables of its own."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from timeloom.llm._store import Scratch
+from timeloom.llm.queries import vocabulary
 from tests.llm.test_operators import _contains, brute_components, graded_text
 
 
@@ -40,4 +45,8 @@ def test_stages(spark, folder):
     assert {r[0] for r in kept["decontamination"]} == {r[0] for r in kept["near_duplicates"] if not _contains(r[1], items)}
     assert {r[0] for r in kept["mixing"]} <= {r[0] for r in kept["decontamination"]} and len(kept["mixing"]) > len(kept["decontamination"])
     assert sorted(r[0] for r in kept["tokens"]) == sorted(r[0] for r in kept["mixing"])
+    plain = Tokenizer.from_file(vocabulary())
+    ids = {r[:2]: [*plain.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in kept["mixing"]}
+    assert Counter((d, n, crc) for d, _, n, crc in kept["tokens"]) == Counter((r[0], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r in kept["mixing"] for x in [ids[r[:2]]])
+    assert [r[1] for r in sorted(kept["tokens"], key=lambda r: r[1])] == np.cumsum([0, *(r[2] for r in sorted(kept["tokens"], key=lambda r: r[1]))])[:-1].tolist()
     assert corpus_pipeline.run(spark, root).count() == len(kept["tokens"])
