@@ -4,8 +4,12 @@ A tree's node splits space by the median of a projection on the difference of tw
 random direction. Largest inner products are nearest neighbours once each vector has a further component that brings it to the
 greatest length of all, and a query has 0 there. Trees are fitted on a bounded sample; every vector is then dealt to its leaf
 in each tree. A query walks all trees with one queue: of all open nodes, whichever tree they are in, the one that the query is
-least on the wrong side of is opened next, until the leaves reached hold ``search`` vectors. Queries and vectors meet by leaf,
-where exact inner products in double precision give each leaf's best, and a query's best of all leaves is the result.
+least on the wrong side of is opened next, until the leaves reached hold enough vectors: ``effort * n ** (1 - fall)``, a share
+of all that falls as ``n`` grows, counted in each tree.
+
+Vectors and queries travel in packs of bounded size, and the packs of neighbouring leaves are joined, so no task holds a leaf,
+whatever its size. A pair of packs is multiplied leaf by leaf, for those queries alone that reached the leaf; a query's best
+are kept while its pack lasts. Scores of what remains are summed again in one fixed order, from the original vectors.
 
 Equal vectors are one entry of the index with their smallest ids, as many as can appear in a result; no leaf fills with copies.
 """
@@ -15,13 +19,18 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import Scratch
 
+#: Vectors or queries of a pack, vectors of neighbouring leaves that are joined as one group, and vectors a task packs at once.
+PACK, GROUP, HELD = 512, 16_384, 65_536
+#: More than ``k`` of a query that are scored again, so that the order of summing can't decide what is among them.
+SPARE = 8
+
 
 class Tree:
     """Nodes in heap order: children of i are 2 i + 1 and 2 i + 2; leaves follow the inner nodes."""
@@ -83,16 +92,97 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(~bad & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, trees: int = 4, leaf: int = 512, max_depth: int = 13, sample: int = 40_000, share: float = 1.1, least: int = 2000, seed: int = 11) -> DataFrame:
+def packs(cells, keys, entries, vectors, lists=None):
+    """Record batches of packs: rows of one (tree, near), ``PACK`` at most, with their leaves or lists of leaves."""
+    order = np.lexsort((keys[2], keys[1], keys[0])) if lists is None else np.lexsort((keys[1], keys[0]))
+    group = np.column_stack((keys[0][order], keys[1][order]))
+    starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)]) if len(order) else []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        for i in range(a, b, PACK):
+            own = order[i : min(b, i + PACK)]
+            if lists is None:
+                leaves, of = keys[2][own], b""
+            else:
+                leaves = np.concatenate([lists[j] for j in own])
+                of = np.repeat(np.arange(len(own), dtype=np.int32), [len(lists[j]) for j in own]).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], k) for x, k in ((int(group[a][0]), pa.int32()), (int(group[a][1]), pa.int32()), (leaves.astype(np.int32).tobytes(), pa.binary()), (of, pa.binary()), (entries[own].tobytes(), pa.binary()), (vectors[cells[own]].tobytes(), pa.binary()))],
+                ["tree", "near", "leaves", "of", "entries", "vs"],
+            )
+
+
+PACKED = "tree int, near int, leaves binary, of binary, entries binary, vs binary"
+
+
+def held(batches):
+    """(vectors, entries) of up to ``HELD`` rows at a time."""
+    xs, es, n = [], [], 0
+    for b in batches:
+        if b.num_rows:
+            xs.append(np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1))
+            es.append(np.asarray(b.column(1)))
+            n += b.num_rows
+        if n >= HELD:
+            yield np.concatenate(xs), np.concatenate(es)
+            xs, es, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(es)
+
+
+class Best:
+    """The ``k`` best entries of each query of one pack, as packs of vectors pass by."""
+
+    def __init__(self, row: dict, kind: type, k: int):
+        self.name, self.k = (row["q_entries"], row["q_leaves"]), k
+        self.entries = np.frombuffer(row["q_entries"], np.int64)
+        self.v = np.frombuffer(row["q_vs"], kind).reshape(len(self.entries), -1).astype(float)
+        leaves, of = np.frombuffer(row["q_leaves"], np.int32), np.frombuffer(row["of"], np.int32)
+        order = np.argsort(leaves, kind="stable")
+        self.leaves, self.of = leaves[order], of[order]
+        self.floor = np.full(len(self.entries), -np.inf)
+        self.parts, self.pending = [], 0
+
+    def see(self, leaves: np.ndarray, entries: np.ndarray, v: np.ndarray) -> None:
+        for leaf in np.intersect1d(leaves, self.leaves):
+            asking = self.of[np.searchsorted(self.leaves, leaf) : np.searchsorted(self.leaves, leaf, "right")]
+            own = np.flatnonzero(leaves == leaf)
+            score = self.v[asking] @ v[own].T
+            at, col = np.nonzero(score >= self.floor[asking][:, None])
+            self.parts.append((asking[at], entries[own[col]], score[at, col]))
+            self.pending += len(at)
+        if self.pending > 4 * self.k * len(self.entries):
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.parts:
+            return
+        of, entry, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((entry, -score, of))
+        of, entry, score = of[order], entry[order], score[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        last = place == self.k - 1
+        self.floor[of[last]] = score[last]
+        stay = place < self.k
+        self.parts, self.pending = [(of[stay], entry[stay], score[stay])], 0
+
+    def batch(self) -> pa.RecordBatch:
+        self.reduce()
+        of, entry, score = self.parts[0] if self.parts else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.entries[of], pa.int64()), pa.array(entry, pa.int64()), pa.array(score, pa.float64())], ["query", "entry", "score"])
+
+
+def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, trees: int = 8, leaf: int = 128, max_depth: int = 13, sample: int = 40_000, effort: float = 5.5, fall: float = 0.2, least: int = 2000, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` where ``queries`` (a condition on vec_id) holds, its ``k`` nearest found.
 
     Nearness is the inner product, larger first, ties to the smaller id; all rows but those of the query's own id are
     candidates. Vectors null, zero, or holding null or not finite components take no part, nor do rows without an id or
     vectors of another length than most. Repeated rows count once. Fewer than ``k`` candidates are all returned; an empty
-    table gives an empty result. ``share``: of all vectors, how many the leaves searched hold, counted in each tree.
+    table gives an empty result. ``effort``, ``fall``, ``least``: how many vectors the leaves that a query reaches hold,
+    counted in each tree: ``effort * n ** (1 - fall)``, ``least`` at least.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "forest")
     schema = "query_id bigint, rank int, vec_id bigint, score double"
+    kind = np.float32 if vectors.schema[embedding].dataType == T.ArrayType(T.FloatType(), vectors.schema[embedding].dataType.containsNull) else np.float64
     rows = valid_vectors(vectors, vec_id, embedding).withColumn("size", F.size("v"))
     size = rows.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
     if size is None:
@@ -112,62 +202,57 @@ def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str
 
     depth = int(min(max_depth, max(0, np.ceil(np.log2(max(1, n / leaf))))))
     forest = spark.sparkContext.broadcast(Forest(lifted(np.stack(fit.to_list())), trees, depth, seed))
-    # Neighbouring leaves meet in one group, 8 a tree unless leaves are too many for groups of 2**8; a query then has a bounded
-    # number of partial results however many leaves it visits.
-    together = max(0, min(depth - 3, 8))
-    wanted = max(share, least / n) if n else 1.0
-
-    def matrix(column) -> np.ndarray:
-        return np.asarray(column.flatten()).reshape(len(column), -1)
+    # Neighbouring leaves are joined as one group of about GROUP vectors.
+    together = int(min(depth, max(0, np.floor(np.log2(max(1.0, GROUP * (1 << depth) / n))))))
+    wanted = max(effort * n**-fall, least / n)
 
     def deal(batches):
-        for b in batches:
-            x = matrix(b.column(0))
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
+        for x, entries in held(batches):
+            up = lifted(x)
             for t, tree in enumerate(forest.value.trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaves(lifted(x)).astype(np.int32)), b.column(1), packed], ["tree", "leaf", "entry", "v"])
+                leaves = tree.leaves(up)
+                yield from packs(np.arange(len(x)), (np.full(len(x), t), leaves >> together, leaves), entries, x.astype(kind))
 
     def walk(batches):
-        for b in batches:
-            x = matrix(b.column(0))
-            entry = b.column(1).to_pylist()
+        for x, entries in held(batches):
+            cells, tree, near, lists = [], [], [], []
             for i, row in enumerate(x):
-                found = forest.value.search(np.append(row, 0.0), wanted)
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32()), pa.array([entry[i]] * len(found), pa.int64()), pa.array([row.tobytes()] * len(found), pa.binary())], ["tree", "leaf", "entry", "v"])
+                reached: dict[tuple[int, int], list[int]] = {}
+                for t, at in forest.value.search(np.append(row, 0.0), wanted):
+                    reached.setdefault((t, at >> together), []).append(at)
+                for (t, group), leaves in reached.items():
+                    cells.append(i)
+                    tree.append(t)
+                    near.append(group)
+                    lists.append(np.array(leaves, np.int32))
+            cells = np.array(cells, int)
+            yield from packs(cells, (np.array(tree), np.array(near)), entries[cells], x.astype(kind), lists)
 
-    kinds = "tree int, leaf int, entry bigint, v binary"
     # Queries are searched once for each vector, whatever number of rows have it.
     asked = rows.where(queries).select("vec_id", "vh", "v").distinct().join(index.select("vh", "v", "entry"), ["vh", "v"])
     asked = scratch.save(asked.select("vec_id", "entry", "v"), "queries")
-    distinct = asked.select("v", "entry").dropDuplicates(["entry"])
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query": pd.Series([], dtype="int64"), "entry": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(left) or not len(right):
-            return out
-        v, ids = np.frombuffer(b"".join(right["v"]), float).reshape(len(right), -1), right["entry"].to_numpy()
-        parts, of = [], right["leaf"].to_numpy()
-        for leaf_no, asking in left.groupby("leaf"):
-            own = np.flatnonzero(of == leaf_no)
-            if not len(own):
-                continue
-            names = asking["entry"].to_numpy()
-            for i in range(0, len(asking), 512):  # blocks of queries keep the product small
-                q = np.frombuffer(b"".join(asking["v"].iloc[i : i + 512]), float).reshape(-1, v.shape[1])
-                score = q @ v[own].T
-                some = min(k + 1, len(own))
-                least_kept = np.partition(score, -some, axis=1)[:, -some]
-                at, col = np.nonzero(score >= least_kept[:, None])
-                parts.append(pd.DataFrame({"query": names[i + at], "entry": ids[own[col]], "score": score[at, col]}))
-        if not parts:
-            return out
-        best = pd.concat(parts).sort_values(["query", "score", "entry"], ascending=[True, False, True])
-        return best.groupby("query").head(k + 1)
-
-    near = F.shiftright("leaf", together)
-    met = distinct.mapInArrow(walk, kinds).groupBy("tree", near).cogroup(index.select("v", "entry").mapInArrow(deal, kinds).groupBy("tree", near)).applyInPandas(meet, "query bigint, entry bigint, score double")
+
+    def meet(batches):
+        best = None
+        for b in batches:
+            for row in b.to_pylist():
+                if best is None or best.name != (row["q_entries"], row["q_leaves"]):
+                    if best is not None:
+                        yield best.batch()
+                    best = Best(row, kind, k + 1 + SPARE)
+                entries = np.frombuffer(row["entries"], np.int64)
+                best.see(np.frombuffer(row["leaves"], np.int32), entries, np.frombuffer(row["vs"], kind).reshape(len(entries), -1).astype(float))
+        if best is not None:
+            yield best.batch()
+
+    tasks = min(2000, trees << (depth - together))
+    dealt = index.select("v", "entry").mapInArrow(deal, PACKED).drop("of").repartition(tasks, "tree", "near")
+    walked = asked.select("v", "entry").dropDuplicates(["entry"]).mapInArrow(walk, PACKED).select("tree", "near", F.col("leaves").alias("q_leaves"), "of", F.col("entries").alias("q_entries"), F.col("vs").alias("q_vs")).repartition(tasks, "tree", "near")
+    met = walked.hint("merge").join(dealt, ["tree", "near"]).mapInArrow(meet, "query bigint, entry bigint, score double")
     best = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 1)
-    answers = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).join(best.join(index.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id")), "query").where("vec_id <> query_id")
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 1 + SPARE)
+    answers = best.select("query", "entry").join(index.select("entry", "ids", "v"), "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"), F.col("v").alias("q")), "query")
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    answers = answers.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
