@@ -350,7 +350,9 @@ def test_scores(docs, none, options):
     assert lm_score.scores(none, **options).collect() == []
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("slice_size", [32_768, 8])
+def test_nearest(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(rp_forest, "SLICE", slice_size)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 16)).astype(np.float32)
     x[50:90] = x[7]

@@ -8,7 +8,8 @@ least on the wrong side of is opened next, until the leaves reached hold enough
 of all that falls as ``n`` grows, counted in each tree.
 
 Vectors and queries travel in packs of bounded size, and the packs of neighbouring leaves are joined, so no task holds a leaf,
-whatever its size. A pair of packs is multiplied leaf by leaf, for those queries alone that reached the leaf; a query's best
+whatever its size. A tree has few such groups, so a query has as many partial results however large the table is; what grows
+is the number of slices that the queries are dealt to, each of which gets the vectors. A pair of packs is multiplied leaf by leaf, for those queries alone that reached the leaf; a query's best
 are kept while its pack lasts. Scores of what remains are summed again in one fixed order, from the original vectors.
 
 Equal vectors are one entry of the index with their smallest ids, as many as can appear in a result; no leaf fills with copies.
@@ -17,6 +18,7 @@ Equal vectors are one entry of the index with their smallest ids, as many as can
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import types as T
 
 from ._store import Scratch
 
-#: Vectors or queries of a pack, vectors of neighbouring leaves that are joined as one group, and vectors a task packs at once.
-PACK, GROUP, HELD = 512, 16_384, 65_536
+#: Vectors or queries of a pack, groups of neighbouring leaves in a tree, vectors a task packs at once, queries of a slice.
+PACK, GROUPS, HELD, SLICE = 512, 4, 65_536, 32_768
 #: More than ``k`` of a query that are scored again, so that the order of summing can't decide what is among them.
 SPARE = 8
 
@@ -106,12 +108,12 @@ def packs(cells, keys, entries, vectors, lists=None):
                 leaves = np.concatenate([lists[j] for j in own])
                 of = np.repeat(np.arange(len(own), dtype=np.int32), [len(lists[j]) for j in own]).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in ((int(group[a][0]), pa.int32()), (int(group[a][1]), pa.int32()), (leaves.astype(np.int32).tobytes(), pa.binary()), (of, pa.binary()), (entries[own].tobytes(), pa.binary()), (vectors[cells[own]].tobytes(), pa.binary()))],
-                ["tree", "near", "leaves", "of", "entries", "vs"],
+                [pa.array([x], k) for x, k in ((int(group[a][0]), pa.int32()), (int(group[a][1]), pa.int32()), (zlib.crc32(entries[own].tobytes()), pa.int64()), (leaves.astype(np.int32).tobytes(), pa.binary()), (of, pa.binary()), (entries[own].tobytes(), pa.binary()), (vectors[cells[own]].tobytes(), pa.binary()))],
+                ["tree", "near", "name", "leaves", "of", "entries", "vs"],
             )
 
 
-PACKED = "tree int, near int, leaves binary, of binary, entries binary, vs binary"
+PACKED = "tree int, near int, name bigint, leaves binary, of binary, entries binary, vs binary"
 
 
 def held(batches):
@@ -202,8 +204,7 @@ def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str
 
     depth = int(min(max_depth, max(0, np.ceil(np.log2(max(1, n / leaf))))))
     forest = spark.sparkContext.broadcast(Forest(lifted(np.stack(fit.to_list())), trees, depth, seed))
-    # Neighbouring leaves are joined as one group of about GROUP vectors.
-    together = int(min(depth, max(0, np.floor(np.log2(max(1.0, GROUP * (1 << depth) / n))))))
+    together = max(0, depth - int(np.log2(GROUPS)))
     wanted = max(effort * n**-fall, least / n)
 
     def deal(batches):
@@ -245,10 +246,12 @@ def nearest(vectors: DataFrame, queries, vec_id: str = "vec_id", embedding: str
         if best is not None:
             yield best.batch()
 
-    tasks = min(2000, trees << (depth - together))
-    dealt = index.select("v", "entry").mapInArrow(deal, PACKED).drop("of").repartition(tasks, "tree", "near")
-    walked = asked.select("v", "entry").dropDuplicates(["entry"]).mapInArrow(walk, PACKED).select("tree", "near", F.col("leaves").alias("q_leaves"), "of", F.col("entries").alias("q_entries"), F.col("vs").alias("q_vs")).repartition(tasks, "tree", "near")
-    met = walked.hint("merge").join(dealt, ["tree", "near"]).mapInArrow(meet, "query bigint, entry bigint, score double")
+    slices = max(1, -(-asked.count() // SLICE))
+    tasks, key = min(10_000, slices * trees << (depth - together)), ["tree", "near", "slice"]
+    dealt = index.select("v", "entry").mapInArrow(deal, PACKED).select("tree", "near", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "leaves", "entries", "vs").repartition(tasks, *key)
+    walked = asked.select("v", "entry").dropDuplicates(["entry"]).mapInArrow(walk, PACKED)
+    walked = walked.select("tree", "near", (F.col("name") % slices).cast("int").alias("slice"), F.col("leaves").alias("q_leaves"), "of", F.col("entries").alias("q_entries"), F.col("vs").alias("q_vs")).repartition(tasks, *key)
+    met = walked.hint("merge").join(dealt, key).drop("slice").mapInArrow(meet, "query bigint, entry bigint, score double")
     best = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 1 + SPARE)
     answers = best.select("query", "entry").join(index.select("entry", "ids", "v"), "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"), F.col("v").alias("q")), "query")
