@@ -1,11 +1,13 @@
 """Queries of the catalogue against their SQL, on whole tables."""
 
+import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from timeloom.operators import xml_logs
+from timeloom.operators import sequence, xml_logs
 from timeloom.plans import catalog, file_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +52,30 @@ def test_web_raw_lines(spark):
 @pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n.startswith("files_")))
 def test_through_files(spark, name):
     assert compared(spark, name)
+
+
+@pytest.mark.parametrize("name", ["zeek_conn", "zeek_mystery", "iis_parse", "syslog_3164_year", "csv_role_inference"])
+def test_along_files(spark, name):
+    assert compared(spark, name)
+
+
+def test_state_of_headers(spark):
+    """Headers that change, repeat and follow each other, against a loop over the lines; counts across stretches."""
+    rng, rows, want = random.Random(3), [], []
+    for f in range(4):
+        names = other = None
+        n, no = 0, 0
+        for _ in range(150):
+            no += rng.choice([1, 1, 2])
+            kind = rng.choice(["data"] * 6 + ["name", "other", "none"]) if _ or f else "data"
+            value = rng.choice("ab")
+            rows.append((f"f{f}", no, kind, value))
+            names = value if kind == "name" else names
+            other = value if kind == "other" else other
+            if kind == "data" and names is not None:
+                n += 1
+                want.append((f"f{f}", no, names, other, n))
+    lines = spark.createDataFrame(rows, "path string, line_no bigint, kind string, value string").repartition(5)
+    heads = sequence.last_value(lines.where("kind <> 'data'"), names=F.when(F.col("kind") == "name", F.col("value")), other=F.when(F.col("kind") == "other", F.col("value")))
+    got = sequence.counted(sequence.headed(lines.where("kind = 'data'"), heads, "names", "other"), "ordinal", stretch=7)
+    assert sorted(tuple(r) for r in got.select("path", "line_no", "names", "other", "ordinal").collect()) == want

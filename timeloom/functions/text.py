@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_REGEX_BYTES = 65_536
@@ -140,3 +140,8 @@ def labelled(label: str, c: Column, after: str = "") -> Column:
 
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]+\z", 0)
+
+
+def evaluated(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, which are evaluated once a row however often what follows reads them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -137,7 +137,7 @@ def csv_events(rows: DataFrame, header: list[str], ctx: Context, sticky: bool =
         "path", "source", "line_no", F.array(*[value(i) for i in stamps]).cast("array<string>").alias("candidates"),
         F.concat_ws(" | ", *[named(i) for i in messages]).alias("message"), F.coalesce(first(SOURCES), F.lit("CSVRecord")).alias("kind"), first(USERS).alias("who"), first(HOSTS).alias("where"),
     )
-    rows = in_order(rows, sticky_times(ctx.compat), "ts", "timestamp") if sticky and stamps else rows.withColumn("ts", plain_time(F.col("candidates")))
+    rows = in_order(rows, ["candidates"], sticky_times(ctx.compat), "ts", "timestamp") if sticky and stamps else rows.withColumn("ts", plain_time(F.col("candidates")))
     return event(rows, timestamp=F.col("ts"), event_type=F.col("kind"), user=F.col("who"), host=F.col("where"), message=F.col("message"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..functions.text import cut_bytes, known, labelled, trimmed
+from ..functions.text import cut_bytes, evaluated, known, labelled, trimmed
 from ..schema import Context, event
-from .sequence import last_value
+from .sequence import counted, headed, last_value
 
 # Event types by the sensor log's path.
 SENSOR_TYPES = {
@@ -23,8 +23,9 @@ def w3c(lines: DataFrame, ctx: Context) -> DataFrame:
     """Rows under the latest ``#Fields`` line above them; rows of fewer fields than it names, and those before any, are dropped."""
     tokens = F.split(trimmed(F.col("line")), r"[\t\n\f\r ]+")
     fields = F.when(F.col("line").startswith("#Fields:"), F.split(trimmed(F.substring("line", F.lit(9), F.length("line"))), r"[\t\n\f\r ]+"))
-    rows = last_value(lines.withColumn("named", fields), names=F.col("named")).where(~F.col("line").startswith("#") & F.col("names").isNotNull())
-    rows = rows.withColumn("values", tokens).where((F.size("values") >= F.size("names")) & (F.array_join("names", "") != ""))
+    heads = last_value(lines.where(F.col("line").startswith("#Fields:")).withColumn("named", fields), names=F.col("named"))
+    rows = headed(lines.where(~F.col("line").startswith("#")), heads, "names")
+    rows = evaluated(rows.where(F.array_join("names", "") != ""), ["path", "source", "line_no", "names"], values=tokens).where(F.size("values") >= F.size("names"))
     # A field that is named twice has its last place.
     place = lambda name: F.size("names") + 1 - F.array_position(F.reverse("names"), F.lit(name))
     field = lambda name: F.when(F.array_contains("names", name), F.nullif(F.try_element_at("values", place(name).cast("int")), F.lit("-")))
@@ -61,27 +62,21 @@ def _quoted(c: Column) -> Column:
 def sensor(lines: DataFrame, ctx: Context) -> DataFrame:
     """Tab-separated logs under header lines; event ids count the rows of data."""
     line = F.col("line")
-    rows = last_value(lines.withColumn("sep_here", F.when(line.startswith("#separator "), unescaped_separator(F.substring("line", F.lit(12), F.length("line"))))), sep=F.col("sep_here"))
-    rows = rows.withColumn("sep", _quoted(F.coalesce("sep", F.lit("\t"))))
+    heads = lines.where(line.startswith("#"))
+    heads = last_value(heads.withColumn("sep_here", F.when(line.startswith("#separator "), unescaped_separator(F.substring("line", F.lit(12), F.length("line"))))), sep=F.col("sep_here"))
+    heads = heads.withColumn("sep", _quoted(F.coalesce("sep", F.lit("\t"))))
     names_here = F.when(line.startswith("#fields") & (F.size(F.split(line, F.col("sep"), -1)) > 1), F.slice(F.split(line, F.col("sep"), -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split(line, F.col("sep"), -1)) - 1)))
-    rows = rows.select("*", names_here.alias("n_here"), _headed("#path", F.col("sep")).alias("p_here"), _headed("#empty_field", F.col("sep")).alias("e_here"), _headed("#unset_field", F.col("sep")).alias("u_here"))
-    rows = last_value(rows, names=F.col("n_here"), log=F.col("p_here"), empty=F.col("e_here"), unset=F.col("u_here"))
-    is_data = ~line.startswith("#") & F.col("names").isNotNull()
-    rows = rows.withColumn("data", is_data.cast("int")).withColumn("ordinal", F.sum("data").over(_up_to_here())).where("data = 1")
+    heads = heads.select("*", names_here.alias("n_here"), _headed("#path", F.col("sep")).alias("p_here"), _headed("#empty_field", F.col("sep")).alias("e_here"), _headed("#unset_field", F.col("sep")).alias("u_here"))
+    heads = last_value(heads, names=F.col("n_here"), log=F.col("p_here"), empty=F.col("e_here"), unset=F.col("u_here"))
+    rows = counted(headed(lines.where(~line.startswith("#")), heads, "names", "sep", "log", "empty", "unset"), "ordinal")
     raw = F.split(line, F.col("sep"), -1)
     clean = F.transform(raw, lambda v: F.when((v == F.coalesce("empty", F.lit("(empty)"))) | (v == F.coalesce("unset", F.lit("-"))), F.lit("")).otherwise(v))
     n = F.least(F.size("names"), F.size(raw))
-    rows = rows.withColumn("values", F.slice(clean, F.lit(1), n)).withColumn("keys", F.slice("names", F.lit(1), n)).withColumn("log", F.coalesce("log", F.lit("")))
+    rows = evaluated(rows, ["path", "source", "line_no", "ordinal"], values=F.slice(clean, F.lit(1), n), keys=F.slice("names", F.lit(1), n), log=F.coalesce("log", F.lit("")))
     rows = sensor_message(rows)
     return event(rows, timestamp=times.epoch_text(field("ts")), event_type=sensor_type(F.col("log")), event_id="ordinal", host=F.coalesce(known(field("id.orig_h")), field("host")), message=F.col("message"))
 
 
-def _up_to_here():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def sensor_type(log: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in SENSOR_TYPES.items() for x in kv])
     return F.coalesce(F.try_element_at(table, log), F.lit("ZeekLog"))
@@ -145,7 +140,7 @@ def sensor_message(rows: DataFrame) -> DataFrame:
     port = lambda name: F.coalesce(field(name), F.lit(""))
     conn = F.when(orig.isNotNull() & resp.isNotNull(), F.concat(orig, F.lit(":"), port("id.orig_p"), F.lit(" -> "), resp, F.lit(":"), port("id.resp_p"))).otherwise(F.coalesce(orig, F.lit("")))
     more = derived(F.col("log"))
-    rows = rows.withColumn("conn", conn).withColumn("names_all", F.concat("keys", F.array(*map(F.lit, more)))).withColumn("values_all", F.concat("values", F.array(*more.values())))
+    rows = evaluated(rows, rows.columns, conn=conn, names_all=F.concat("keys", F.array(*map(F.lit, more))), values_all=F.concat("values", F.array(*more.values())))
     part = lambda x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "name", "after"), x, strict=True)])
     table = F.create_map(*[c for log, parts in LAYOUTS.items() for c in (F.lit(log), F.array(*map(part, parts)))])
 

@@ -16,15 +16,42 @@ def last_value(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(name) for name, c in columns.items()])
 
 
-def in_order(df: DataFrame, step: Callable[[], Callable[[dict], object]], name: str, kind: str) -> DataFrame:
-    """Adds what ``step()`` gives for each row, called file by file in line order; rows stream, so no file is held."""
+def headed(lines: DataFrame, heads: DataFrame, key: str, *more: str) -> DataFrame:
+    """Each line with ``key`` and ``more`` of the latest of ``heads`` above it; lines before the first ``key`` are dropped.
+
+    Only heads that change something and have another line below them count, kept as one short list a file, so what is joined is
+    small and lines stay in the splits they are in. A file's lines needn't be in one task, nor sorted.
+    """
+    w = Window.partitionBy("path").orderBy("line_no")
+    state = F.struct(F.col(key), *[F.col(c) for c in more])
+    heads = heads.select("path", "line_no", state.alias("state"), F.lead("line_no").over(w).alias("next")).where(f"state.{key} is not null and (next is null or next > line_no + 1)")
+    heads = heads.withColumn("above", F.lag("state").over(w)).where("above is null or not state <=> above")
+    heads = heads.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "state"))).alias("heads"))
+    rows = lines.join(heads, "path").where(F.col("line_no") > F.col("heads")[0]["line_no"])
+    found = F.when(F.size("heads") == 1, F.col("heads")[0]).otherwise(F.try_element_at(F.filter("heads", lambda h: h["line_no"] < F.col("line_no")), F.lit(-1)))
+    rows = rows.withColumn("head", found["state"])
+    return rows.select(*lines.columns, *[F.col("head")[c].alias(c) for c in (key, *more)])
+
+
+def counted(rows: DataFrame, name: str, stretch: int = 1 << 16) -> DataFrame:
+    """Numbers the rows of each file from 1 in line order: counted within stretches of lines, after the rows of the stretches before."""
+    rows = rows.withColumn("stretch", F.floor(F.col("line_no") / stretch))
+    per = rows.groupBy("path", "stretch").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("stretch")) - F.col("n")
+    rows = rows.join(per.select("path", "stretch", before.alias("before")), ["path", "stretch"])
+    own = F.row_number().over(Window.partitionBy("path", "stretch").orderBy("line_no"))
+    return rows.withColumn(name, (F.col("before") + own).cast("bigint")).drop("stretch", "before")
+
+
+def in_order(df: DataFrame, of: list[str], step: Callable[[], Callable[[dict], object]], name: str, kind: str) -> DataFrame:
+    """Adds what ``step()`` gives for the columns ``of`` of each row, called file by file in line order; rows stream, so no file is held."""
     fields = df.schema.fields
 
     def run(batches):
         path, call = object(), None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in batch.select(["path", *of]).to_pylist():
                 if row["path"] != path:
                     path, call = row["path"], step()
                 out.append(call(row))

@@ -85,7 +85,7 @@ def syslog(lines: DataFrame, ctx: Context) -> DataFrame:
     """Lines with a full time, or with one without a year, which is inferred along the file."""
     rows = _grouped(lines, full=SYSLOG_5424, old=SYSLOG_3164)
     rows = rows.withColumn("full_ts", F.when(F.col("full").isNotNull(), F.coalesce(times.rfc3339(_at("full", 1)), ctx.now))).withColumn("stamp", F.when(F.col("full").isNull(), _at("old", 1)))
-    rows = in_order(rows.select("path", "source", "line_no", "line", "full", "old", "full_ts", "stamp"), infer_year(ctx.reference_time), "ts", "timestamp")
+    rows = in_order(rows.select("path", "source", "line_no", "line", "full", "old", "full_ts", "stamp"), ["full_ts", "stamp"], infer_year(ctx.reference_time), "ts", "timestamp")
     g = lambda i: F.coalesce(_at("full", i), _at("old", i))
     hit = g(1).isNotNull()
     message = F.when(hit, F.concat(F.lit("["), g(3), F.lit("] "), g(4))).otherwise(F.col("line"))
@@ -190,7 +190,7 @@ def macos_asl(lines: DataFrame, ctx: Context) -> DataFrame:
     """System log lines with a level, with or without a process id; years are inferred along the file."""
     rows = _grouped(lines, a=ASL, b=ASL_NO_PID)
     rows = rows.withColumn("full_ts", F.lit(None).cast("timestamp")).withColumn("stamp", F.coalesce(_at("a", 1), _at("b", 1)))
-    rows = in_order(rows.select("path", "source", "line_no", "line", "a", "b", "full_ts", "stamp"), infer_year(ctx.reference_time), "ts", "timestamp")
+    rows = in_order(rows.select("path", "source", "line_no", "line", "a", "b", "full_ts", "stamp"), ["full_ts", "stamp"], infer_year(ctx.reference_time), "ts", "timestamp")
     with_pid = F.concat(F.lit("["), trimmed(_at("a", 3)), F.lit("("), F.coalesce(_at("a", 4).try_cast("bigint").cast("string"), F.lit("0")), F.lit(")] <"), _at("a", 5), F.lit("> "), _at("a", 6))
     plain = F.concat(F.lit("["), trimmed(_at("b", 3)), F.lit("] <"), _at("b", 4), F.lit("> "), _at("b", 5))
     hit = F.col("stamp").isNotNull()
