@@ -73,7 +73,7 @@ def sensor(lines: DataFrame, ctx: Context) -> DataFrame:
     clean = F.transform(raw, lambda v: F.when((v == F.coalesce("empty", F.lit("(empty)"))) | (v == F.coalesce("unset", F.lit("-"))), F.lit("")).otherwise(v))
     n = F.least(F.size("names"), F.size(raw))
     rows = evaluated(rows, ["path", "source", "line_no", "ordinal"], values=F.slice(clean, F.lit(1), n), keys=F.slice("names", F.lit(1), n), log=F.coalesce("log", F.lit("")))
-    rows = sensor_message(rows)
+    rows = sensor_message(evaluated(rows, rows.columns, slots=slotted()))
     return event(rows, timestamp=times.epoch_text(field("ts")), event_type=sensor_type(F.col("log")), event_id="ordinal", host=F.coalesce(known(field("id.orig_h")), field("host")), message=F.col("message"))
 
 
@@ -82,10 +82,26 @@ def sensor_type(log: Column) -> Column:
     return F.coalesce(F.try_element_at(table, log), F.lit("ZeekLog"))
 
 
+#: The fields that are read by name outside of the layouts.
+FIELDS = (
+    "ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "host", "proto", "rcode_name", "uri", "sha256", "sha1", "md5", "auth_success", "success",
+    "error_msg", "domainname", "username", "command", "arg", "reply_code", "reply_msg",
+)
+
+
 def field(name: str) -> Column:
-    """The value of a field in ``values`` by its place in ``keys``; null where there is none."""
-    place = F.array_position("keys", F.lit(name))
-    return F.when(place > 0, F.try_element_at("values", place.cast("int")))
+    """The value of one of ``FIELDS``, in the row's ``slots``; null where the log doesn't have it."""
+    return F.col("slots")[FIELDS.index(name)]
+
+
+def slotted() -> Column:
+    """The values of ``FIELDS`` by their places in ``keys``: one small expression, as many large ones aren't compiled."""
+
+    def value(name: Column) -> Column:
+        place = F.array_position("keys", name).cast("int")
+        return F.when(place > 0, F.try_element_at("values", place))
+
+    return F.transform(F.array(*map(F.lit, FIELDS)), value)
 
 
 # What is told of each kind of record after its connection: label, field, and what follows. "@" fields are derived
