@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +248,15 @@ def test_mixture(docs, none):
     assert mixing.targets([10, 100], [5, 1], Fraction(3, 2)) == [20.0, 145.0]
 
 
+def test_mixture_in_bundles(docs):
+    """Shards in bundles of two: what sources take stays near their targets, and no more than twice what there is."""
+    by = {}
+    for _, size, source_size, target, taken in (tuple(r) for r in mixing.mixture(docs, shard_docs=2, bundle=2).collect()):
+        assert 0 <= taken <= 2 * size
+        by.setdefault((source_size, target), []).append(taken)
+    assert len(by) == 5 and all(abs(sum(x) - target) <= 8 * (1 + len(x) // 2) for (_, target), x in by.items())
+
+
 def test_mixed_rows(docs):
     got = mixing.mixed(docs, shard_docs=4)
     taken = {}
@@ -417,6 +428,48 @@ def test_severity(spark, none):
     assert {r.severity for r in toxicity.scored(docs.limit(3), empty).collect()} == {0.0} and toxicity.scored(none, empty).collect() == []
 
 
+def test_scores_of_severity(spark):
+    """Features and expected grades against sums over words in plain Python, with ties, repeated rows and a very long text."""
+    rng = random.Random(6)
+    rows = [(i, graded_text(rng, i % 3)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 2), int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), toxicity.graded(labels))
+    assert np.count_nonzero(model.weights) > 0 and len(model.theta) == 2
+    texts = [t for _, t in rows[:20]] + ["VILE, rude!Hateful", "vile " * 300_000, "...", "", None, "rude\nmildly rude", "hatefu hatef hate"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[20]])], "doc_id bigint, text string")
+    known = {}
+
+    def of(word):
+        if word not in known:
+            known[word] = set(next(iter(toxicity.features(pa.array([word])))).tolist())
+            assert len(known[word]) == 1 + sum(len(word) > k for k in (4, 5, 6))
+        return known[word]
+
+    want = {}
+    for i, t in enumerate([*texts, texts[0], texts[20]]):
+        f = set().union(*map(of, re.findall("[a-z0-9]+", lower(t or ""))))
+        x = sum(float(model.weights[j]) for j in f)
+        want[i] = sum(1 - 1 / (1 + math.exp(-(th - x))) for th in model.theta) if f else 0.0
+    got = {r.doc_id: (r.severity, r.toxic) for r in toxicity.scored(docs, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i][0] - x) < 1e-4 and (got[i][1] == (x >= 0.2) or abs(x - 0.2) < 1e-4) for i, x in want.items())
+
+
+def test_sketches_by_size(spark):
+    """Items of all sizes, each in documents that hold just enough of it, just too little, and the rest, ten times over."""
+    rng, items, rows = random.Random(12), [], []
+    for n in [1, 2, 4, 5, 6, 7, 9, 13, 14, 24, 25, 60, 61, 150]:
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        m = max(1, n - 4)
+        for hold in {max(0, -(-8 * m // 10) - 1), -(-8 * m // 10), m}:
+            at = rng.randint(0, m - hold)
+            part = words[at : at + hold + min(n, 5) - 1] if hold else []
+            rows.append((len(rows), " ".join([*(f"x{rng.random()}" for _ in range(30)), *part, *(f"y{rng.random()}" for _ in range(30)), *part * 3])))
+    docs, frame = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((d, i) for d, t in rows for i, x in items if _contains(t, [(i, x)]))
+    assert sorted((r.doc_id, r.item_id) for r in contamination.contained_items(docs, frame).collect()) == want and len(items) <= len(want) < len(rows)
+
+
 def test_texts_above_a_chunk(spark):
     """Texts longer than the chunks that texts are read in, of which two share their ends."""
     rng = random.Random(8)

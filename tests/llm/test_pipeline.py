@@ -3,15 +3,17 @@
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from timeloom.llm._store import Scratch
 from timeloom.llm.queries import vocabulary
-from tests.llm.test_operators import _contains, brute_components, graded_text
+from tests.llm.test_operators import WORD, _contains, brute_components, graded_text
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,42 @@ def folder(spark, tmp_path_factory):
     return root, docs, items
 
 
+def brute_mix(spark, rows):
+    """How often each (id, text) is taken, seat by seat; few documents are one shard a source."""
+    seeded = {(r.d, r.t): r.h for r in spark.createDataFrame([r[:2] for r in rows], "d bigint, t string").select("d", "t", F.xxhash64(F.lit(7), "d", "t").alias("h")).collect()}
+    size = lambda t: len(WORD.findall(t or ""))
+    own = Counter()
+    for _, t, _, s, *_ in rows:
+        own[s] += size(t)
+    order = sorted(own, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, left = {}, Fraction(3 * sum(own.values()), 2)
+    while True:
+        open_ = [s for s in order if s not in goal]
+        unit = left / sum(weight[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if unit * weight[s] > 2 * own[s]]
+        if not full:
+            goal |= {s: unit * weight[s] for s in open_}
+            break
+        for s in full:
+            goal[s] = Fraction(2 * own[s])
+            left -= goal[s]
+    seats = Counter()
+    for _ in range(round(float(sum(goal.values())) / 8)):
+        free = [s for s in order if seats[s] < 2 * own[s] // 8]
+        if free:
+            seats[min(free, key=lambda s: (-goal[s] / (2 * seats[s] + 1), order.index(s)))] += 1
+    times = Counter()
+    for s in order:
+        passes, rest = divmod(8 * seats[s], max(1, own[s]))
+        before = 0
+        for d, t, *_ in sorted((r for r in rows if r[3] == s), key=lambda r: seeded[r[:2]]):
+            n = size(t)
+            times[d, t] += passes + (rest > before and 2 * (rest - before) >= n) if n else 0
+            before += n
+    return +times
+
+
 def test_stages(spark, folder):
     root, rows, items = folder
     docs, scratch = spark.read.parquet(f"{root}/documents.parquet"), Scratch(spark, "test")
@@ -44,6 +82,7 @@ def test_stages(spark, folder):
     assert sorted(r[0] for r in kept["near_duplicates"]) == sorted(d for d, n, least in brute_components(clean) if d == least)
     assert {r[0] for r in kept["decontamination"]} == {r[0] for r in kept["near_duplicates"] if not _contains(r[1], items)}
     assert {r[0] for r in kept["mixing"]} <= {r[0] for r in kept["decontamination"]} and len(kept["mixing"]) > len(kept["decontamination"])
+    assert Counter(r[:2] for r in kept["mixing"]) == brute_mix(spark, kept["decontamination"])
     assert sorted(r[0] for r in kept["tokens"]) == sorted(r[0] for r in kept["mixing"])
     plain = Tokenizer.from_file(vocabulary())
     ids = {r[:2]: [*plain.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in kept["mixing"]}

@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 3).
 
 A test item is short and a document may be long, so resemblance says little; what counts is the share of the item's word
-shingles that the document contains. Items are partitioned by the size of their shingle sets. In a partition each item is
-indexed under its smallest shingle hashes, n - ceil(t n) + 1 of n for a containment of t: a document with that containment
-holds one of these at least, so the search misses nothing. Every shingle of every document probes the index (fixed-size bits
-first), and what it finds is verified by exact containment.
+shingles that the document contains. Items are partitioned by the size of their shingle sets, and the largest size n of a
+partition sets what is asked there: each item is indexed under its n - ceil(t n) + h smallest shingle hashes (all, if it has
+fewer), and a document is a candidate if it holds h of these at least. One with a containment of t lacks n - ceil(t n) of an
+item's hashes at most, so the search misses nothing; h is ``HITS``, or less where the smallest item of the partition needs
+fewer. Every shingle of every document probes the index (fixed-size bits first), and candidates are verified by exact containment.
 
 Items are taken in blocks of bounded size, each a pass over the documents that shuffles nothing. Items of fewer than ``k``
 words are one shingle of all their words, searched among the documents' runs of as many words.
@@ -21,6 +22,8 @@ from ._numeric import BitIndex, U, Words, chunks, grams, mix
 from ._store import small_batches
 
 INDEX_BITS = 24
+#: Hashes of an item's sketch that a document must hold.
+HITS = 3
 
 
 class ItemIndex:
@@ -41,13 +44,16 @@ class ItemIndex:
                     self.sizes[item] = len(self.sets[item])
                     by.setdefault((length, int(self.sizes[item]).bit_length()), []).append(item)
         for (length, _), items in sorted(by.items()):
-            sketch = [self.sets[i][: len(self.sets[i]) - -(-percent * len(self.sets[i]) // 100) + 1] for i in items]
+            needed = -(-percent * self.sizes[items] // 100)
+            hits = max(1, min(HITS, int(needed.min())))
+            size = int((self.sizes[items] - needed).max()) + hits
+            sketch = [self.sets[i][:size] for i in items]
             key, owner = np.concatenate(sketch), np.repeat(items, [len(s) for s in sketch])
             order = np.argsort(key, kind="stable")
             bits = np.zeros(1 << (INDEX_BITS - 6), U)
             spread = mix(key)  # the smallest hashes have like leading bits
             np.bitwise_or.at(bits, (spread >> U(64 - (INDEX_BITS - 6))).astype(np.int64), BitIndex._mask(spread))
-            self.parts.append((length, key[order], owner[order], bits))
+            self.parts.append((length, hits, key[order], owner[order], bits))
 
     def search(self, column: pa.Array, percent: int):
         """(row, item, shared shingles) for each text of ``column`` and item that it contains."""
@@ -56,7 +62,7 @@ class ItemIndex:
             h, stop = words.hashes(), words.stop()
             found: set[tuple[int, int, int]] = set()
             made: dict[int, np.ndarray] = {}
-            for length, key, owner, bits in self.parts:
+            for length, hits, key, owner, bits in self.parts:
                 if length not in made:
                     made[length] = mix(grams(h, length) ^ U(length))
                 g = made[length]
@@ -68,7 +74,9 @@ class ItemIndex:
                     continue
                 at_key = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 row = np.searchsorted(words.at, np.repeat(hit, many), "right") - 1
-                found |= {(length, r, o) for r, o in zip(row.tolist(), owner[at_key].tolist(), strict=True)}
+                held = np.unique(row * len(key) + at_key)  # a hash of an item counts once a document
+                pair, n = np.unique(held // len(key) * len(self.ids) + owner[held % len(key)], return_counts=True)
+                found |= {(length, *divmod(x, len(self.ids))) for x in pair[n >= hits].tolist()}
             for length, r, item in sorted(found, key=lambda x: x[1:]):
                 own = made[length][words.at[r] : words.at[r + 1] - length + 1]
                 s = self.sets[item]

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks (operator 7).
 
 Sources get target words by weight, none above a multiple of what it has (the excess is shared again by weight). Targets become
-integer numbers of equal blocks by the highest quotients v / (2 s + 1), and a source's blocks are apportioned in the same way
-to its shards: seeded hash partitions of about ``shard_docs`` documents. In a shard the documents stand in a seeded order, the
-blocks are cut from that order, and the quota takes whole passes over it and then its first blocks.
+integer numbers of equal blocks by the highest quotients v / (2 s + 1). A source's blocks are apportioned in the same way to
+bundles of ``bundle`` shards, and a bundle's to its shards: seeded hash partitions of about ``shard_docs`` documents. In a shard
+the documents stand in a seeded order, the blocks are cut from that order, and the quota takes whole passes over it and then its
+first blocks.
 
 Sources are few (``max_sources``, an error beyond, and 20 or so in practice), so their apportionment runs on the driver; all
 per-document work is one aggregation and one window over shards of bounded size, and no text is shuffled.
@@ -68,7 +69,7 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
-def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share, most: int, block: int, shard_docs: int, seed: int, max_sources: int) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share, most: int, block: int, shard_docs: int, seed: int, max_sources: int, bundle: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their shard and order, shards with their passes and rest)."""
     spark = docs.sparkSession
     only = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].cast("string").alias("text")).withColumn("seeded", F.xxhash64(F.lit(seed), "doc_id", "text"))
@@ -89,6 +90,11 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share,
     plan = F.broadcast(plan)  # at most max_sources rows
     placed = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "seeded", "size", "source_no", "source_size", "target", "quota", F.pmod(F.xxhash64("seeded"), F.col("shards")).alias("shard"))
 
+    def bundled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bundle")
+        quota = apportion(pdf["words"].to_numpy(), int(pdf["quota"].iloc[0]), pdf["most"].to_numpy())
+        return pd.DataFrame({"source_no": pdf["source_no"], "bundle": pdf["bundle"], "quota": quota})
+
     def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         words = pdf["words"].to_numpy()
@@ -97,30 +103,34 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share,
         return pd.DataFrame({"source_no": pdf["source_no"], "shard": pdf["shard"], "passes": take // some, "rest": take % some})
 
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    shards = shards.groupBy("source_no").applyInPandas(dealt, "source_no int, shard bigint, passes bigint, rest bigint")
+    shards = shards.withColumn("bundle", F.floor(F.col("shard") / bundle))
+    shared = shards.groupBy("source_no", "bundle").agg(F.sum("words").alias("words"), F.sum(F.floor(most * F.col("words") / block)).alias("most"), F.first("quota").alias("quota"))
+    shared = shared.groupBy("source_no").applyInPandas(bundled, "source_no int, bundle bigint, quota bigint")
+    shards = shards.drop("quota").join(shared, ["source_no", "bundle"])
+    shards = shards.groupBy("source_no", "bundle").applyInPandas(dealt, "source_no int, shard bigint, passes bigint, rest bigint")
     before = F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy("seeded", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     return placed.withColumn("before", before), shards
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 7, max_sources: int = 1_000_000) -> DataFrame:
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 7, max_sources: int = 1_000_000, bundle: int = 4096) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row: the words the mix takes of it, repeats counted.
 
     Sources are ordered by code point, null last, and get ``weights`` in turn. taken is at most ``most`` times size; only one
     document of a shard is taken in part. A null or empty text has size 0 and gives 0. Rows that are alike in id and text take
     turns in no fixed order, which their equal results don't show. An empty table gives an empty result.
     """
-    rows, shards = _plan(docs, doc_id, text, source, weights, share, most, block, shard_docs, seed, max_sources)
+    rows, shards = _plan(docs, doc_id, text, source, weights, share, most, block, shard_docs, seed, max_sources, bundle)
     taken = F.col("passes") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
     return rows.join(shards, ["source_no", "shard"]).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 7, max_sources: int = 1_000_000, broadcast_shards: int = 100_000) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 7, max_sources: int = 1_000_000, bundle: int = 4096, broadcast_shards: int = 100_000) -> DataFrame:
     """The mix as rows of ``docs``, all columns: each whole as often as it is taken, to the nearest whole number.
 
     Of a shard, what is taken once more are the documents up to a place in the seeded order, so the shards' places are all that
     meets the texts: broadcast if they are ``broadcast_shards`` at most, else joined.
     """
-    rows, shards = _plan(docs, doc_id, text, source, weights, share, most, block, shard_docs, seed, max_sources)
+    rows, shards = _plan(docs, doc_id, text, source, weights, share, most, block, shard_docs, seed, max_sources, bundle)
     more = F.when((F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size")) & (F.col("rest") > F.col("before")), F.col("seeded"))
     cuts = rows.join(shards, ["source_no", "shard"]).groupBy("source_no", "shard", "passes").agg(F.max(more).alias("last"))
     names = {r.source: r for r in docs.select(docs[source].cast("string").alias("source")).groupBy("source").agg(F.count("*").alias("docs")).collect()}
