@@ -19,8 +19,8 @@ def last_value(df: DataFrame, **columns) -> DataFrame:
 def headed(lines: DataFrame, heads: DataFrame, key: str, *more: str) -> DataFrame:
     """Each line with ``key`` and ``more`` of the latest of ``heads`` above it; lines before the first ``key`` are dropped.
 
-    Only heads that change something and have another line below them count, kept as one short list a file, so what is joined is
-    small and lines stay in the splits they are in. A file's lines needn't be in one task, nor sorted.
+    Only heads that change something and have another line below them count, kept as one list a file, which each of its lines
+    searches: short unless headers keep changing. Lines aren't sorted, and keep their splits where Spark broadcasts the lists.
     """
     w = Window.partitionBy("path").orderBy("line_no")
     state = F.struct(F.col(key), *[F.col(c) for c in more])
