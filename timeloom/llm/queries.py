@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, chat_format, contamination, lm_score, mixing, repair_tokens, rp_forest, suffix_dedup, toxicity
+from . import block_anchors, chat_format, contamination, importance, lm_score, mixing, repair_tokens, rp_forest, suffix_dedup, toxicity
 from ._store import table
 from .jaccard_join import near_components
 
@@ -64,6 +64,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_rp_forest": op2_rp_forest,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 #: Shingles of a document as rows (doc_id, s), for several of the statements below.
@@ -144,5 +149,29 @@ scored AS (SELECT doc_id, CASE WHEN p.v IS NULL THEN ln(a.n) - ln(whole.n) WHEN
   FROM places p JOIN ones a ON a.w = p.w LEFT JOIN ones b ON b.w = p.v LEFT JOIN twos t ON t.v = p.v AND t.w = p.w, whole),
 sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(s, 4) AS log_score, round(s / len(w), 4) AS mean_score FROM texts LEFT JOIN sums USING (doc_id)
+""",
+    "op11_importance_resampling": r"""
+WITH RECURSIVE words AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+threes AS (SELECT kind, id, z[1] AS a, z[2] AS b, z[3] AS c FROM (SELECT kind, id, unnest(list_zip(w, w[2:], w[3:])) AS z FROM words)),
+runs AS (SELECT kind, id, a AS f FROM threes UNION ALL SELECT kind, id, a || ' ' || b FROM threes WHERE b IS NOT NULL UNION ALL SELECT kind, id, a || ' ' || b || ' ' || c FROM threes WHERE c IS NOT NULL),
+counted AS MATERIALIZED (SELECT kind, id, f, count(*) AS c FROM runs GROUP BY kind, id, f),
+distinct_f AS MATERIALIZED (SELECT f, row_number() OVER () AS no, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted)),
+-- A CRC is the exclusive or of what each byte gives by its distance from the end (and of what the initial value gives, byte 256).
+tab AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, e: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) y(b))),
+gives AS (SELECT 0 AS d, b, CASE WHEN b = 256 THEN 4294967295 ELSE t[b + 1] END AS k FROM range(257) y(b), tab
+  UNION ALL SELECT d + 1, b, xor(k >> 8, t[(k & 255) + 1]) FROM gives, tab WHERE d < (SELECT max(length(x)) // 2 FROM distinct_f)),
+bytes AS (SELECT no, length(x) // 2 - 1 - i AS d, instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17 AS b FROM (SELECT no, x, unnest(range(0, length(x) // 2)) AS i FROM distinct_f)
+  UNION ALL SELECT no, length(x) // 2, 256 FROM distinct_f),
+crcs AS (SELECT no, xor(bit_xor(k), 4294967295) % 10000 AS bucket FROM bytes JOIN gives USING (d, b) GROUP BY no),
+hits AS MATERIALIZED (SELECT kind, id, bucket, sum(c) AS c FROM counted JOIN distinct_f USING (f) JOIN crcs USING (no) GROUP BY kind, id, bucket),
+sides AS (SELECT bucket, coalesce(sum(c) FILTER (kind = 'd'), 0) AS s, coalesce(sum(c) FILTER (kind = 't'), 0) AS t FROM hits GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sides),
+weights AS (SELECT id, sum(c) AS n, sum(c * gain) AS weight FROM hits JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) AS n_words,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT id, w FROM words WHERE kind = 'd') LEFT JOIN weights USING (id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
 """,
 }
