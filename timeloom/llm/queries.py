@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, chat_format, contamination, importance, lm_score, mixing, repair_tokens, rp_forest, suffix_dedup, toxicity
+from . import block_anchors, chat_format, collocations, contamination, importance, lm_score, mixing, repair_tokens, rp_forest, suffix_dedup, toxicity
 from ._store import table
 from .jaccard_join import near_components
 
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_rp_forest": op2_rp_forest,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 #: Shingles of a document as rows (doc_id, s), for several of the statements below.
@@ -173,5 +178,22 @@ scored AS (SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CA
   FROM (SELECT id, w FROM words WHERE kind = 'd') LEFT JOIN weights USING (id)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+""",
+    "op13_collocations": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+fours AS (SELECT lang, z[1] AS a, z[2] AS b, z[3] AS c, z[4] AS d FROM (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS z FROM words)),
+totals AS (SELECT lang, count(*) AS n FROM fours GROUP BY lang),
+runs AS (SELECT lang, 1 AS k, a AS p FROM fours UNION ALL SELECT lang, 2, a || ' ' || b FROM fours WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM fours WHERE c IS NOT NULL UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM fours WHERE d IS NOT NULL),
+often AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM runs GROUP BY lang, k, p HAVING count(*) >= 30),
+found AS (SELECT lang, k, p, string_split(p, ' ') AS w, f AS a FROM often WHERE k > 1),
+parts AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS p, max(a) AS longer FROM found, range(2, 4) s(n), range(1, 4) t(i) WHERE n < k AND i + n - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT found.* FROM found LEFT JOIN parts USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (SELECT lang, p, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM kept, range(1, 4) t(c) WHERE c < k),
+scores AS (SELECT lang, cuts.p, a, c, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM cuts JOIN often x USING (lang) JOIN often y USING (lang) WHERE x.p = cuts.x AND y.p = cuts.y),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+placed AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, score FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
