@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches of fewer rows between Spark and Python than by default: texts are long, and each copy of a batch takes memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Smaller batches between Spark and Python than by default: texts are long, and each copy of a batch takes memory."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
 
 class Scratch:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._numeric import U, Words, mix, pair, ranges, texts
 from ._store import Scratch
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Slices of more partitions than this share them, one after the other.
 MOST_PARTITIONS = 4096
 #: A-Z in lower case, all that ends a piece as a line feed.
@@ -47,12 +47,26 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_SPARK[f.type]}" for f in schema)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, of which most are small where ``x`` mostly ascends; they wrap around elsewhere."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _packed(arrays: dict[str, np.ndarray]) -> bytes:
     head = json.dumps({k: [a.dtype.str, a.shape] for k, a in arrays.items()}).encode()
-    return b"".join([len(head).to_bytes(4, "little"), head, *[np.ascontiguousarray(a).tobytes() for a in arrays.values()]])
+    return _squeezed(b"".join([len(head).to_bytes(4, "little"), head, *[np.ascontiguousarray(a).tobytes() for a in arrays.values()]]))
 
 
 def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    data = _whole(data)
     at = 4 + int.from_bytes(data[:4], "little")
     out = {}
     for k, (kind, shape) in json.loads(data[4:at]).items():
@@ -75,8 +89,14 @@ class Lists:
         self.sums, self.keys, self.words, self.length, self.place, self.lang_of = (data[n] for n in ("sums", "keys", "words", "length", "place", "lang_of"))
         self.letters, self.letters_at = data["letters"], data["letters_at"]
 
+    @classmethod
+    def read(cls, k: int, data: bytes, langs: list[str]) -> Lists:
+        arrays = _unpacked(data)
+        return cls(k, arrays | {"place": np.cumsum(arrays["place"], dtype=np.uint32)}, langs)
+
     def packed(self) -> bytes:
-        return _packed({n: getattr(self, n) for n in ("sums", "keys", "words", "length", "place", "lang_of", "letters", "letters_at")})
+        names = ("sums", "keys", "words", "length", "lang_of", "letters", "letters_at")
+        return _packed({n: getattr(self, n) for n in names} | {"place": _steps(self.place)})
 
     def word(self, i: int) -> str:
         return self.letters[self.letters_at[i] : self.letters_at[i + 1]].tobytes().decode()
@@ -201,7 +221,13 @@ def chunked(docs: DataFrame, text: str, lang: str, chunk_bytes: int = CHUNK_BYTE
 def _candidates(row: dict, k: int):
     if k == 1:
         return WordCandidates(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["at"], "<i8"), np.frombuffer(row["lang_of"], "<u4"), row["langs"])
-    return Candidates(Lists(k - 1, _unpacked(row["lists"]), row["langs"]))
+    return Candidates(Lists.read(k - 1, row["lists"], row["langs"]))
+
+
+def _rows(batch: pa.RecordBatch):
+    """One row at a time: rows are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _edges(key: np.ndarray, slices: int) -> np.ndarray:
@@ -212,10 +238,10 @@ def _edges(key: np.ndarray, slices: int) -> np.ndarray:
 def _sent(k: int, slices: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 c = _candidates(row, k)
                 edge = _edges(c.key, slices).tolist()
-                rows = [(s, row["chunk"], c.key[a:b].tobytes(), c.length[a:b].astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+                rows = [(s, row["chunk"], _squeezed(_steps(c.key[a:b]).tobytes()), _squeezed(c.length[a:b].astype("<u4").tobytes())) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, SENT, strict=True)], schema=SENT)
 
     return run
@@ -225,11 +251,11 @@ def _summed(least: int):
     """Over rows of SENT sorted by slice and chunk: to each chunk, which of its keys reach ``least`` in all."""
 
     def settled(slice_no, rows):
-        size = [len(r[1]) // 8 for r in rows]
-        key = np.frombuffer(b"".join(r[1] for r in rows), U)
+        keys = [np.cumsum(np.frombuffer(_whole(r[1]), U), dtype=U) for r in rows]
+        size, key = [len(x) for x in keys], np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        sums = np.add.reduceat(np.frombuffer(b"".join(r[2] for r in rows), "<u4")[order].astype(np.int64), first)
+        sums = np.add.reduceat(np.frombuffer(b"".join(_whole(r[2]) for r in rows), "<u4")[order].astype(np.int64), first)
         total, leads = np.empty(len(key), np.int64), np.zeros(len(key), bool)
         total[order] = np.repeat(sums, np.diff(np.append(first, len(key))))
         leads[order[first]] = True
@@ -281,13 +307,13 @@ def _grown(k: int, slices: int, last: bool):
                     "l": [int(sums[part(k, j, 0)]) for j in range(1, k)], "r": [int(sums[part(k, k - j, j)]) for j in range(1, k)], "inner": keys[inner].tolist(),
                 })
         if not last and len(lists.length):
-            out.append({"kind": 0, "chunk": row["chunk"], "lists": lists.packed(), "langs": lists.langs})
+            out.append({"kind": 0, "chunk": row["chunk"], "a": len(lists.place), "lists": lists.packed(), "langs": lists.langs})
         return pa.RecordBatch.from_pylist(out, schema=FOUND)
 
     def run(batches):
         row, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if r["slice"] is not None:
                     held.append(r)
                     continue
@@ -318,8 +344,8 @@ def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str
         grown = scratch.save(both.mapInArrow(_grown(k, slices, k == most_words), _ddl(FOUND)), f"words{k}")
         scratch.drop(state)
         found.append(grown)
-        state = grown.where("kind = 0").select("chunk", "lists", "langs")
-        places = F.octet_length("lists") / 4
+        state = grown.where("kind = 0").select("chunk", "lists", "langs", F.col("a").alias("places"))
+        places = F.col("places")
     phrases = [f.where("kind = 1").select("lang", "phrase", "key", "a", "l", "r", "inner") for f in found[1:]]
     for f in phrases[1:]:
         phrases[0] = phrases[0].union(f)
