@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, chat_format, collocations, contamination, importance, lm_score, mixing, repair_tokens, rp_forest, suffix_dedup, toxicity
+from . import block_anchors, chat_format, collocations, contamination, importance, lm_score, mixing, personal_data, repair_tokens, rp_forest, suffix_dedup, toxicity
 from ._store import table
 from .jaccard_join import near_components
 
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
 }
 
@@ -195,5 +200,26 @@ scores AS (SELECT lang, cuts.p, a, c, x.f AS l, y.f AS r, CAST(2000000::HUGEINT
 best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
 placed AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, score FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op12_personal_data": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+-- Matches marked with two private characters, then cut apart at the first of them; places by the lengths of what is before.
+marked AS (SELECT doc_id, 1 AS no, regexp_replace(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', chr(57344) || '\1' || chr(57345), 'g') AS m FROM texts WHERE contains(t, '@')
+  UNION ALL SELECT doc_id, 2, regexp_replace(t, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)', chr(57344) || '\1' || chr(57345), 'g') FROM texts WHERE contains(t, '.')
+  UNION ALL SELECT doc_id, 3, regexp_replace(t, '([0-9](?:[\x20-]?[0-9])+)', chr(57344) || '\1' || chr(57345), 'g') FROM texts
+  UNION ALL SELECT doc_id, 4, regexp_replace(t, '(\+[0-9][\x20().0-9-]+[0-9])', chr(57344) || '\1' || chr(57345), 'g') FROM texts WHERE contains(t, '+')),
+cut AS (SELECT doc_id, no, string_split(m, chr(57344)) AS s FROM marked WHERE contains(m, chr(57344))),
+parts AS (SELECT doc_id, no, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM cut),
+placed AS (SELECT doc_id, no, i, string_split(p, chr(57345))[1] AS m, sum(length(p) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, no ORDER BY i) - length(p) + 1 AS a FROM parts),
+found AS (SELECT doc_id, no, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b, m, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM placed WHERE i > 1),
+spans AS (SELECT doc_id, no, a, b FROM found WHERE no = 1 OR no = 4 AND length(d) BETWEEN 9 AND 15
+  OR no = 2 AND list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+  OR no = 3 AND length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(d[i] AS INT) END)) % 10 = 0),
+digests AS (SELECT doc_id, count(*) FILTER (no = 1) AS n_email, count(*) FILTER (no = 2) AS n_ip, count(*) FILTER (no = 3) AS n_card, count(*) FILTER (no = 4) AS n_phone,
+  string_agg(['email', 'ip', 'card', 'phone'][no] || ':' || a || ':' || b, ',' ORDER BY no, a) AS s FROM spans GROUP BY doc_id)
+-- No row of the tables is disguised, so the base spans are all there are.
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans, CAST(0 AS BIGINT) AS n_added
+FROM texts LEFT JOIN digests USING (doc_id)
 """,
 }
