@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._numeric import U, Words, mix, pair, ranges, texts
 from ._store import Scratch
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Slices of more partitions than this share them, one after the other.
 MOST_PARTITIONS = 4096
 #: A-Z in lower case, all that ends a piece as a line feed.
@@ -326,13 +326,13 @@ def _grown(k: int, slices: int, last: bool):
     return run
 
 
-def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", least: int = 30, most_words: int = 4, chunk_bytes: int = CHUNK_BYTES, slice_keys: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", least: int = 30, most_words: int = 4, chunk_bytes: int = CHUNK_BYTES, slice_keys: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, key, a, l, r, inner) of each phrase of 2 words or more that occurs ``least`` times, (lang, n) words).
 
     l and r are the frequencies of the two parts by cut, ``inner`` the keys of the shorter phrases of 2 words or more in it.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = scratch.save(chunked(docs, text, lang, chunk_bytes), "texts")
+    lists = state = scratch.save(chunked(docs, text, lang, chunk_bytes), "texts")
     # An upper bound of the places of a chunk's lists, and so of what it sends.
     places = F.octet_length("data") / 4
     found = []
@@ -342,10 +342,11 @@ def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str
         returned = sent.mapInArrow(_summed(least), _ddl(RETURNED))
         both = state.withColumn("slice", F.lit(None).cast("int")).unionByName(returned, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("slice"))
         grown = scratch.save(both.mapInArrow(_grown(k, slices, k == most_words), _ddl(FOUND)), f"words{k}")
-        scratch.drop(state)
-        found.append(grown)
-        state = grown.where("kind = 0").select("chunk", "lists", "langs", F.col("a").alias("places"))
-        places = F.col("places")
+        scratch.drop(lists)
+        # What stays is small; the lists go as soon as the next ones are there.
+        found.append(scratch.save(grown.where("kind > 0").drop("lists", "langs"), f"found{k}"))
+        lists, state, places = grown, grown.where("kind = 0").select("chunk", "lists", "langs", F.col("a").alias("places")), F.col("places")
+    scratch.drop(lists)
     phrases = [f.where("kind = 1").select("lang", "phrase", "key", "a", "l", "r", "inner") for f in found[1:]]
     for f in phrases[1:]:
         phrases[0] = phrases[0].union(f)
