@@ -52,18 +52,34 @@ def brute_mix(spark, rows):
         for s in full:
             goal[s] = Fraction(2 * own[s])
             left -= goal[s]
-    seats = Counter()
-    for _ in range(round(float(sum(goal.values())) / 8)):
-        free = [s for s in order if seats[s] < 2 * own[s] // 8]
+    share = {s: float(goal[s]) * (round(float(sum(goal.values()))) / float(sum(goal.values()))) if sum(goal.values()) else 0.0 for s in order}
+    words = Counter()
+
+    def seat(size, most, votes, got):
+        free = [s for s in order if got[s] < most(s) and votes(s) > 0]
         if free:
-            seats[min(free, key=lambda s: (-goal[s] / (2 * seats[s] + 1), order.index(s)))] += 1
+            s = min(free, key=lambda s: (-votes(s) / (2 * got[s] + 1), order.index(s)))
+            got[s] += 1
+            words[s] += size
+        return bool(free)
+
+    blocks, ones, rest = Counter(), Counter(), Counter()
+    total = round(float(sum(goal.values())))
+    for _ in range(total // 8):
+        seat(8, lambda s: min(2 * own[s], int(share[s])) // 8, lambda s: float(goal[s]), blocks)
+    after = Counter(words)
+    for _ in range(total - sum(after.values())):
+        seat(1, lambda s: 2 * own[s] - after[s], lambda s: max(share[s] - after[s], 0), ones)
+    after = Counter(words)
+    for _ in range(total - sum(after.values())):
+        seat(1, lambda s: 2 * own[s] - after[s], lambda s: float(goal[s]), rest)
     times = Counter()
     for s in order:
-        passes, rest = divmod(8 * seats[s], max(1, own[s]))
+        passes, rest_of = divmod(words[s], max(1, own[s]))
         before = 0
         for d, t, *_ in sorted((r for r in rows if r[3] == s), key=lambda r: seeded[r[:2]]):
             n = size(t)
-            times[d, t] += passes + (rest > before and 2 * (rest - before) >= n) if n else 0
+            times[d, t] += passes + (rest_of > before and 2 * (rest_of - before) >= n) if n else 0
             before += n
     return +times
 

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks (operator 7).
 
 Sources get target words by weight, none above a multiple of what it has (the excess is shared again by weight). Targets become
-integer numbers of equal blocks by the highest quotients v / (2 s + 1). A source's blocks are apportioned in the same way to
-bundles of ``bundle`` shards, and a bundle's to its shards: seeded hash partitions of about ``shard_docs`` documents. In a shard
+integer numbers of equal blocks by the highest quotients v / (2 s + 1), and the words that fill no block are apportioned in the
+same way, one by one, so that sources of a few words get theirs too. A source's quota is apportioned likewise to bundles of
+``bundle`` shards, and a bundle's to its shards: seeded hash partitions of about ``shard_docs`` documents. In a shard
 the documents stand in a seeded order, the blocks are cut from that order, and the quota takes whole passes over it and then its
 first blocks.
 
@@ -18,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import word_counts
@@ -69,6 +70,15 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
+def quotas(votes: np.ndarray, words: int, most: np.ndarray, block: int) -> np.ndarray:
+    """``words`` in all, none above ``most``: the blocks that fit into the votes' shares, then words by what is left of these."""
+    votes, most = np.asarray(votes, float), np.asarray(most, np.int64)
+    share = votes * (words / max(float(votes.sum()), 1e-300))
+    got = block * apportion(votes, words // block, np.minimum(most, np.floor(share).astype(np.int64)) // block)
+    got = got + apportion(np.maximum(share - got, 0), words - int(got.sum()), most - got)
+    return got + apportion(votes, words - int(got.sum()), most - got)
+
+
 def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share, most: int, block: int, shard_docs: int, seed: int, max_sources: int, bundle: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their shard and order, shards with their passes and rest)."""
     spark = docs.sparkSession
@@ -85,26 +95,25 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share,
     per.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes, use = [r.size for r in per], [weights[i % len(weights)] for i in range(len(per))]
     goal = targets(sizes, use, share, most)
-    quota = apportion(np.array(goal), round(sum(goal) / block), np.array([most * s // block for s in sizes], np.int64)) if per else []
+    quota = quotas(np.array(goal), round(sum(goal)), np.array([most * s for s in sizes]), block) if per else []
     plan = spark.createDataFrame([(r.source, i, r.size, goal[i], int(quota[i]), max(1, -(-r.docs // shard_docs))) for i, r in enumerate(per)], "source string, source_no int, source_size bigint, target double, quota bigint, shards bigint")
     plan = F.broadcast(plan)  # at most max_sources rows
     placed = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "seeded", "size", "source_no", "source_size", "target", "quota", F.pmod(F.xxhash64("seeded"), F.col("shards")).alias("shard"))
 
     def bundled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bundle")
-        quota = apportion(pdf["words"].to_numpy(), int(pdf["quota"].iloc[0]), pdf["most"].to_numpy())
+        quota = quotas(pdf["words"].to_numpy(), int(pdf["quota"].iloc[0]), most * pdf["words"].to_numpy(), block)
         return pd.DataFrame({"source_no": pdf["source_no"], "bundle": pdf["bundle"], "quota": quota})
 
     def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         words = pdf["words"].to_numpy()
-        blocks = apportion(words, int(pdf["quota"].iloc[0]), most * words // block)
-        take, some = blocks * block, np.maximum(words, 1)
+        take, some = quotas(words, int(pdf["quota"].iloc[0]), most * words, block), np.maximum(words, 1)
         return pd.DataFrame({"source_no": pdf["source_no"], "shard": pdf["shard"], "passes": take // some, "rest": take % some})
 
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     shards = shards.withColumn("bundle", F.floor(F.col("shard") / bundle))
-    shared = shards.groupBy("source_no", "bundle").agg(F.sum("words").alias("words"), F.sum(F.floor(most * F.col("words") / block)).alias("most"), F.first("quota").alias("quota"))
+    shared = shards.groupBy("source_no", "bundle").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"))
     shared = shared.groupBy("source_no").applyInPandas(bundled, "source_no int, bundle bigint, quota bigint")
     shards = shards.drop("quota").join(shared, ["source_no", "bundle"])
     shards = shards.groupBy("source_no", "bundle").applyInPandas(dealt, "source_no int, shard bigint, passes bigint, rest bigint")
@@ -127,21 +136,32 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 7, max_sources: int = 1_000_000, bundle: int = 4096, broadcast_shards: int = 100_000) -> DataFrame:
     """The mix as rows of ``docs``, all columns: each whole as often as it is taken, to the nearest whole number.
 
-    Of a shard, what is taken once more are the documents up to a place in the seeded order, so the shards' places are all that
-    meets the texts: broadcast if they are ``broadcast_shards`` at most, else joined.
+    Of a shard, what is taken once more are the documents before a place in the seeded order, so the shards' places are all that
+    meets the texts: broadcast if they are ``broadcast_shards`` at most, else joined. Rows alike in id and text share a place;
+    of those at the last place one row stands for as many as are taken once more. A null or empty text is never taken. An empty
+    table gives an empty result.
     """
     rows, shards = _plan(docs, doc_id, text, source, weights, share, most, block, shard_docs, seed, max_sources, bundle)
-    more = F.when((F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size")) & (F.col("rest") > F.col("before")), F.col("seeded"))
-    cuts = rows.join(shards, ["source_no", "shard"]).groupBy("source_no", "shard", "passes").agg(F.max(more).alias("last"))
+    taken = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size")) & (F.col("rest") > F.col("before"))
+    cuts = rows.join(shards, ["source_no", "shard"]).groupBy("source_no", "shard", "passes", "seeded").agg(F.count_if(taken).alias("times"))
+    cuts = cuts.groupBy("source_no", "shard", "passes").agg(F.max(F.when(F.col("times") > 0, F.struct("seeded", "times"))).alias("last"))
     names = {r.source: r for r in docs.select(docs[source].cast("string").alias("source")).groupBy("source").agg(F.count("*").alias("docs")).collect()}
     order = sorted(names, key=lambda s: (s is None, s or ""))
     count = {s: max(1, -(-names[s].docs // shard_docs)) for s in order}
-    plan = docs.sparkSession.createDataFrame([(s, i, count[s]) for i, s in enumerate(order)], "__mix_source string, __mix_no int, __mix_shards bigint")
-    cuts = cuts.select(F.col("source_no").alias("__mix_no"), F.col("shard").alias("__mix_shard"), F.col("passes").alias("__mix_passes"), F.col("last").alias("__mix_last"))
+    own = "__mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    plan = docs.sparkSession.createDataFrame([(s, i, count[s]) for i, s in enumerate(order)], f"{own}_source string, {own}_no int, {own}_shards bigint")
+    cuts = cuts.select(F.col("source_no").alias(f"{own}_no"), F.col("shard").alias(f"{own}_shard"), F.col("passes").alias(f"{own}_passes"), F.col("last.seeded").alias(f"{own}_last"), F.col("last.times").alias(f"{own}_more"))
     cuts = F.broadcast(cuts) if sum(count.values()) <= broadcast_shards else cuts
     seeded = F.xxhash64(F.lit(seed), docs[doc_id].cast("bigint"), docs[text].cast("string"))
-    placed = docs.withColumn("__mix_seeded", seeded).join(F.broadcast(plan), docs[source].cast("string").eqNullSafe(F.col("__mix_source")))
-    placed = placed.withColumn("__mix_shard", F.pmod(F.xxhash64("__mix_seeded"), F.col("__mix_shards"))).join(cuts, ["__mix_no", "__mix_shard"])
+    placed = docs.withColumn(f"{own}_seeded", seeded).join(F.broadcast(plan), docs[source].cast("string").eqNullSafe(F.col(f"{own}_source")))
+    placed = placed.withColumn(f"{own}_shard", F.pmod(F.xxhash64(f"{own}_seeded"), F.col(f"{own}_shards"))).join(cuts, [f"{own}_no", f"{own}_shard"])
     has_words = F.coalesce(docs[text].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    times = F.when(has_words, F.col("__mix_passes") + F.coalesce((F.col("__mix_seeded") <= F.col("__mix_last")).cast("int"), F.lit(0))).otherwise(0)
-    return placed.withColumn("__mix_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[docs[c] for c in docs.columns])
+    before = F.coalesce((F.col(f"{own}_seeded") < F.col(f"{own}_last")).cast("int"), F.lit(0))
+
+    def times(df: DataFrame, n: Column) -> DataFrame:
+        return df.withColumn(f"{own}_time", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+
+    at_last = placed.where(has_words & (F.col(f"{own}_seeded") == F.col(f"{own}_last"))).dropDuplicates([f"{own}_no", f"{own}_seeded"])
+    return times(placed.where(has_words), F.col(f"{own}_passes") + before).unionAll(times(at_last, F.col(f"{own}_more")))
