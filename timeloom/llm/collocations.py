@@ -10,7 +10,8 @@ are frequent in the whole corpus grow: a chunk sends each list's length once, by
 them up and answers each chunk which of its phrases are frequent and how often they occur in all. So phrases of common words
 cost a row a chunk, however often they occur, and nothing about phrases is ever broadcast or collected.
 
-With the totals of its parts at hand, the first chunk that has a phrase writes its candidate row, complete for scoring.
+The first chunk that has a phrase names it: a word by its letters, a longer phrase by those that it begins and ends with. Joins of
+these names, a row for each frequent phrase, give what scores need.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import U, Words, mix, pair, ranges, texts
@@ -38,8 +39,8 @@ _PLAIN[[ord(c) for c in ".,;:!?\x0b\x0c\r"]] = 10
 TEXTS = pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("at", pa.binary()), ("lang_of", pa.binary()), ("langs", pa.list_(pa.string()))])
 SENT = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("n", pa.binary())])
 RETURNED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("some", pa.binary()), ("total", pa.binary()), ("first", pa.binary())])
-#: kind 0: the lists of a chunk; 1: a candidate; 2: the words of a language in a chunk.
-FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("lists", pa.binary()), ("langs", pa.list_(pa.string())), ("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("a", pa.int64()), ("l", pa.list_(pa.int64())), ("r", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))])
+#: kind 0: the lists of a chunk; 1: a phrase that it names; 2: the words of a language in it.
+FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("lists", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64())])
 _SPARK = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int64()): "array<bigint>", pa.list_(pa.string()): "array<string>"}
 
 
@@ -82,24 +83,22 @@ def part(k: int, words: int, start: int) -> int:
 
 
 class Lists:
-    """What a chunk knows of its phrases of k words: ``key``, totals and keys of all their parts, words, and the places."""
+    """The phrases of a chunk by key, the lengths of their lists, and the places, list by list."""
 
-    def __init__(self, k: int, data: dict[str, np.ndarray], langs: list[str]):
-        self.k, self.langs = k, langs
-        self.sums, self.keys, self.words, self.length, self.place, self.lang_of = (data[n] for n in ("sums", "keys", "words", "length", "place", "lang_of"))
-        self.letters, self.letters_at = data["letters"], data["letters_at"]
+    def __init__(self, key: np.ndarray, length: np.ndarray, place: np.ndarray):
+        self.key, self.length, self.place = key, length, place
 
     @classmethod
-    def read(cls, k: int, data: bytes, langs: list[str]) -> Lists:
-        arrays = _unpacked(data)
-        return cls(k, arrays | {"place": np.cumsum(arrays["place"], dtype=np.uint32)}, langs)
+    def read(cls, data: bytes) -> Lists:
+        x = _unpacked(data)
+        return cls(np.cumsum(x["key"], dtype=U), x["length"], np.cumsum(x["place"], dtype=np.uint32))
 
     def packed(self) -> bytes:
-        names = ("sums", "keys", "words", "length", "lang_of", "letters", "letters_at")
-        return _packed({n: getattr(self, n) for n in names} | {"place": _steps(self.place)})
+        return _packed({"key": _steps(self.key), "length": self.length.astype("<u4"), "place": _steps(self.place.astype("<u4"))})
 
-    def word(self, i: int) -> str:
-        return self.letters[self.letters_at[i] : self.letters_at[i + 1]].tobytes().decode()
+    def some(self, numbers: np.ndarray) -> Lists:
+        start = np.cumsum(self.length) - self.length
+        return Lists(self.key[numbers], self.length[numbers], self.place[ranges(start[numbers], self.length[numbers])])
 
 
 def _grouped(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,46 +109,30 @@ def _grouped(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], order[first], np.diff(np.append(first, len(key))), place[order]
 
 
-class Candidates:
-    """Phrases of one word more than those of the chunk's lists, or of one word from its texts, with their places."""
+class Candidates(Lists):
+    """Phrases of one word more than those of a chunk's lists, and the keys of what each begins and ends with."""
 
     def __init__(self, lists: Lists):
-        k, self.lists, self.k = lists.k, lists, lists.k + 1
         number = np.repeat(np.arange(len(lists.length)), lists.length)
         order = np.argsort(lists.place, kind="stable")
         place, number = lists.place[order], number[order]
-        meet = np.flatnonzero(place[1:] == place[:-1] + 1)  # of what begins at a place there is one phrase of k words
-        left, right = number[meet], number[meet + 1]
-        own = part(k, k, 0)
-        self.key, first, self.length, self.place = _grouped(pair(lists.keys[left, own], lists.keys[right, own], self.k), place[meet])
+        meet = np.flatnonzero(place[1:] == place[:-1] + 1)  # at a place begins one phrase of a length
+        left, right = lists.key[number[meet]], lists.key[number[meet + 1]]
+        key, first, length, place = _grouped(pair(left, right), place[meet])
+        super().__init__(key, length, place)
         self.left, self.right = left[first], right[first]
 
-    def kept(self, some: np.ndarray, total: np.ndarray) -> Lists:
-        """The lists of the candidates numbered ``some``, with their totals."""
-        old, k = self.lists, self.k
-        left, right = self.left[some], self.right[some]
-        data = {"lang_of": old.lang_of[left], "words": np.column_stack((old.words[left], old.words[right, -1:])), "letters": old.letters, "letters_at": old.letters_at}
-        for name, own in (("sums", total), ("keys", self.key[some])):
-            of = getattr(old, name)
-            columns = [of[left, part(k - 1, n, s)] if s < k - n else of[right, part(k - 1, n, s - 1)] for n in range(1, k) for s in range(k - n + 1)]
-            data[name] = np.column_stack([*columns, own])
-        return Lists(k, data | _some_lists(self.length, self.place, some), old.langs)
+    def named(self, i: int) -> dict:
+        return {"left": int(self.left[i].view(np.int64)), "right": int(self.right[i].view(np.int64))}
 
 
-def _some_lists(length: np.ndarray, place: np.ndarray, some: np.ndarray) -> dict[str, np.ndarray]:
-    start = np.cumsum(length) - length
-    return {"length": length[some].astype("<u4"), "place": place[ranges(start[some], length[some])]}
-
-
-class WordCandidates:
-    """The words of a chunk of texts, each with its places."""
-
-    k = 1
+class WordCandidates(Lists):
+    """The words of a chunk of texts."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, lang_of: np.ndarray, langs: list[str]):
         data = _PLAIN[data]
         words = Words(data, at)
-        self.langs, self.data, self.words = langs, data, words
+        self.langs, self.data = langs, data
         cuts = np.cumsum(data == 10)
         text_of = np.repeat(np.arange(len(words.count)), words.count)
         apart = np.zeros(len(text_of), bool)
@@ -158,14 +141,12 @@ class WordCandidates:
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], U)
         of = lang_of[text_of]
         self.counts = np.bincount(of, minlength=len(langs))
-        self.key, first, self.length, self.place = _grouped(mix(words.hashes() ^ seeds[of]) if len(of) else np.zeros(0, U), place)
+        key, first, length, place = _grouped(mix(words.hashes() ^ seeds[of]) if len(of) else np.zeros(0, U), place)
+        super().__init__(key, length, place)
         self.start, self.end, self.lang_of = words.start[first], words.end[first], of[first]
 
-    def kept(self, some: np.ndarray, total: np.ndarray) -> Lists:
-        size = self.end[some] - self.start[some]
-        data = {"letters": self.data[ranges(self.start[some], size)], "letters_at": np.concatenate(([0], np.cumsum(size))).astype("<i8"), "lang_of": self.lang_of[some].astype("<u4")}
-        data |= {"sums": total[:, None], "keys": self.key[some][:, None], "words": np.arange(len(some), dtype="<u4")[:, None]}
-        return Lists(1, data | _some_lists(self.length, self.place, some), self.langs)
+    def named(self, i: int) -> dict:
+        return {"lang": self.langs[self.lang_of[i]], "word": self.data[self.start[i] : self.end[i]].tobytes().decode()}
 
 
 def _segments(data: np.ndarray, most: int) -> list[int]:
@@ -221,7 +202,7 @@ def chunked(docs: DataFrame, text: str, lang: str, chunk_bytes: int = CHUNK_BYTE
 def _candidates(row: dict, k: int):
     if k == 1:
         return WordCandidates(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["at"], "<i8"), np.frombuffer(row["lang_of"], "<u4"), row["langs"])
-    return Candidates(Lists.read(k - 1, row["lists"], row["langs"]))
+    return Candidates(Lists.read(row["lists"]))
 
 
 def _rows(batch: pa.RecordBatch):
@@ -283,7 +264,7 @@ def _summed(least: int):
 
 
 def _grown(k: int, slices: int, last: bool):
-    """Over chunks and what was returned to them: their lists of phrases of k words, and the candidates that they lead."""
+    """Over chunks and what was returned to them: their lists of phrases of k words, and the phrases that they name."""
 
     def settled(row, returned):
         c = _candidates(row, k)
@@ -294,20 +275,13 @@ def _grown(k: int, slices: int, last: bool):
             some.append(a + np.flatnonzero(np.unpackbits(np.frombuffer(r["some"], np.uint8), count=b - a)))
             total.append(np.frombuffer(r["total"], "<i8"))
             leads.append(np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(some[-1])).astype(bool))
-        lists = c.kept(np.concatenate(some), np.concatenate(total))
-        out = []
+        some, leads = np.concatenate(some), np.concatenate(leads)
+        out = [{"kind": 1, "key": int(c.key[i].view(np.int64)), "a": n, **c.named(i)} for i, n in zip(some[leads].tolist(), np.concatenate(total)[leads].tolist(), strict=True)]
         if k == 1:
             out += [{"kind": 2, "lang": x, "a": n} for x, n in zip(c.langs, c.counts.tolist(), strict=True)]
-        else:
-            inner = [part(k, n, s) for n in range(2, k) for s in range(k - n + 1)]
-            for i in np.flatnonzero(np.concatenate(leads)).tolist():
-                sums, keys = lists.sums[i], lists.keys[i].view(np.int64)
-                out.append({
-                    "kind": 1, "lang": lists.langs[lists.lang_of[i]], "phrase": " ".join(map(lists.word, lists.words[i].tolist())), "key": int(keys[-1]), "a": int(sums[-1]),
-                    "l": [int(sums[part(k, j, 0)]) for j in range(1, k)], "r": [int(sums[part(k, k - j, j)]) for j in range(1, k)], "inner": keys[inner].tolist(),
-                })
-        if not last and len(lists.length):
-            out.append({"kind": 0, "chunk": row["chunk"], "a": len(lists.place), "lists": lists.packed(), "langs": lists.langs})
+        if not last and len(some):
+            lists = c.some(some)
+            out.append({"kind": 0, "chunk": row["chunk"], "a": len(lists.place), "lists": lists.packed()})
         return pa.RecordBatch.from_pylist(out, schema=FOUND)
 
     def run(batches):
@@ -326,11 +300,8 @@ def _grown(k: int, slices: int, last: bool):
     return run
 
 
-def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", least: int = 30, most_words: int = 4, chunk_bytes: int = CHUNK_BYTES, slice_keys: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, key, a, l, r, inner) of each phrase of 2 words or more that occurs ``least`` times, (lang, n) words).
-
-    l and r are the frequencies of the two parts by cut, ``inner`` the keys of the shorter phrases of 2 words or more in it.
-    """
+def frequent(docs: DataFrame, scratch: Scratch, text: str, lang: str, least: int, most_words: int, chunk_bytes: int, slice_keys: int) -> list[DataFrame]:
+    """By number of words, from 1 on: (kind, lang, word, key, left, right, a), kinds 1 and 2 of FOUND."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = state = scratch.save(chunked(docs, text, lang, chunk_bytes), "texts")
     # An upper bound of the places of a chunk's lists, and so of what it sends.
@@ -343,17 +314,38 @@ def candidates(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str
         both = state.withColumn("slice", F.lit(None).cast("int")).unionByName(returned, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("slice"))
         grown = scratch.save(both.mapInArrow(_grown(k, slices, k == most_words), _ddl(FOUND)), f"words{k}")
         scratch.drop(lists)
-        # What stays is small; the lists go as soon as the next ones are there.
-        found.append(scratch.save(grown.where("kind > 0").drop("lists", "langs"), f"found{k}"))
-        lists, state, places = grown, grown.where("kind = 0").select("chunk", "lists", "langs", F.col("a").alias("places")), F.col("places")
+        # What is named is small; the lists go as soon as the next ones are there.
+        found.append(scratch.save(grown.where("kind > 0").drop("lists", "chunk"), f"found{k}"))
+        lists, state, places = grown, grown.where("kind = 0").select("chunk", "lists", F.col("a").alias("places")), F.col("places")
     scratch.drop(lists)
-    phrases = [f.where("kind = 1").select("lang", "phrase", "key", "a", "l", "r", "inner") for f in found[1:]]
-    for f in phrases[1:]:
-        phrases[0] = phrases[0].union(f)
-    return phrases[0], found[0].where("kind = 2").groupBy("lang").agg(F.sum("a").alias("n"))
+    return found
+
 
+def candidates(found: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(lang, phrase, key, a, l, r, inner) of each frequent phrase of 2 words or more.
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, most_words: int = 4, top: int = 2000, inside_percent: int = 80, spread: int = 64, **options) -> DataFrame:
+    l and r are the frequencies of its two parts by cut, ``inner`` the keys of the shorter phrases of 2 words or more in it.
+    """
+    now, out = found[0].where("kind = 1").select("key", "lang", F.array("word").alias("words"), F.array("key").alias("keys"), F.array("a").alias("sums")), []
+    for k, level in enumerate(found[1:], 2):
+        x, y = now.alias("x"), now.alias("y")
+        rows = level.where("kind = 1").alias("f").join(x, F.col("f.left") == F.col("x.key")).join(y, F.col("f.right") == F.col("y.key"))
+
+        def parts(name: str, own: str) -> Column:
+            side = lambda n, s: F.col(f"x.{name}")[part(k - 1, n, s)] if s < k - n else F.col(f"y.{name}")[part(k - 1, n, s - 1)]
+            return F.array(*[side(n, s) for n in range(1, k) for s in range(k - n + 1)], F.col(f"f.{own}")).alias(name)
+
+        rows = rows.select("f.key", "x.lang", F.concat("x.words", F.slice("y.words", -1, 1)).alias("words"), parts("keys", "key"), parts("sums", "a"))
+        now = scratch.save(rows, f"phrases{k}")
+        inner = [part(k, n, s) for n in range(2, k) for s in range(k - n + 1)]
+        pick = lambda name, at: F.array(*[F.col(name)[i] for i in at]).cast("array<bigint>").alias
+        out.append(now.select("lang", F.array_join("words", " ").alias("phrase"), "key", F.col("sums")[part(k, k, 0)].alias("a"), pick("sums", [part(k, j, 0) for j in range(1, k)])("l"), pick("sums", [part(k, k - j, j) for j in range(1, k)])("r"), pick("keys", inner)("inner")))
+    for more in out[1:]:
+        out[0] = out[0].union(more)
+    return out[0]
+
+
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, most_words: int = 4, top: int = 2000, inside_percent: int = 80, spread: int = 64, chunk_bytes: int = CHUNK_BYTES, slice_keys: int = 1_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases by score, then frequency, then phrase.
 
     A null or empty text has no words; a null language is ``und``. Repeated rows count as often as they are there. Ties go by the
@@ -361,7 +353,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     result; further columns take no part. A text longer than a chunk is cut where a piece ends, which no phrase crosses.
     """
     scratch = Scratch(docs.sparkSession, "collocations")
-    found, words = candidates(docs, scratch, text, lang, least, most_words, **options)
+    levels = frequent(docs, scratch, text, lang, least, most_words, chunk_bytes, slice_keys)
+    found, words = candidates(levels, scratch), levels[0].where("kind = 2").groupBy("lang").agg(F.sum("a").alias("n"))
     inside = found.select(F.explode("inner").alias("key"), "a").groupBy("key").agg(F.max("a").alias("longer"))
     left = found.drop("inner").join(inside, "key", "left").where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * inside_percent))
     cuts = F.transform(F.sequence(F.lit(1), F.size("l")), lambda k: F.struct(F.expr("2000000 * cast(a as decimal(20,0))").alias("up"), (F.element_at("l", k).cast("decimal(20,0)") + F.element_at("r", k).cast("decimal(20,0)")).alias("down"), k.alias("k")))
