@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import times
-from timeloom.operators.sequence import infer_year, months_added, years_added
 from timeloom.schema import Context
 from timeloom.sources.evtx import CHUNK, FILE_HEADER, records_in
 from timeloom.sources.lines import read_lines
@@ -109,14 +108,6 @@ def test_line_numbers_over_splits(spark, tmp_path):
     assert {(r.line_no, r.line) for r in rows if r.source == "b c+%.log"} == {(1, "x\ry"), (3, "z")}
 
 
-def test_years():
-    now = datetime(2024, 1, 31, tzinfo=timezone.utc)
-    step = infer_year(now)()
-    year = lambda s: (t := step({"full_ts": None, "stamp": s})) and t.year
-    assert [year("Dec 31 23:59:59"), year("Jan  1 00:00:00"), year("Feb 29 00:00:00"), year("Feb 30 00:00:00")] == [2023, 2024, 2024, None]
-    assert years_added(datetime(2024, 2, 29), -1) == datetime(2023, 3, 1) and months_added(datetime(2023, 8, 31), 6) == datetime(2024, 3, 2)
-
-
 def test_patterns():
     assert tx.java_regex(r"^a.\s[\s\]]$") == r"(?du)^a.[\t\n\f\r ][\t\n\f\r \]]\z"
 

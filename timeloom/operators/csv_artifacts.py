@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, trimmed
 from ..schema import Context, event
 from ..sources.lines import local_path
-from .sequence import in_order
+from .segments import Table, carried
 
 # Column names by role, in order of preference of the columns, not of these lists.
 TIMES = (
@@ -79,27 +80,28 @@ def epoch_time(v: int, compat: bool = False) -> datetime | None:
     return None
 
 
-def sticky_times(compat: bool = False):
-    """For :func:`in_order` over rows with ``candidates``: the form that fitted last is tried first, which settles 1/2/2024."""
+def sticky_times(compat: bool = False) -> Table:
+    """Times of rows by their candidates: the form that fitted last is tried first, which settles 1/2/2024. State 0 is no form."""
 
-    def start():
-        last: list[re.Pattern | None] = [None]
+    def one(state: int, text: str) -> tuple[int, datetime | None]:
+        if state and (t := time_of(text, FORMS[state - 1])):
+            return state, t
+        if text.isascii() and text.isdigit() and (t := epoch_time(int(text), compat)):
+            return 0, t
+        for i, form in enumerate(FORMS, 1):
+            if t := time_of(text, form):
+                return i, t
+        return state, None
 
-        def one(text: str) -> datetime | None:
-            if last[0] is not None and (t := time_of(text, last[0])):
-                return t
-            if text.isascii() and text.isdigit() and (t := epoch_time(int(text), compat)):
-                last[0] = None
-                return t
-            for form in FORMS:
-                if t := time_of(text, form):
-                    last[0] = form
-                    return t
-            return None
-
-        return lambda row: next((t for c in row["candidates"] or [] if c not in (None, "", "-") and (t := one(c))), None)
+    def step(state: int, candidates: list[str | None] | None) -> tuple[int, datetime | None]:
+        for c in candidates or ():
+            if c not in (None, "", "-"):
+                state, t = one(state, c)
+                if t:
+                    return state, t
+        return state, None
 
-    return start
+    return Table("candidates", "timestamp", pa.timestamp("us", tz="UTC"), len(FORMS) + 1, step)
 
 
 def columns_for(header: list[str], known: tuple[str, ...]) -> list[int]:
@@ -137,7 +139,7 @@ def csv_events(rows: DataFrame, header: list[str], ctx: Context, sticky: bool =
         "path", "source", "line_no", F.array(*[value(i) for i in stamps]).cast("array<string>").alias("candidates"),
         F.concat_ws(" | ", *[named(i) for i in messages]).alias("message"), F.coalesce(first(SOURCES), F.lit("CSVRecord")).alias("kind"), first(USERS).alias("who"), first(HOSTS).alias("where"),
     )
-    rows = in_order(rows, ["candidates"], sticky_times(ctx.compat), "ts", "timestamp") if sticky and stamps else rows.withColumn("ts", plain_time(F.col("candidates")))
+    rows = carried(rows, sticky_times(ctx.compat), "ts") if sticky and stamps else rows.withColumn("ts", plain_time(F.col("candidates")))
     return event(rows, timestamp=F.col("ts"), event_type=F.col("kind"), user=F.col("who"), host=F.col("where"), message=F.col("message"))
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,73 +41,8 @@ def counted(rows: DataFrame, name: str, stretch: int = 1 << 16) -> DataFrame:
     return rows.withColumn(name, (F.col("before") + own).cast("bigint")).drop("stretch", "before")
 
 
-def in_order(df: DataFrame, of: list[str], step: Callable[[], Callable[[dict], object]], name: str, kind: str) -> DataFrame:
-    """Adds what ``step()`` gives for the columns ``of`` of each row, called file by file in line order; rows stream, so no file is held."""
-    fields = df.schema.fields
-
-    def run(batches):
-        path, call = object(), None
-        for batch in batches:
-            out = []
-            for row in batch.select(["path", *of]).to_pylist():
-                if row["path"] != path:
-                    path, call = row["path"], step()
-                out.append(call(row))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.timestamp("us", tz="UTC") if kind == "timestamp" else None)], [*batch.schema.names, name])
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.repartition(n, "path").sortWithinPartitions("path", "line_no").mapInArrow(run, f"{schema}, `{name}` {kind}")
-
-
-def years_added(t: datetime, n: int) -> datetime:
-    """The same day n years on; a leap day that isn't there is the first of March."""
-    try:
-        return t.replace(year=t.year + n)
-    except ValueError:
-        return t.replace(year=t.year + n, month=3, day=1)
-
-
 def months_added(t: datetime, n: int) -> datetime:
     """The same day n months on; days beyond the month's end run over into the next."""
     month = t.month - 1 + n
     first = t.replace(year=t.year + month // 12, month=month % 12 + 1, day=1)
     return first + timedelta(days=t.day - 1)
-
-
-def infer_year(now: datetime) -> Callable[[], Callable[[dict], datetime | None]]:
-    """For :func:`in_order` over rows with ``full_ts`` (a time with a year, else null) and ``stamp`` (month, day and time).
-
-    A stamp gets the reference year; the one before if it is November or December and now January or February, or if it
-    would be over six months ahead; and the next one if it is over 30 days before the line above and nearer to that so.
-    A stamp that is no date has no time here and counts as now for the next line.
-    """
-    now = now.astimezone(timezone.utc)
-    ahead = months_added(now, 6)
-
-    def start():
-        last: list[datetime | None] = [None]
-
-        def step(row: dict) -> datetime | None:
-            if row["full_ts"] is not None:
-                last[0] = row["full_ts"].astimezone(timezone.utc)
-                return last[0]
-            if row["stamp"] is None:
-                return None
-            try:
-                t = datetime.strptime(f"{now.year} {' '.join(row['stamp'].split())}", "%Y %b %d %H:%M:%S").replace(tzinfo=timezone.utc)
-            except ValueError:
-                last[0] = now
-                return None
-            if now.month <= 2 and t.month >= 11 or t > ahead:
-                t = years_added(t, -1)
-            if last[0] is not None and t < last[0] - timedelta(days=30):
-                later = years_added(t, 1)
-                if abs(later - last[0]) < abs(t - last[0]):
-                    t = later
-            last[0] = t
-            return t
-
-        return step
-
-    return start

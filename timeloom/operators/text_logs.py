@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.text import first_match, groups, known, matches, trimmed, truncated
 from ..schema import Context, event
-from .sequence import in_order, infer_year
+from .sequence import months_added
+from .segments import Rollover, carried
 
 # The formats' patterns.
 ISO_ZONED = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})"
@@ -81,11 +84,36 @@ def generic_log(lines: DataFrame, ctx: Context) -> DataFrame:
     return event(rows, timestamp=F.col("stamp"), event_type="LogEntry", message=F.when(F.col("cut").isNotNull(), rest).otherwise(F.col("line")), offset=zone)
 
 
+def _years_on(t: Column, n: int) -> Column:
+    """The same day n years on; a leap day that isn't there is the first of March."""
+    at = lambda month, day: F.try_make_timestamp(F.year(t) + n, month, day, F.hour(t), F.minute(t), F.second(t))
+    return F.coalesce(at(F.month(t), F.dayofmonth(t)), F.when(t.isNotNull(), at(F.lit(3), F.lit(1))))
+
+
+def dated(rows: DataFrame, ctx: Context) -> DataFrame:
+    """Adds ``ts`` to rows of ``full_ts`` (a time with a year, else null) and ``stamp`` (month, day and time).
+
+    A stamp gets the reference year; the one before if it is November or December and now January or February, or if it
+    would be over six months ahead; and the next one if that is nearer to the line above. A stamp that is no date has no time
+    here and counts as now for the next line.
+    """
+    now = ctx.reference_time.astimezone(timezone.utc)
+    t = F.when(F.col("full_ts").isNull(), times.parsed(F.concat(F.lit(f"{now.year} "), times.spaced(F.col("stamp"))), "yyyy MMM d HH:mm:ss"))
+    ahead = F.lit(months_added(now, 6).isoformat()).cast("timestamp")
+    past = (t > ahead) | ((F.month(t) >= 11) if now.month <= 2 else F.lit(False))
+    rows = rows.withColumn("low", t)
+    rows = rows.withColumn("low", F.when(past, _years_on(F.col("low"), -1)).otherwise(F.col("low")))
+    fixed = F.coalesce("full_ts", F.when(F.col("stamp").isNotNull() & F.col("low").isNull(), ctx.now))
+    rows = rows.withColumn("high", F.coalesce(fixed, _years_on(F.col("low"), 1))).withColumn("valid", F.col("full_ts").isNotNull() | F.col("low").isNotNull()).withColumn("low", F.coalesce(fixed, "low"))
+    rows = carried(rows.drop("stamp", "full_ts"), Rollover(), "late")
+    return rows.withColumn("ts", F.when(F.col("valid"), F.when(F.col("late"), F.col("high")).otherwise(F.col("low"))))
+
+
 def syslog(lines: DataFrame, ctx: Context) -> DataFrame:
     """Lines with a full time, or with one without a year, which is inferred along the file."""
     rows = _grouped(lines, full=SYSLOG_5424, old=SYSLOG_3164)
     rows = rows.withColumn("full_ts", F.when(F.col("full").isNotNull(), F.coalesce(times.rfc3339(_at("full", 1)), ctx.now))).withColumn("stamp", F.when(F.col("full").isNull(), _at("old", 1)))
-    rows = in_order(rows.select("path", "source", "line_no", "line", "full", "old", "full_ts", "stamp"), ["full_ts", "stamp"], infer_year(ctx.reference_time), "ts", "timestamp")
+    rows = dated(rows, ctx)
     g = lambda i: F.coalesce(_at("full", i), _at("old", i))
     hit = g(1).isNotNull()
     message = F.when(hit, F.concat(F.lit("["), g(3), F.lit("] "), g(4))).otherwise(F.col("line"))
@@ -189,11 +217,10 @@ def macos_install(lines: DataFrame, ctx: Context) -> DataFrame:
 def macos_asl(lines: DataFrame, ctx: Context) -> DataFrame:
     """System log lines with a level, with or without a process id; years are inferred along the file."""
     rows = _grouped(lines, a=ASL, b=ASL_NO_PID)
-    rows = rows.withColumn("full_ts", F.lit(None).cast("timestamp")).withColumn("stamp", F.coalesce(_at("a", 1), _at("b", 1)))
-    rows = in_order(rows.select("path", "source", "line_no", "line", "a", "b", "full_ts", "stamp"), ["full_ts", "stamp"], infer_year(ctx.reference_time), "ts", "timestamp")
+    rows = dated(rows.withColumn("full_ts", F.lit(None).cast("timestamp")).withColumn("stamp", F.coalesce(_at("a", 1), _at("b", 1))), ctx)
     with_pid = F.concat(F.lit("["), trimmed(_at("a", 3)), F.lit("("), F.coalesce(_at("a", 4).try_cast("bigint").cast("string"), F.lit("0")), F.lit(")] <"), _at("a", 5), F.lit("> "), _at("a", 6))
     plain = F.concat(F.lit("["), trimmed(_at("b", 3)), F.lit("] <"), _at("b", 4), F.lit("> "), _at("b", 5))
-    hit = F.col("stamp").isNotNull()
+    hit = F.col("a").isNotNull() | F.col("b").isNotNull()
     return event(rows, timestamp=F.col("ts"), event_type=_raw_or(hit, "ASL"), host=F.coalesce(_at("a", 2), _at("b", 2)), message=F.coalesce(with_pid, plain, F.col("line")), default=ctx.now)
 
 

@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, trimmed
 
 
-def read_lines(spark: SparkSession, paths: list[str], blank: bool = False) -> DataFrame:
-    """(path, source, line_no, line), lines numbered from 1 with blank ones counted, which stay only with ``blank``.
+#: Bytes of a side table of splits that are broadcast at most.
+MOST_BROADCAST = 256 << 20
 
-    Files are split as Spark splits them. A line's number is its place in its split plus the lines of the file's splits before
-    it; of that, only one row for each split is shuffled.
+
+def split_bytes(spark: SparkSession, raw: DataFrame) -> int:
+    """An upper bound of the bytes of a table of the splits in which files are read, by their sizes alone."""
+    conf, size = spark.conf, lambda name: int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)))
+    total = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = raw.inputFiles()
+    cores = int(conf.get("spark.sql.files.minPartitionNum", None) or 0) or spark.sparkContext.defaultParallelism
+    each = min(size("spark.sql.files.maxPartitionBytes"), max(size("spark.sql.files.openCostInBytes"), total // cores))
+    return (len(files) + total // max(1, each)) * (max(map(len, files), default=0) + 100)
+
+
+def read_lines(spark: SparkSession, paths: list[str], blank: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(path, source, line_no, line, block), lines numbered from 1 with blank ones counted, which stay only with ``blank``.
+
+    Files are split as Spark splits them; ``block`` is where a split begins, and its rows come in line order. A line's number is
+    its place in its split plus the lines of the file's splits before it. Of each split one row is shuffled, and all of them are
+    broadcast to the lines, which stay where they are read. Should the table of splits be above ``most_broadcast`` bytes by the
+    files' sizes, it is joined instead, and there is no ``block``.
     """
-    raw = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    few = split_bytes(spark, raw) <= most_broadcast
     raw = raw.withColumn("place", F.monotonically_increasing_id())
-    blocks = raw.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
-    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")
-    blocks = blocks.select("path", "block", (before - F.col("first") + 1).alias("shift"))
-    lines = raw.join(blocks, ["path", "block"]).select(local_path(F.col("path")).alias("path"), (F.col("place") + F.col("shift")).alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    blocks = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = raw.join(F.broadcast(blocks) if few else blocks, ["file", "block"], "left")
+    shift = F.coalesce("shift", F.raise_error(F.lit("a file was split in another way when its lines were counted")).cast("bigint"))
+    lines = lines.select(local_path(F.col("file")).alias("path"), (F.col("place") + shift).alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"), *["block"] * few)
     return with_source(lines if blank else lines.where(trimmed(F.col("line")) != ""))
 
 
