@@ -16,8 +16,6 @@ NAMED_CLASSES = {
     "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
     "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
 }
-#: What backtracking engines have and linear-time ones don't: looking around, atomic groups, possessive repeats, references back.
-_ONLY_BACKTRACKING = re.compile(r"\(\?(?:[=!>]|<[=!])|(?<!\\)(?:\\\\)*(?:(?:[*+?]|\{\d+(?:,\d*)?\})\+|\\[1-9]|\\k<)")
 
 
 def java_regex(pattern: str) -> str:
@@ -80,12 +78,6 @@ def java_regex(pattern: str) -> str:
     return "(?du)" + "".join(out)
 
 
-def linear(pattern: str) -> bool:
-    """Whether a pattern does without what linear-time engines lack; brackets and quotes are not looked into."""
-    bare = re.sub(r"\\[pPx]\{[^}]*\}|\\Q.*?(\\E|$)|\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]", "x", pattern, flags=re.S)
-    return not _ONLY_BACKTRACKING.search(bare)
-
-
 def groups(line: Column, pattern: str) -> Column:
     """The groups of an anchored pattern as an array, null where it doesn't match; one match a line, however many groups."""
     n = re.compile(pattern).groups

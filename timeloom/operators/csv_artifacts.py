@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, trimmed
+from ..functions.text import trimmed
 from ..schema import Context, event
-from ..sources.lines import local_path
-from .segments import Table, carried
+from ..sources.lines import read_lines
+from .segments import Records, Table, carried
 
 # Column names by role, in order of preference of the columns, not of these lists.
 TIMES = (
@@ -118,13 +118,42 @@ def parse_header(first_line: str) -> tuple[list[str], str]:
     return next(csv.reader([first_line], delimiter=sep, skipinitialspace=True), []), sep
 
 
+def _open_quotes(sep: str) -> tuple[Column, Column]:
+    """Whether a quoted field is open at the end of ``line``, if none is at its beginning, and if one is.
+
+    A quote opens a field only where the field begins; within it two are one, and another closes it, whatever follows up to the separator.
+    """
+    inside = r'(?:[^"]++|"")*+'
+    field = rf'(?:[ \t]*+"{inside}"[^{sep}]*+|(?![ \t]*+")[^{sep}]*+)'
+    opened = rf'(?:{field}{sep})*+[ \t]*+"{inside}\z'
+    line = F.col("line")
+    return line.rlike(rf"\A{opened}"), line.rlike(rf'\A{inside}(?:\z|"(?!")[^{sep}]*+{sep}{opened})')
+
+
+def records_of(lines: DataFrame, sep: str) -> DataFrame:
+    """(path, source, line_no, text): the records of files of lines, numbered from 1, blank lines between them left out.
+
+    Quoted fields may go on over lines and splits. Which lines go together is found in parallel; only those of records of more
+    than one line are shuffled.
+    """
+    opens, stays = _open_quotes(sep)
+    lines = lines.select("*", opens.alias("opens"), stays.alias("stays"), (F.col("line") == "").alias("blank"))
+    lines = carried(lines, Records(), "record").where("record <> 0")
+    alone = (F.col("record") > 0) & ~F.col("opens")
+    whole = lines.where(alone).select("path", "source", F.col("record").alias("line_no"), F.col("line").alias("text"))
+    parts = lines.where(~alone).groupBy("path", "source", F.abs("record").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
+    return whole.union(parts.select("path", "source", "line_no", F.array_join(F.col("parts.line"), "\n").alias("text")))
+
+
 def read_csv(spark: SparkSession, paths: list[str], header: list[str], sep: str) -> DataFrame:
-    """(path, source, line_no, c0, c1, ...) of files with one header: records from number 2 on; short ones are padded with nulls."""
+    """(path, source, line_no, c0, c1, ...) of files with one header: records from number 2 on; short ones are padded with nulls.
+
+    Files are read in splits, one in many tasks, whatever their quoted fields hold.
+    """
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    raw = spark.read.schema(schema).csv(paths, header=True, sep=sep, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, enforceSchema=True, mode="PERMISSIVE")
-    raw = raw.select("*", local_path(F.col("_metadata.file_path")).alias("path")).withColumn("place", F.monotonically_increasing_id())
-    first = raw.groupBy("path").agg(F.min("place").alias("first"))
-    return raw.join(first, "path").withColumn("line_no", F.col("place") - F.col("first") + 2).withColumn("source", base_name(F.col("path"))).drop("place", "first")
+    rows = records_of(read_lines(spark, paths, blank=True, numbered=False), sep).where("line_no > 1")
+    options = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}
+    return rows.select("path", "source", "line_no", F.inline(F.array(F.from_csv("text", schema, options))))
 
 
 def csv_events(rows: DataFrame, header: list[str], ctx: Context, sticky: bool = True) -> DataFrame:

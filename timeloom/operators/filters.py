@@ -6,18 +6,26 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import java_regex, linear
+from ..functions.patterns import PatternError, translated
+
+
+_checked: dict[str, str] = {}
 
 
 def check_pattern(spark: SparkSession, pattern: str) -> str:
-    """The pattern, or an error before any file is read; the engine that will match it judges it."""
-    if not linear(pattern):
-        raise ValueError(f"invalid filter pattern: {pattern} looks around or back")
+    """The pattern as Spark matches it, or an error before any file is read."""
+    if pattern in _checked:
+        return _checked[pattern]
+    java, scripts = translated(pattern)
+    known = {str(x) for x in spark._jvm.java.lang.Character.UnicodeScript.values()} if scripts else set()
+    if unknown := [s for s in scripts if s.upper() not in known]:
+        raise PatternError(f"invalid filter pattern: no script {', '.join(sorted(unknown))} in {pattern}")
     try:
-        spark.range(1).select(F.lit("").rlike(java_regex(pattern))).first()
+        spark.range(1).select(F.lit("").rlike(java)).first()
     except PySparkException as e:
-        raise ValueError(f"invalid filter pattern: {str(e)[:500]}") from e
-    return pattern
+        raise PatternError(f"invalid filter pattern: {str(e)[:500]}") from e
+    _checked[pattern] = java
+    return java
 
 
 def matching(events: DataFrame, pattern: str | None) -> DataFrame:
@@ -28,6 +36,6 @@ def matching(events: DataFrame, pattern: str | None) -> DataFrame:
     """
     if not pattern:
         return events
-    p = java_regex(check_pattern(events.sparkSession, pattern))
+    p = check_pattern(events.sparkSession, pattern)
     parsed = events.select(F.inline(F.array(F.struct(*[F.col(c) for c in events.columns]))))
     return parsed.where(F.col("user").rlike(p) | F.col("host").rlike(p) | F.col("message").rlike(p) | F.col("source").rlike(p))

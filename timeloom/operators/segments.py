@@ -214,3 +214,58 @@ class Table:
             return pa.array(out, self.arrow)
 
         return call
+
+
+class Records:
+    """Numbers the records of a file whose lines may continue one another.
+
+    Of each line it reads whether the next one continues it, if it begins a record itself (``opens``) and if it continues one
+    (``stays``), and whether it is ``blank``, which no record begins with. It gives the record's number, from 1; negative for lines
+    that continue it, 0 for what is in none. A state is (whether a record is open, records so far); an effect is what each of
+    both beginnings comes to, with the records that begin meanwhile.
+    """
+
+    columns, kind, initial = ["opens", "stays", "blank"], "bigint", (False, 0)
+
+    @staticmethod
+    def _open(opens: np.ndarray, stays: np.ndarray, before: bool) -> np.ndarray:
+        """Whether a record is open before each line, and after the last: lines settle that, keep it or turn it over."""
+        turned = np.concatenate(([0], np.cumsum(opens & ~stays)))
+        settles = np.concatenate(([True], opens == stays))
+        value = np.concatenate(([before], opens)) ^ (turned % 2 == 1)
+        last = np.maximum.accumulate(np.where(settles, np.arange(len(settles)), 0))
+        return value[last] ^ (turned % 2 == 1)
+
+    @staticmethod
+    def _flags(columns: list[pa.Array]) -> list[np.ndarray]:
+        return [c.to_numpy(zero_copy_only=False).astype(bool) for c in columns]
+
+    def effect(self):
+        ends = [[False, 0], [True, 0]]
+
+        def take(columns):
+            opens, stays, blank = self._flags(columns)
+            opens = opens & ~blank
+            for end in ends:
+                is_open = self._open(opens, stays, end[0])
+                end[1] += int((~is_open[:-1] & ~blank).sum())
+                end[0] = bool(is_open[-1])
+
+        return take, lambda: ends
+
+    def after(self, effect, state):
+        is_open, more = effect[int(state[0])]
+        return is_open, state[1] + more
+
+    def run(self, state):
+        now = [*state]
+
+        def call(columns):
+            opens, stays, blank = self._flags(columns)
+            is_open = self._open(opens & ~blank, stays, now[0])
+            begins = ~is_open[:-1] & ~blank
+            number = now[1] + np.cumsum(begins)
+            now[:] = [bool(is_open[-1]), int(number[-1]) if len(number) else now[1]]
+            return pa.array(np.where(begins, number, np.where(is_open[:-1], -number, 0)))
+
+        return call

@@ -15,7 +15,7 @@ from ..schema import EVENT_SCHEMA, Context
 from ..sources.checks import BYTES, JSON, unreadable
 from ..sources.evtx import read_evtx
 from ..sources.lines import read_lines
-from ..sources.manifest import manifest
+from ..sources.manifest import first_lines, manifest
 from ..sources.sqlite import read_history
 from ..sources.whole import read_texts
 
@@ -45,10 +45,9 @@ def _browser(kind: str) -> Parser:
 
 def _csv(spark: SparkSession, paths: list[str], ctx: Context) -> DataFrame:
     """Files of one header share a plan; headers are the files' first lines."""
-    first = read_lines(spark, paths, blank=True).where("line_no = 1").select("path", "line").collect()
     by: dict[str, list[str]] = defaultdict(list)
-    for r in first:
-        by[r.line].append(r.path)
+    for path, line in zip(paths, first_lines(spark, paths), strict=True):
+        by[line].append(path)
     parts = []
     for line, own in sorted(by.items()):
         header, sep = csv_artifacts.parse_header(line)

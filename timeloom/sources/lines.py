@@ -22,17 +22,21 @@ def split_bytes(spark: SparkSession, raw: DataFrame) -> int:
     return (len(files) + total // max(1, each)) * (max(map(len, files), default=0) + 100)
 
 
-def read_lines(spark: SparkSession, paths: list[str], blank: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], blank: bool = False, numbered: bool = True, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(path, source, line_no, line, block), lines numbered from 1 with blank ones counted, which stay only with ``blank``.
 
     Files are split as Spark splits them; ``block`` is where a split begins, and its rows come in line order. A line's number is
     its place in its split plus the lines of the file's splits before it. Of each split one row is shuffled, and all of them are
     broadcast to the lines, which stay where they are read. Should the table of splits be above ``most_broadcast`` bytes by the
-    files' sizes, it is joined instead, and there is no ``block``.
+    files' sizes, it is joined instead, and there is no ``block``. Without ``numbered``, line_no only ascends within a
+    split, where there are splits, and files are read once less.
     """
     raw = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     few = split_bytes(spark, raw) <= most_broadcast
     raw = raw.withColumn("place", F.monotonically_increasing_id())
+    if few and not numbered:
+        lines = raw.select(local_path(F.col("file")).alias("path"), F.col("place").alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"), "block")
+        return with_source(lines if blank else lines.where(trimmed(F.col("line")) != ""))
     blocks = raw.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
     blocks = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))

@@ -20,20 +20,37 @@ def list_files(spark: SparkSession, *inputs: str) -> DataFrame:
     return raw.select(local_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
 
 
+def _start(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file, or all it has."""
+    if "://" not in path and os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read(size)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def first_lines(spark: SparkSession, paths: list[str], threads: int = 32) -> list[str]:
+    """Each file's first line, of which no more is read than it takes."""
+
+    def one(path: str) -> str:
+        size = 1 << 16
+        while b"\n" not in (data := _start(spark, path, size)) and len(data) == size:
+            size *= 16
+        return data.split(b"\n")[0].decode("utf-8", "replace").removesuffix("\r")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(one, paths))
+
+
 def _head(spark: SparkSession, path: str) -> tuple[str, list[str], str | None]:
     """The first bytes as text, the first lines, and why a file can't be read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     try:
-        if "://" not in path and os.path.exists(path):
-            with open(path, "rb") as f:
-                data = f.read(HEAD_LINES * 2048)
-        else:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            stream = p.getFileSystem(conf).open(p)
-            try:
-                data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_LINES * 2048)))
-            finally:
-                stream.close()
+        data = _start(spark, path, HEAD_LINES * 2048)
     except Exception as e:  # the file is reported and skipped
         return "", [], str(e)[:500]
     text = data[:HEAD_BYTES].decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace")
