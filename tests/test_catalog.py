@@ -54,6 +54,11 @@ def test_through_files(spark, name):
     assert compared(spark, name)
 
 
+@pytest.mark.parametrize("name", ["web_raw_lines", "sysmon_type_names", "sysmon_all_events", "route_pages", "filter_patterns", "csv_quoted_texts", "log_sticky_pattern"])
+def test_whole_tables(spark, name):
+    assert compared(spark, name)
+
+
 @pytest.mark.parametrize("name", ["zeek_conn", "zeek_mystery", "iis_parse", "syslog_3164_year", "csv_role_inference"])
 def test_along_files(spark, name):
     assert compared(spark, name)

@@ -19,16 +19,22 @@ SENSOR_TYPES = {
 }
 
 
+#: The fields that are read of web server logs.
+W3C_FIELDS = ("date", "time", "c-ip", "cs-username", "s-ip", "s-port", "cs-method", "cs-uri-stem", "cs-uri-query", "sc-status", "sc-substatus", "sc-win32-status", "time-taken", "cs(User-Agent)")
+
+
 def w3c(lines: DataFrame, ctx: Context) -> DataFrame:
     """Rows under the latest ``#Fields`` line above them; rows of fewer fields than it names, and those before any, are dropped."""
     tokens = F.split(trimmed(F.col("line")), r"[\t\n\f\r ]+")
     fields = F.when(F.col("line").startswith("#Fields:"), F.split(trimmed(F.substring("line", F.lit(9), F.length("line"))), r"[\t\n\f\r ]+"))
     heads = last_value(lines.where(F.col("line").startswith("#Fields:")).withColumn("named", fields), names=F.col("named"))
-    rows = headed(lines.where(~F.col("line").startswith("#")), heads, "names")
-    rows = evaluated(rows.where(F.array_join("names", "") != ""), ["path", "source", "line_no", "names"], values=tokens).where(F.size("values") >= F.size("names"))
-    # A field that is named twice has its last place.
-    place = lambda name: F.size("names") + 1 - F.array_position(F.reverse("names"), F.lit(name))
-    field = lambda name: F.when(F.array_contains("names", name), F.nullif(F.try_element_at("values", place(name).cast("int")), F.lit("-")))
+    # A field that is named twice has its last place. Places are found once a header.
+    place = lambda name: F.when(F.array_contains("names", name), F.size("names") - F.array_position(F.reverse("names"), name).cast("int"))
+    heads = heads.withColumn("places", F.transform(F.array(*map(F.lit, W3C_FIELDS)), place))
+    rows = headed(lines.where(~F.col("line").startswith("#")), heads, "names", "places")
+    rows = evaluated(rows.where(F.array_join("names", "") != ""), ["path", "source", "line_no", "names", "places"], values=tokens).where(F.size("values") >= F.size("names"))
+    rows = evaluated(rows, ["path", "source", "line_no"], fields=F.transform("places", lambda i: F.nullif(F.get("values", i), F.lit("-"))))
+    field = lambda name: F.get("fields", F.lit(W3C_FIELDS.index(name)))
     number = lambda name: F.coalesce(field(name).try_cast("bigint"), F.lit(0))
     odd = lambda name: F.when((known(field(name)) != "0"), field(name))
     status = F.concat(F.lit("(Status: "), number("sc-status"), F.coalesce(F.concat(F.lit("."), odd("sc-substatus")), F.lit("")), F.lit(")"))
@@ -68,12 +74,13 @@ def sensor(lines: DataFrame, ctx: Context) -> DataFrame:
     names_here = F.when(line.startswith("#fields") & (F.size(F.split(line, F.col("sep"), -1)) > 1), F.slice(F.split(line, F.col("sep"), -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split(line, F.col("sep"), -1)) - 1)))
     heads = heads.select("*", names_here.alias("n_here"), _headed("#path", F.col("sep")).alias("p_here"), _headed("#empty_field", F.col("sep")).alias("e_here"), _headed("#unset_field", F.col("sep")).alias("u_here"))
     heads = last_value(heads, names=F.col("n_here"), log=F.col("p_here"), empty=F.col("e_here"), unset=F.col("u_here"))
-    rows = counted(headed(lines.where(~line.startswith("#")), heads, "names", "sep", "log", "empty", "unset"), "ordinal")
+    heads = heads.withColumn("log", F.coalesce("log", F.lit(""))).withColumn("places", places(FIELDS)).withColumn("layout", placed_layout())
+    rows = counted(headed(lines.where(~line.startswith("#")), heads, "names", "sep", "log", "empty", "unset", "places", "layout"), "ordinal")
     raw = F.split(line, F.col("sep"), -1)
     clean = F.transform(raw, lambda v: F.when((v == F.coalesce("empty", F.lit("(empty)"))) | (v == F.coalesce("unset", F.lit("-"))), F.lit("")).otherwise(v))
     n = F.least(F.size("names"), F.size(raw))
-    rows = evaluated(rows, ["path", "source", "line_no", "ordinal"], values=F.slice(clean, F.lit(1), n), keys=F.slice("names", F.lit(1), n), log=F.coalesce("log", F.lit("")))
-    rows = sensor_message(evaluated(rows, rows.columns, slots=slotted()))
+    rows = evaluated(rows, ["path", "source", "line_no", "ordinal", "names", "log", "places", "layout"], values=F.slice(clean, F.lit(1), n))
+    rows = sensor_message(evaluated(rows, rows.columns, slots=F.transform("places", lambda i: F.get("values", i))))
     return event(rows, timestamp=times.epoch_text(field("ts")), event_type=sensor_type(F.col("log")), event_id="ordinal", host=F.coalesce(known(field("id.orig_h")), field("host")), message=F.col("message"))
 
 
@@ -94,14 +101,9 @@ def field(name: str) -> Column:
     return F.col("slots")[FIELDS.index(name)]
 
 
-def slotted() -> Column:
-    """The values of ``FIELDS`` by their places in ``keys``: one small expression, as many large ones aren't compiled."""
-
-    def value(name: Column) -> Column:
-        place = F.array_position("keys", name).cast("int")
-        return F.when(place > 0, F.try_element_at("values", place))
-
-    return F.transform(F.array(*map(F.lit, FIELDS)), value)
+def places(fields: tuple[str, ...]) -> Column:
+    """Where each of ``fields`` is in ``names``, from 0; null where it isn't. For header lines, so that rows only look up."""
+    return F.transform(F.array(*map(F.lit, fields)), lambda name: F.nullif(F.array_position("names", name), F.lit(0)).cast("int") - 1)
 
 
 # What is told of each kind of record after its connection: label, field, and what follows. "@" fields are derived
@@ -125,6 +127,10 @@ LAYOUTS = {
 }
 
 
+#: The fields of ``derived``, in its order.
+DERIVED = ("@proto", "@rcode", "@url", "@hash", "@auth", "@success", "@ticket", "@account", "@command", "@reply")
+
+
 def _verdict(name: str, yes: str, no: str | Column) -> Column:
     return F.when(field(name) == "T", yes).when(field(name) == "F", no)
 
@@ -147,6 +153,19 @@ def derived(log: Column) -> dict[str, Column]:
     }
 
 
+def placed_layout() -> Column:
+    """The layout of a header's kind of log, with the place of each part's field: among the values, or negative among the derived; null for others."""
+    part = lambda x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "name", "after"), x, strict=True)])
+    table = F.create_map(*[c for log, parts in LAYOUTS.items() for c in (F.lit(log), F.array(*map(part, parts)))])
+    made = F.array(*map(F.lit, DERIVED))
+
+    def place(x: Column) -> Column:
+        own = F.nullif(F.array_position("names", x["name"]), F.lit(0)) - 1
+        return F.struct(x["label"].alias("label"), x["after"].alias("after"), F.coalesce(own, -F.nullif(F.array_position(made, x["name"]), F.lit(0))).cast("int").alias("place"), (x["name"] == "@").alias("always"))
+
+    return F.transform(F.try_element_at(table, F.col("log")), place)
+
+
 def sensor_message(rows: DataFrame) -> DataFrame:
     """Adds ``message``: a record's connection, then what its kind of log is about; absent fields leave no trace.
 
@@ -156,18 +175,14 @@ def sensor_message(rows: DataFrame) -> DataFrame:
     port = lambda name: F.coalesce(field(name), F.lit(""))
     conn = F.when(orig.isNotNull() & resp.isNotNull(), F.concat(orig, F.lit(":"), port("id.orig_p"), F.lit(" -> "), resp, F.lit(":"), port("id.resp_p"))).otherwise(F.coalesce(orig, F.lit("")))
     more = derived(F.col("log"))
-    rows = evaluated(rows, rows.columns, conn=conn, names_all=F.concat("keys", F.array(*map(F.lit, more))), values_all=F.concat("values", F.array(*more.values())))
-    part = lambda x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "name", "after"), x, strict=True)])
-    table = F.create_map(*[c for log, parts in LAYOUTS.items() for c in (F.lit(log), F.array(*map(part, parts)))])
+    rows = evaluated(rows, rows.columns, conn=conn, made=F.array(*[more[name] for name in DERIVED]))
 
     def shown(x: Column) -> Column:
-        place = F.array_position("names_all", x["name"]).cast("int")
-        value = F.when(x["name"] == "@", F.lit("")).otherwise(known(F.when(place > 0, F.try_element_at("values_all", place))))
+        value = F.when(x["always"], F.lit("")).otherwise(known(F.when(x["place"] < 0, F.get("made", -x["place"] - 1)).otherwise(F.get("values", x["place"]))))
         return F.concat(x["label"], value, x["after"])
 
-    rows = rows.withColumn("layout", F.try_element_at(table, F.col("log")))
     told = F.array_join(F.array_compact(F.transform("layout", shown)), " ")
-    some = F.filter(F.arrays_zip("keys", "values"), lambda x: (x["values"] != "") & ~x["keys"].isin("ts", "uid"))
+    some = F.filter(F.arrays_zip(F.slice("names", F.lit(1), F.size("values")).alias("keys"), F.col("values").alias("values")), lambda x: (x["values"] != "") & ~x["keys"].isin("ts", "uid"))
     rest = F.array_join(F.transform(F.slice(some, 1, 5), lambda x: F.concat(x["keys"], F.lit("="), x["values"])), " ")
     message = (
         F.when(F.col("layout").isNull(), F.when(F.col("conn") != "", F.col("conn")).otherwise(rest))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..functions.text import first_match, groups, known, matches, trimmed, truncated
+from ..functions.text import evaluated, first_match, groups, known, matches, trimmed, truncated
 from ..schema import Context, event
 from .sequence import months_added
 from .segments import Rollover, carried
@@ -70,17 +70,18 @@ def generic_log(lines: DataFrame, ctx: Context) -> DataFrame:
         times.parsed(texts[2], "dd/MMM/yyyy:HH:mm:ss xx"),
         times.parsed(texts[3], "M/d/yyyy h:mm:ss a"),
     ]
-    tried = lines.withColumn("tries", F.array(*[F.struct(s.alias("ts"), F.when(s.isNotNull(), t).alias("text")) for s, t in zip(stamps, texts, strict=True)]))
-    first = F.coalesce(*[F.when(F.col("tries")[i]["ts"].isNotNull(), F.lit(i)) for i in range(len(GENERIC))])
-    tried = tried.withColumn("form", first)
-    chosen = tried.where("form is not null").groupBy("path").agg(F.min_by(F.struct("form", "line_no"), "line_no").alias("sticky"))
-    rows = tried.drop("form").join(chosen, "path", "left")  # a row for each file
-    used = F.when(F.col("line_no") >= F.col("sticky.line_no"), F.col("tries")[F.col("sticky.form")])
+    form = lines.select("path", "line_no", F.coalesce(*[F.when(s.isNotNull(), F.lit(i)) for i, s in enumerate(stamps)]).alias("form"))
+    chosen = form.where("form is not null").groupBy("path").agg(F.min_by(F.struct("form", "line_no"), "line_no").alias("sticky"))
+    rows = lines.join(chosen, "path", "left")  # a row for each file
+    rows = rows.withColumn("form", F.when(F.col("line_no") >= F.col("sticky.line_no"), F.col("sticky.form")))
+    # Only the file's own form is looked for.
+    of_form = lambda columns: F.coalesce(*[F.when(F.col("form") == i, c) for i, c in enumerate(columns)])
+    rows = evaluated(rows, ["path", "source", "line_no", "line", "form"], stamp=of_form(stamps), text=of_form(texts))
     # What looks like a time and is none stays in the message.
-    rows = rows.withColumn("stamp", used["ts"]).withColumn("cut", known(used["text"]))
+    rows = rows.withColumn("cut", F.when(F.col("stamp").isNotNull(), known(F.col("text"))))
     at = F.instr(F.col("line"), F.col("cut"))
     rest = trimmed(F.concat(F.substring("line", F.lit(1), at - 1), F.substring("line", at + F.length("cut"), F.length("line"))))
-    zone = F.when(F.col("cut").rlike(r"(Z|[+-]\d{2}:?\d{2})\z") & (F.col("sticky.form") != 1), times.offset_minutes(F.col("cut")))
+    zone = F.when(F.col("cut").rlike(r"(Z|[+-]\d{2}:?\d{2})\z") & (F.col("form") != 1), times.offset_minutes(F.col("cut")))
     return event(rows, timestamp=F.col("stamp"), event_type="LogEntry", message=F.when(F.col("cut").isNotNull(), rest).otherwise(F.col("line")), offset=zone)
 
 

@@ -36,11 +36,6 @@ def query(sql: str | None = None):
     return add
 
 
-def alias(name: str, of: str) -> None:
-    """A second name that a query has had."""
-    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in df.schema.fields])
@@ -93,7 +88,10 @@ def web_raw_fallback(spark, sf):
     return said(text_logs.web_access(lines_of(d), CTX), "path")
 
 
-alias("web_raw_lines", "web_raw_fallback")
+@query("SELECT path, count(*) AS events, CAST(sum(length(message)) AS BIGINT) AS chars FROM (" + ORACLES["web_raw_fallback"] + ") GROUP BY path")
+def web_raw_lines(spark, sf):
+    """How many lines of each document come through, and how long they are."""
+    return web_raw_fallback(spark, sf).groupBy("path").agg(F.count("*").alias("events"), F.sum(F.length("message")).alias("chars"))
 
 
 @query(f"SELECT {_E} AS ts_us, 'Syslog' AS event_type, event_id, '' AS \"user\", 'h' || user_id AS host, '[' || event_type || '[' || event_id || ']] value ' || CAST(event_id % 7 AS VARCHAR) AS message FROM events")
@@ -385,8 +383,16 @@ def sysmon_parse(spark, sf):
     return said(xml_logs.monitor_events(xml_logs.events_in(_event_xml(spark, sf, "Microsoft-Windows-Sysmon")), CTX))
 
 
-alias("sysmon_type_names", "sysmon_type_map")
-alias("sysmon_all_events", "sysmon_parse")
+@query("SELECT kind, count(*) AS parts FROM (" + ORACLES["sysmon_type_map"] + ") GROUP BY kind")
+def sysmon_type_names(spark, sf):
+    """How often each type is named."""
+    return sysmon_type_map(spark, sf).groupBy("kind").agg(F.count("*").alias("parts"))
+
+
+@query('SELECT event_type, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us FROM (' + ORACLES["sysmon_parse"] + ") GROUP BY event_type")
+def sysmon_all_events(spark, sf):
+    """Events by type, with their first and last time."""
+    return sysmon_parse(spark, sf).groupBy("event_type").agg(F.count("*").alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
 @query("""WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, list(struct_pack(n := l_linenumber, p := l_partkey) ORDER BY l_linenumber, l_partkey) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
@@ -467,6 +473,31 @@ def event_filter_regex(spark, sf):
     return said(filters.matching(text_logs.web_access(_web(spark, sf), CTX), _PATTERN))
 
 
+#: Where engines differ, or are often thought to.
+_PATTERNS = (
+    r"(?i)the\b", r"\p{Lu}\p{Ll}+\s", r"[[:punct:]]{2,}", r"(?m)^\S+\s\S+$", r"(?s)a.{3}b.e", r"[^\S\n]{2}", r"(?U)e+n", r"\Qn.\E|é[a-z]", r"\x{e9}\w", r"(?i)É", r"\bd[ae]r?\b", r"(?P<w>ing)\W", r"[\p{Latin}&&x]{30}", r"\PL{3}$", r"\A\w{2,5}?\s", r"[^[:ascii:]]\b",
+)
+
+
+@query("SELECT pattern_no, lang, count(*) AS documents FROM documents, (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PATTERNS)) + ") p(pattern_no, pattern) WHERE text IS NOT NULL AND regexp_matches(text, pattern) GROUP BY pattern_no, lang")
+def filter_patterns(spark, sf):
+    """Documents that each of the patterns finds something in, by language."""
+    d = table(spark, sf, "documents")
+    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(filters.check_pattern(spark, p)), F.lit(i)) for i, p in enumerate(_PATTERNS)]))
+    return d.select("lang", F.explode(found).alias("pattern_no")).groupBy("pattern_no", "lang").agg(F.count("*").alias("documents"))
+
+
+@query("""SELECT doc_id, md5(replace(text, chr(13) || chr(10), chr(10))) AS text_md5, len(string_split(text, chr(10))) AS n_lines, '/d/' || doc_id || '.csv' AS path FROM documents WHERE text IS NOT NULL""")
+def csv_quoted_texts(spark, sf):
+    """Every document as a quoted field of a CSV file of its own, over as many lines as it has, found again as one record."""
+    d = table(spark, sf, "documents").where("text is not null")
+    text = _s("id,text\n", F.col("doc_id").cast("string"), ',"', F.replace("text", F.lit('"'), F.lit('""')), '"\n')
+    records = csv_artifacts.records_of(lines_of(d.select(_s("/d/", F.col("doc_id").cast("string"), ".csv").alias("path"), text.alias("text")), blank=True), ",").where("line_no = 2")
+    fields = F.from_csv("text", "id bigint, text string", {"escape": '"', "emptyValue": ""})
+    rows = records.select("path", fields.alias("f"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"))
+    return rows.select(F.col("f.id").alias("doc_id"), F.md5("f.text").alias("text_md5"), "n_lines", "path")
+
+
 _ROUTES = [
     ("/a/Security.evtx", "evtx"), ("/a/X.PF", "prefetch"), ("/a/b.xml", "generic_xml"), ("/a/my-cloudtrail.json", "cloudtrail"), ("/a/azure.jsonl", "azure"), ("/a/gcp.json", "gcp"), ("/a/b.json", "json"), ("/a/b.jsonl", "log"),
     ("/chrome/History", "browser_chrome"), ("/firefox/places.sqlite", "browser_firefox"), ("/Safari/History.db", "browser_safari"), ("/a/shellbags.dat", "shellbags"), ("/a/access.log.1", "log"), ("/a/ps_transcript.txt", "transcript"),
@@ -484,7 +515,10 @@ def route_files(spark, sf):
     return rows.select("page_id", "path", routing.route("path", F.lit(""), F.array().cast("array<string>")).alias("parser"))
 
 
-alias("route_pages", "route_files")
+@query("SELECT parser, count(*) AS pages FROM (" + ORACLES["route_files"] + ") GROUP BY parser")
+def route_pages(spark, sf):
+    """How many paths go to each parser."""
+    return route_files(spark, sf).groupBy("parser").agg(F.count("*").alias("pages"))
 
 
 _UNION_SQL = f"({_WEB_SQL}) UNION ALL (" + ORACLES["syslog_5424_parse"] + ") UNION ALL (" + ORACLES["windows_text_parse"] + ") UNION ALL (" + ORACLES["winfirewall_parse"] + ")"
