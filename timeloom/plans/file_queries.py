@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import browser
 from ..sinks import writers
+from ..sinks.batches import append_batch, read_batches
 from ..sources.sqlite import history_in
 from .catalog import _MONITOR_SQL, _WEB_SQL, CTX, ORACLES, _event_xml, _s, _sunk, query, said, table
 from .timeline import Timeline, build_timeline
@@ -248,3 +249,12 @@ def files_jsonl_sink(spark, sf):
     folder = _folder(spark, "jsonl-sink")
     writers.write_jsonl(_sunk(spark, sf), folder)
     return spark.read.text(folder)
+
+
+@query("SELECT value, 'b' || (CAST(regexp_extract(value, '\"event_id\":(\\d+)', 1) AS BIGINT) % 3) AS batch FROM (" + ORACLES["jsonl_sink_format"] + ")")
+def files_batches(spark, sf):
+    """Written in three batches, each of them twice, and read back."""
+    folder, events = _folder(spark, "batches"), _sunk(spark, sf)
+    for i in (0, 1, 1, 2, 0, 2):
+        append_batch(events.where(F.col("event_id") % 3 == i), folder, "jsonl", f"b{i}")
+    return read_batches(spark, folder, "jsonl")

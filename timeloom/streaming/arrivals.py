@@ -12,6 +12,7 @@ from ..functions.text import trimmed
 from ..operators import filters, text_logs
 from ..plans.timeline import build_timeline
 from ..schema import Context
+from ..sinks.batches import append_batch
 from ..sources.lines import local_path, with_source
 
 #: Parsers that need nothing but the line itself.
@@ -47,3 +48,8 @@ def stream_timeline(spark: SparkSession, folder: str, write: Callable[[DataFrame
             write(build_timeline(new.sparkSession, *paths, context=context).events, number)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_batches(spark: SparkSession, folder: str, root: str, kind: str, checkpoint: str, context: Context | None = None) -> StreamingQuery:
+    """A timeline below ``root`` to which each batch of new files is added exactly once, whatever of the stream is repeated."""
+    return stream_timeline(spark, folder, lambda events, number: append_batch(events, root, kind, number), checkpoint, context)
