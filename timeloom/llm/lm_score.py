@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores, computed relationally (operator 9).
 
-S(w | v) = c(v w) / c(v) where the pair occurs ``least`` times or more, else ``alpha`` c(w) / N; a text's first word has
+S(w | v) = c(v w) / c(v) where the pair occurs ``least`` times or more (once by default, so that none is left out), else ``alpha`` c(w) / N; a text's first word has
 c(w) / N. A text's score is the sum of log S over its words, with counts over all texts. Words are lower-cased (A-Z).
 
 * Word counts: counted in each chunk, then summed by hash of the word. The commonest, at most ``common`` of them, are broadcast
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._numeric import U, Words, as_long, chunks
 from ._repeats import NO_ID, keyed
-from ._store import Scratch
+from ._store import MOST_PARTITIONS, Scratch
 
 #: Two numbers of words, of 21 bits each, and an odd number that spreads the pair over as many bits and can be undone.
 WORD_BITS = 21
@@ -184,7 +184,7 @@ def pair_table(texts: DataFrame, known, slices: int, least: int) -> DataFrame:
         if keys:
             yield out(now, keys, many)
 
-    parts = max(slices, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(min(slices, MOST_PARTITIONS), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return texts.mapInArrow(count, COUNTS).repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(summed, COUNTS)
 
 
@@ -232,7 +232,7 @@ def _commonest(words: DataFrame, common: int) -> tuple[int, int]:
     return floor, sum(r.places for r in bins)
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 2, common: int = 1 << WORD_BITS, slice_pairs: int = 4_000_000, most_hot: int = 500_000) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 1, common: int = 1 << WORD_BITS, slice_pairs: int = 4_000_000, most_hot: int = 500_000) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) of each row, rounded to 4 decimals.
 
     A null or empty text has 0 words and null scores. Repeated rows count as often as they are there, and each gets its row.
@@ -321,7 +321,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = [F.lit(None).cast("binary").alias(c) for c in ("of", "d", "h", "base", "words")]
     counted = table.select("slice", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("chunk"), "key", "many", *none)
-    placed = rows.mapInArrow(dealt, PLACES).union(counted).repartition(max(parts, slices), "slice").sortWithinPartitions("slice", "kind")
+    placed = rows.mapInArrow(dealt, PLACES).union(counted).repartition(max(parts, min(slices, MOST_PARTITIONS)), "slice").sortWithinPartitions("slice", "kind")
     texts = placed.mapInArrow(joined, SUMS).repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_added, PARTS)
     result = texts.groupBy("d", "h").agg(F.sum("value").alias("value"), F.sum("words").alias("words"), F.sum("texts").alias("texts"))
     if floor > 1 or floor >= least:  # else the words not numbered occur once, add nothing, and have no pair that counts

@@ -158,7 +158,7 @@ places AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v F
 ones AS (SELECT w, count(*) AS n FROM places GROUP BY w),
 twos AS (SELECT v, w, count(*) AS n FROM places WHERE v IS NOT NULL GROUP BY v, w),
 whole AS (SELECT count(*) AS n FROM places),
-scored AS (SELECT doc_id, CASE WHEN p.v IS NULL THEN ln(a.n) - ln(whole.n) WHEN t.n >= 2 THEN ln(t.n) - ln(b.n) ELSE ln(0.4) + ln(a.n) - ln(whole.n) END AS s
+scored AS (SELECT doc_id, CASE WHEN p.v IS NULL THEN ln(a.n) - ln(whole.n) WHEN t.n >= 1 THEN ln(t.n) - ln(b.n) ELSE ln(0.4) + ln(a.n) - ln(whole.n) END AS s
   FROM places p JOIN ones a ON a.w = p.w LEFT JOIN ones b ON b.w = p.v LEFT JOIN twos t ON t.v = p.v AND t.w = p.w, whole),
 sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(s, 4) AS log_score, round(s / len(w), 4) AS mean_score FROM texts LEFT JOIN sums USING (doc_id)
