@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Beyond so many, slices share partitions and are taken one after the other: what the driver keeps of a shuffle stays small.
+MOST_PARTITIONS = 4096
 _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. A local folder stands in for it only where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``. A local folder stands in for it where it is unset and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         app = spark.sparkContext.applicationId
         if app not in _folders:
             _folders[app] = "file://" + tempfile.mkdtemp(prefix="timeloom-")
