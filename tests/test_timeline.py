@@ -6,6 +6,7 @@ import sqlite3
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom.plans.timeline import build_timeline
 from timeloom.schema import Context
@@ -242,3 +243,22 @@ def test_cli(folder, tmp_path):
     from timeloom.cli import main
 
     assert main(["--input", str(folder / "access.log"), "--output", str(tmp_path / "out"), "--format", "parquet"]) == 0
+
+
+def test_files_too_large_for_a_row(spark, tmp_path, monkeypatch):
+    """Objects a line come through line by line, numbered as in smaller files; what has to be held whole is an error."""
+    from timeloom.plans import timeline
+
+    line = '{"eventTime":"2023-04-21T15:30:45Z","eventSource":"s3","eventName":"E%d"}'
+    (tmp_path / "cloudtrail.jsonl").write_text("\n".join(line % i if i % 5 else ["", "bad", "7"][i % 3] for i in range(1, 400)))
+    (tmp_path / "azure.json").write_text('{"operationName":"a","time":"2023-04-21T15:30:45+01:00"}\n{"operationName":"b"}\n')
+    (tmp_path / "gcp.json").write_text('[{"protoPayload":{"methodName":"m"}},\n' + '{"protoPayload":{}},' * 20 + "{}]")
+    (tmp_path / "sysmon.xml").write_text('<Sysmon schemaversion="4.8"><EventFiltering>' + "<ProcessCreate/>" * 50 + "</EventFiltering></Sysmon>")
+    shown = lambda t: sorted(tuple(r) for r in t.events.select("source", "event_id", "event_type", F.unix_micros("timestamp"), "message").collect())
+    small = build_timeline(spark, str(tmp_path), context=NOW)
+    whole = shown(small)
+    monkeypatch.setattr(timeline, "MAX_WHOLE", 50)
+    large = build_timeline(spark, str(tmp_path), context=NOW)
+    assert shown(large) == [r for r in whole if r[0] in ("cloudtrail.jsonl", "azure.json")] and len(shown(large)) > 300
+    assert sorted(r.path.rsplit("/", 1)[1] for r in large.errors.collect()) == ["gcp.json", "sysmon.xml"]
+    assert "azure.json" in {r.path.rsplit("/", 1)[1] for r in build_timeline(spark, str(tmp_path), context=Context(NOW.reference_time, compat=True)).errors.collect()}

@@ -26,8 +26,10 @@ def records(texts: DataFrame, wrapper: str | None = None, compat: bool = False,
     """(path, source, ordinal, v) from whole texts (path, source, text): the objects of an array, of a wrapper's array, of lines, or one alone.
 
     Elements and lines that are no objects are skipped but counted. ``compat`` gives what tools that read only one shape
-    do: nothing of lines or a lone object, or with ``first_only`` the first object.
+    do: nothing of lines or a lone object, or with ``first_only`` the first object. Records of :func:`line_records` stay as they are.
     """
+    if "v" in texts.columns:
+        return texts
     rows = texts.withColumn("head", F.ltrim("text")).withColumn("whole", F.try_parse_json("text"))
     listed = F.when(F.col("head").startswith("["), F.try_variant_get("whole", "$", "array<variant>"))
     wrapped = F.try_variant_get("whole", f"$.{wrapper}", "array<variant>") if wrapper else F.lit(None).cast("array<variant>")
@@ -44,6 +46,11 @@ def records(texts: DataFrame, wrapper: str | None = None, compat: bool = False,
     return rows.where(is_object(F.col("v"))).withColumn("ordinal", F.col("ordinal") + 1)
 
 
+def line_records(lines: DataFrame) -> DataFrame:
+    """The same from lines (path, source, line_no, line) of files known to hold an object a line, which are never held whole."""
+    return lines.select("path", "source", F.col("line_no").alias("ordinal"), F.try_parse_json("line").alias("v")).where(is_object(F.col("v")))
+
+
 def json_events(texts: DataFrame, ctx: Context) -> DataFrame:
     """An array of events, or one event."""
     v = F.col("v")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sqlite3
 import tempfile
 import uuid
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,21 @@ from pyspark.sql import functions as F
 from ..operators import browser
 from ..sinks import writers
 from ..sinks.batches import append_batch, read_batches
+from ..sinks.time_index import read_between, read_zones, write_indexed
 from ..sources.sqlite import history_in
 from .catalog import _MONITOR_SQL, _WEB_SQL, CTX, ORACLES, _event_xml, _s, _sunk, query, said, table
 from .timeline import Timeline, build_timeline
 
 PARTS = 4
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see; a local one only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="timeloom-files-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+    where = where or "file://" + tempfile.mkdtemp(prefix="timeloom-files-")
     return f"{where.rstrip('/')}/timeloom/files-{name}-{uuid.uuid4().hex}"
 
 
@@ -258,3 +264,14 @@ def files_batches(spark, sf):
     for i in (0, 1, 1, 2, 0, 2):
         append_batch(events.where(F.col("event_id") % 3 == i), folder, "jsonl", f"b{i}")
     return read_batches(spark, folder, "jsonl")
+
+
+@query("""SELECT epoch_us(ts) AS ts_us, event_id, event_type AS message FROM events, (SELECT min(ts) AS low, max(ts) AS high FROM events WHERE event_id % 2 = 0)
+WHERE event_id % 2 = 0 AND epoch_us(ts) >= epoch_us(low) + (epoch_us(high) - epoch_us(low)) // 4 AND epoch_us(ts) < epoch_us(low) + (epoch_us(high) - epoch_us(low)) // 2""")
+def files_time_range(spark, sf):
+    """Written in ranges of time; of the files, those of the second quarter are read."""
+    folder, events = _folder(spark, "time-range"), _sunk(spark, sf)
+    write_indexed(events, folder, 16)
+    low, high = read_zones(spark, folder).agg(F.unix_micros(F.min("first")), F.unix_micros(F.max("last"))).first()
+    at = lambda part: EPOCH + timedelta(microseconds=low + (high - low) // part)
+    return read_between(spark, folder, at(4), at(2)).select(F.unix_micros("timestamp").alias("ts_us"), "event_id", "message")

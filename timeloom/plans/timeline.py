@@ -21,6 +21,8 @@ from ..sources.whole import read_texts
 
 #: Bytes that one row can hold.
 MAX_WHOLE = (1 << 31) - 16
+#: What begins a configuration of the monitor.
+CONFIG = r"<Sysmon[\s>]"
 Parser = Callable[[SparkSession, list[str], Context], DataFrame]
 
 
@@ -34,7 +36,7 @@ def _texts(parse) -> Parser:
 
 def _sysmon(spark: SparkSession, paths: list[str], ctx: Context) -> DataFrame:
     texts = read_texts(spark, paths, MAX_WHOLE)  # events stream from files of any size
-    is_config = F.col("text").rlike(r"<Sysmon[\s>]")
+    is_config = F.col("text").rlike(CONFIG)
     config = xml_logs.monitor_config(texts.where(is_config), ctx)
     return config.union(xml_logs.monitor_events(xml_logs.read_events(spark, paths), ctx))
 
@@ -56,6 +58,10 @@ def _csv(spark: SparkSession, paths: list[str], ctx: Context) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], EVENT_SCHEMA)
 
 
+def _object_lines(parse) -> Parser:
+    return lambda spark, paths, ctx: parse(json_logs.line_records(read_lines(spark, paths)), ctx)
+
+
 PARSERS: dict[str, Parser] = {
     "log": _lines(text_logs.generic_log), "syslog": _lines(text_logs.syslog), "web": _lines(text_logs.web_access), "windows_text": _lines(text_logs.windows_text),
     "windows_firewall": _lines(text_logs.windows_firewall), "iptables": _lines(text_logs.iptables), "cisco_asa": _lines(text_logs.cisco_asa),
@@ -65,6 +71,8 @@ PARSERS: dict[str, Parser] = {
     "windows_xml": lambda spark, paths, ctx: xml_logs.windows_events(xml_logs.read_events(spark, paths), ctx), "scheduled_task": _texts(xml_logs.scheduled_tasks), "sysmon": _sysmon, "generic_xml": _texts(xml_logs.generic_xml),
     "browser_chrome": _browser("chrome"), "browser_firefox": _browser("firefox"), "browser_safari": _browser("safari"), "evtx": read_evtx,
 }
+#: For files too large for a row that hold an object a line.
+BY_LINES: dict[str, Parser] = {"cloudtrail": _object_lines(json_logs.cloudtrail), "azure": _object_lines(json_logs.azure_activity), "gcp": _object_lines(json_logs.gcp_audit)}
 #: Formats that are recognised and have no parser.
 UNSUPPORTED = ("prefetch", "shellbags")
 #: Parsers that hold a file in one row.
@@ -90,18 +98,23 @@ def build_timeline(spark: SparkSession, *inputs: str, pattern: str | None = None
     context = context or Context()
     if pattern:
         filters.check_pattern(spark, pattern)
-    files = manifest(spark, *inputs, max_size=max_size).withColumn("parser", routing.route()).drop("head", "head_lines")
+    first = F.try_parse_json(F.try_element_at("head_lines", F.lit(1)))
+    files = manifest(spark, *inputs, max_size=max_size).withColumn("parser", routing.route()).withColumn("by_lines", json_logs.is_object(first)).withColumn("config", F.col("head").rlike(CONFIG)).drop("head", "head_lines")
     by: dict[str, list[str]] = defaultdict(list)
+    large: dict[str, list[str]] = defaultdict(list)
     kept = []
     for r in files.collect():
         error = r.error or (f"{r.parser} files can't be parsed" if r.parser in UNSUPPORTED else None)
-        if error is None and r.parser in WHOLE and r.size > MAX_WHOLE:
+        by_lines = r.size > MAX_WHOLE and r.by_lines and r.parser in BY_LINES and not context.compat
+        whole = r.parser in WHOLE or r.parser == "sysmon" and r.config  # the monitor's events stream, its configurations don't
+        if error is None and whole and r.size > MAX_WHOLE and not by_lines:
             error = f"{r.size} bytes are more than the {MAX_WHOLE} that a {r.parser} file can have"
         kept.append((r.path, r.size, r.modified, r.parser, error))
         if error is None and (only is None or r.parser in only):
-            by[r.parser].append(r.path)
+            (large if by_lines else by)[r.parser].append(r.path)
     files = spark.createDataFrame(kept, "path string, size bigint, modified timestamp, parser string, error string")
     parts = [filters.matching(PARSERS[p](spark, sorted(paths), context), pattern) for p, paths in sorted(by.items())]
+    parts += [filters.matching(BY_LINES[p](spark, sorted(paths), context), pattern) for p, paths in sorted(large.items())]
     events = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], EVENT_SCHEMA)
     errors = files.where("error is not null").select("path", "parser", "error")
     for p in sorted(set(by) & (BYTES.keys() | JSON.keys())):
