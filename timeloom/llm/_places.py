@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numeric import U
-from ._store import MOST_PARTITIONS, Scratch
+from ._store import MOST_PARTITIONS, Scratch, freed
 
 #: Kinds, in their order within a slice: 0 references, 1 probes, 2 what is known of a chunk, sent on.
 DEALT = "slice int, kind int, chunk bigint, key binary, place binary, names binary, starts binary"
@@ -198,9 +198,9 @@ def meeting(rows: DataFrame, places: Callable, slices: int, scratch: Scratch, wi
         if held:
             yield _batch(MET, named(held))
 
-    dealt_rows = rows.mapInArrow(dealt, DEALT).repartition(max(parts, min(slices, MOST_PARTITIONS)), "slice").sortWithinPartitions("slice", "kind")
-    found = scratch.save(dealt_rows.mapInArrow(compared, FOUND), "found")
-    met = found.where("chunk is not null").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gathered, MET)
+    dealt_rows = rows.mapInArrow(freed(dealt), DEALT).repartition(max(parts, min(slices, MOST_PARTITIONS)), "slice").sortWithinPartitions("slice", "kind")
+    found = scratch.save(dealt_rows.mapInArrow(freed(compared), FOUND), "found")
+    met = found.where("chunk is not null").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(freed(gathered), MET)
 
     def listed(batches):
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ._numeric import BitIndex, U, mix
 from ._places import meeting, slice_count
-from ._store import Scratch
+from ._store import Scratch, freed
 
 NO_ID = -(1 << 63)
 INTERVALS = "d bigint, h bigint, a int, b int"
@@ -154,9 +154,9 @@ def repeated_intervals(docs: DataFrame, found: tuple[DataFrame, DataFrame, DataF
         for r in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
             yield from flush(r)
 
-    rare = with_places(docs, places).mapInArrow(anchors, schema)
+    rare = with_places(docs, places).mapInArrow(freed(anchors), schema)
     rare = rare.join(common, "g", "left_anti") if some_common else rare
-    found = rare.repartition(n, "g").sortWithinPartitions("g").mapInArrow(few, INTERVALS)
+    found = rare.repartition(n, "g").sortWithinPartitions("g").mapInArrow(freed(few), INTERVALS)
     if not some_common:
         return found
 
@@ -170,7 +170,7 @@ def repeated_intervals(docs: DataFrame, found: tuple[DataFrame, DataFrame, DataF
 
     have = places.select("d", "h", F.explode("key").alias("g")).join(common, "g", "left_semi").select("d", "h").distinct()
     have = scratch.save(places.join(have, ["d", "h"], "left_semi"), "common-places")
-    rows = with_places(docs, have).mapInArrow(anchors, schema).join(common, "g", "left_semi")
+    rows = with_places(docs, have).mapInArrow(freed(anchors), schema).join(common, "g", "left_semi")
     many = scratch.save(rows.mapInArrow(named, StructType([*rows.schema.fields, StructField("around_id", LongType())])), "common-anchors")
     alike = many.groupBy("around_id").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first"))
     alike = scratch.save(alike, "alike")

@@ -6,9 +6,13 @@ executor then costs the tasks it held and no lineage has to be replayed from the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +42,18 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(name, str(most))
 
 
+def freed(run: Callable) -> Callable:
+    """``run``, for mapInArrow, after which its worker gives memory back to the system: workers stay for later steps, idle or not."""
+
+    def call(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return call
+
+
 class Scratch:
     """Names the tables of one operator call, and removes those no longer read."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import U, Words, mix, pair, ranges, texts
-from ._store import MOST_PARTITIONS, Scratch
+from ._store import MOST_PARTITIONS, Scratch, freed
 
 CHUNK_BYTES = 1 << 20
 #: A-Z in lower case, all that ends a piece as a line feed.
@@ -194,7 +194,7 @@ def chunked(docs: DataFrame, text: str, lang: str, chunk_bytes: int = CHUNK_BYTE
         if parts:
             yield out()
 
-    return only.mapInArrow(run, _ddl(TEXTS))
+    return only.mapInArrow(freed(run), _ddl(TEXTS))
 
 
 def _candidates(row: dict, k: int):
@@ -307,10 +307,10 @@ def frequent(docs: DataFrame, scratch: Scratch, text: str, lang: str, least: int
     found = []
     for k in range(1, most_words + 1):
         slices = max(parts, 4, -(-int(state.agg(F.sum(places)).first()[0] or 0) // slice_keys))
-        sent = state.mapInArrow(_sent(k, slices), _ddl(SENT)).repartition(max(parts, min(slices, MOST_PARTITIONS)), "slice").sortWithinPartitions("slice", "chunk")
-        returned = sent.mapInArrow(_summed(least), _ddl(RETURNED))
+        sent = state.mapInArrow(freed(_sent(k, slices)), _ddl(SENT)).repartition(max(parts, min(slices, MOST_PARTITIONS)), "slice").sortWithinPartitions("slice", "chunk")
+        returned = sent.mapInArrow(freed(_summed(least)), _ddl(RETURNED))
         both = state.withColumn("slice", F.lit(None).cast("int")).unionByName(returned, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("slice"))
-        grown = scratch.save(both.mapInArrow(_grown(k, slices, k == most_words), _ddl(FOUND)), f"words{k}")
+        grown = scratch.save(both.mapInArrow(freed(_grown(k, slices, k == most_words)), _ddl(FOUND)), f"words{k}")
         scratch.drop(lists)
         # What is named is small; the lists go as soon as the next ones are there.
         found.append(scratch.save(grown.where("kind > 0").drop("lists", "chunk"), f"found{k}"))

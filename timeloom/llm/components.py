@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, freed
 
 
 def contracted(batches):
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """
     links = scratch.save(edges.where("u < v").select("u", "v"), "links")
     tasks = -(-links.count() // task_links)
-    now, before = scratch.save(links.coalesce(max(1, tasks)).mapInArrow(contracted, "u binary, v binary"), "cc"), None
+    now, before = scratch.save(links.coalesce(max(1, tasks)).mapInArrow(freed(contracted), "u binary, v binary"), "cc"), None
     scratch.drop(links)
     if tasks <= 1:
         return _rooted(now)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numeric import BitIndex, U, Words, chunks, grams, mix
-from ._store import small_batches
+from ._store import freed, small_batches
 
 INDEX_BITS = 24
 #: Hashes of an item's sketch that a document must hold.
@@ -118,7 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                     ["doc_id", "item_id", "n_item_shingles", "n_shared"],
                 )
 
-        found = only.mapInArrow(search, "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint")
+        found = only.mapInArrow(freed(search), "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint")
         out = found if out is None else out.union(found)
     return out
 
@@ -135,5 +135,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
                 clean[[r for r, _, _ in shared.value.search(batch.column(place), percent)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(freed(keep), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._numeric import BitIndex, U, Words, as_long, chunks, grams, mix, set_id, shingle_sets
 from ._places import meeting, slice_count
 from ._repeats import text_bytes
-from ._store import Scratch
+from ._store import Scratch, freed
 from .components import connected_components
 
 #: Ratio of sizes in a band, as a multiple of what ``percent`` allows.
@@ -208,7 +208,7 @@ def _tiled(members: DataFrame, rows: int, columns: list[str]) -> DataFrame:
 
 def _in_tiles(tiles: DataFrame, run) -> DataFrame:
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(n, "t", "band", "i", "j").sortWithinPartitions("t", "band", "i", "j").mapInArrow(run, "u binary, v binary")
+    return tiles.repartition(n, "t", "band", "i", "j").sortWithinPartitions("t", "band", "i", "j").mapInArrow(freed(run), "u binary, v binary")
 
 
 def common_shingles(docs: DataFrame, k: int, least: int = 64, most: int = 100_000) -> np.ndarray:
@@ -236,7 +236,7 @@ def common_shingles(docs: DataFrame, k: int, least: int = 64, most: int = 100_00
         if held:
             yield some(held)
 
-    counts = docs.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = docs.mapInArrow(freed(count), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bits = np.zeros(1 << (COMMON_BITS - 6), U)
     key = np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(most).select("s").collect()], np.int64).view(U)
     np.bitwise_or.at(bits, (key >> U(64 - (COMMON_BITS - 6))).astype(np.int64), BitIndex._mask(key))
@@ -297,7 +297,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", k: int = 5) -> DataFram
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     extra = _parse_datatype_string("n bigint, c binary, bits binary")
-    return docs.select(*[f.name for f in keep]).mapInArrow(classes, StructType(keep + extra.fields))
+    return docs.select(*[f.name for f in keep]).mapInArrow(freed(classes), StructType(keep + extra.fields))
 
 
 def _sets_of(docs: DataFrame, clusters: DataFrame, k: int, bits: int = 26) -> DataFrame:
@@ -324,7 +324,7 @@ def _sets_of(docs: DataFrame, clusters: DataFrame, k: int, bits: int = 26) -> Da
                 got = [x for x, h in zip(got, hit.tolist(), strict=True) if h]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.binary()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([parity_bits(s) for _, s in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["c", "n", "bits", "sets"])
 
-    return docs.select(docs["text"]).mapInArrow(run, "c binary, n bigint, bits binary, sets binary")
+    return docs.select(docs["text"]).mapInArrow(freed(run), "c binary, n bigint, bits binary, sets binary")
 
 
 def near_links(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int = 80, tile_rows: int = 2048, block_rows: int = 512, scratch: Scratch | None = None, slice_bytes: int | None = None) -> DataFrame:

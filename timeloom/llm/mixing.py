@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import word_counts
-from ._store import Scratch
+from ._store import Scratch, freed
 
 WEIGHTS = (5, 2, 1)
 
@@ -88,7 +88,7 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, share,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(word_counts(b.column(2)), pa.int64())], ["doc_id", "source", "seeded", "size"])
 
-    rows = Scratch(spark, "mixing").save(only.mapInArrow(sized, "doc_id bigint, source string, seeded bigint, size bigint"), "sizes")
+    rows = Scratch(spark, "mixing").save(only.mapInArrow(freed(sized), "doc_id bigint, source string, seeded bigint, size bigint"), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(per) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._numeric import Words, chunks, ranges
-from ._store import Scratch
+from ._store import Scratch, freed
 
 END_ID = 2
 MAGIC = b"RPB1"
@@ -274,7 +274,7 @@ def write_blocks(docs: DataFrame, file: str, scratch: Scratch, doc_id: str = "do
         if held:
             yield out()
 
-    return scratch.save(dealt.mapInArrow(run, "part int, block int, docs bigint, tokens bigint, data binary"), "blocks")
+    return scratch.save(dealt.mapInArrow(freed(run), "part int, block int, docs bigint, tokens bigint, data binary"), "blocks")
 
 
 def token_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, scratch: Scratch | None = None, **options) -> DataFrame:
@@ -294,7 +294,7 @@ def token_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(stop.tolist(), b.counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(crc), pa.int32()), pa.array([number] * len(crc), pa.int32()), pa.array(b.doc_ids, pa.int64()), pa.array(stop - b.counts), pa.array(b.counts.astype(np.int64)), pa.array(crc, pa.int64())], ["part", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    rows = blocks.select("part", "block", "data").mapInArrow(read, "part int, block int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = blocks.select("part", "block", "data").mapInArrow(freed(read), "part int, block int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
     sizes = blocks.select("part", "block", "tokens")
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("tokens"))  # a row for each partition
     parts = parts.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numeric import BASES, U, Words, chunks, mix, powers
-from ._store import small_batches
+from ._store import freed, small_batches
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -156,7 +156,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", tex
             f = [x.tobytes() for x in features(b.column(0), bits)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(f, pa.binary())], ["doc_id", "grade", "f"])
 
-    got = rows.select("text", "doc_id", "grade").mapInArrow(packed, "doc_id bigint, grade int, f binary").toPandas()
+    got = rows.select("text", "doc_id", "grade").mapInArrow(freed(packed), "doc_id bigint, grade int, f binary").toPandas()
     got = got.sort_values("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got["f"]], got["grade"].to_numpy(), bits)
 
@@ -175,7 +175,7 @@ def scored(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: s
             s = shared.value.score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= reject)], ["doc_id", "severity", "toxic"])
 
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, severity double, toxic boolean")
+    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(freed(run), "doc_id bigint, severity double, toxic boolean")
 
 
 def not_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = 0.2) -> DataFrame:
@@ -187,4 +187,4 @@ def not_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", reject:
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b.column(place)) < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
