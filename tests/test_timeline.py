@@ -262,3 +262,24 @@ def test_files_too_large_for_a_row(spark, tmp_path, monkeypatch):
     assert shown(large) == [r for r in whole if r[0] in ("cloudtrail.jsonl", "azure.json")] and len(shown(large)) > 300
     assert sorted(r.path.rsplit("/", 1)[1] for r in large.errors.collect()) == ["gcp.json", "sysmon.xml"]
     assert "azure.json" in {r.path.rsplit("/", 1)[1] for r in build_timeline(spark, str(tmp_path), context=Context(NOW.reference_time, compat=True)).errors.collect()}
+
+
+def test_objects_a_line_are_never_held_whole(spark, tmp_path, monkeypatch):
+    """Whatever the file's size, and with the records that the whole text would give."""
+    from timeloom.operators import json_logs
+    from timeloom.plans import timeline
+    from timeloom.sources.whole import read_texts
+
+    line = '{"eventTime":"2023-04-21T15:30:45Z","eventSource":"s3","eventName":"E%d"}'
+    lined = {"a-cloudtrail.jsonl": "\r\n".join(line % i for i in range(50)), "b-cloudtrail.json": "\n \n" + line % 1 + "\nbad\n[]\n" + line % 2 + "\n", "c-cloudtrail.json": line % 3}
+    held = {"d-cloudtrail.json": '{"Records":[' + line % 1 + "," + line % 2 + "]}\n", "e-cloudtrail.json": "[" + line % 1 + "]\n" + line % 2, "f-cloudtrail.json": "bad\n" + line % 1, "g-cloudtrail.json": "\ufeff" + line % 1 + "\n" + line % 2, "h-cloudtrail.json": '{\n"eventName": "A"}'}
+    for name, text in (lined | held).items():
+        (tmp_path / name).write_text(text, newline="")
+    shown = lambda events: sorted(tuple(r) for r in events.select("source", "event_id", "event_type", F.unix_micros("timestamp"), "message").collect())
+    want = shown(json_logs.cloudtrail(read_texts(spark, [str(tmp_path / n) for n in lined | held]), NOW))
+    read = []
+    whole = timeline.PARSERS["cloudtrail"]
+    monkeypatch.setitem(timeline.PARSERS, "cloudtrail", lambda spark, paths, ctx: read.extend(paths) or whole(spark, paths, ctx))
+    t = build_timeline(spark, str(tmp_path), context=NOW)
+    assert shown(t.events) == want and t.errors.count() == 0
+    assert sorted(p.rsplit("/", 1)[1] for p in read) == sorted(held)
