@@ -84,3 +84,9 @@ def test_state_of_headers(spark):
     heads = sequence.last_value(lines.where("kind <> 'data'"), names=F.when(F.col("kind") == "name", F.col("value")), other=F.when(F.col("kind") == "other", F.col("value")))
     got = sequence.counted(sequence.headed(lines.where("kind = 'data'"), heads, "names", "other"), "ordinal", stretch=7)
     assert sorted(tuple(r) for r in got.select("path", "line_no", "names", "other", "ordinal").collect()) == want
+
+
+def test_web_raw_lines_whole(spark):
+    """A row for each line, not for each document."""
+    rows = compared(spark, "web_raw_lines")
+    assert len(rows) == sum(x.strip() != "" for r in table(spark, "documents").collect() for x in (r.text or "").split("\n"))
