@@ -90,3 +90,8 @@ def test_web_raw_lines_whole(spark):
     """A row for each line, not for each document."""
     rows = compared(spark, "web_raw_lines")
     assert len(rows) == sum(x.strip() != "" for r in table(spark, "documents").collect() for x in (r.text or "").split("\n"))
+
+
+def test_sysmon_type_names_whole(spark):
+    """A row for each part, not for each type."""
+    assert len(compared(spark, "sysmon_type_names")) == table(spark, "part").count()
