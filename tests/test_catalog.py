@@ -95,3 +95,8 @@ def test_web_raw_lines_whole(spark):
 def test_sysmon_type_names_whole(spark):
     """A row for each part, not for each type."""
     assert len(compared(spark, "sysmon_type_names")) == table(spark, "part").count()
+
+
+def test_sysmon_all_events_whole(spark):
+    """A row for each order, not for each type."""
+    assert len(compared(spark, "sysmon_all_events")) == table(spark, "orders").count()
