@@ -100,3 +100,8 @@ def test_sysmon_type_names_whole(spark):
 def test_sysmon_all_events_whole(spark):
     """A row for each order, not for each type."""
     assert len(compared(spark, "sysmon_all_events")) == table(spark, "orders").count()
+
+
+def test_route_pages_whole(spark):
+    """A row for each path of each page, not for each parser."""
+    assert len(compared(spark, "route_pages")) == table(spark, "pages").count() * (1 + len(catalog._ROUTES))
