@@ -105,3 +105,45 @@ def test_sysmon_all_events_whole(spark):
 def test_route_pages_whole(spark):
     """A row for each path of each page, not for each parser."""
     assert len(compared(spark, "route_pages")) == table(spark, "pages").count() * (1 + len(catalog._ROUTES))
+
+
+def test_heads_of_stretches(spark):
+    """The same found by stretches, with numbers, and lines of a long file dealt to many tasks before anything is added to them."""
+    rng, rows, want = random.Random(4), [], []
+    for f in range(5):
+        names, n, no, header = None, 0, 0, f == 4
+        for i in range(200):
+            no += rng.choice([1, 1, 2, 30])
+            kind = "name" if header or i == (0, 20, 60, 199, 7)[f] else rng.choice(["data"] * 9 + ["name"] * (names is not None))
+            header = False
+            value = rng.choice("abc")
+            rows.append((f"f{f}", no, kind, value))
+            names = value if kind == "name" else names
+            if kind == "data" and names is not None:
+                n += 1
+                want.append((f"f{f}", no, names, n))
+    lines = spark.createDataFrame(rows, "path string, line_no bigint, kind string, value string").repartition(3)
+    heads = sequence.last_value(lines.where("kind <> 'data'"), names=F.col("value"))
+    data = lines.where("kind = 'data'")
+    got = sequence.headed(data, heads, "names", number="ordinal", stretch=7)
+    assert sorted(tuple(r) for r in got.select("path", "line_no", "names", "ordinal").collect()) == want
+    got = sequence.headed(data, heads, "names", stretch=7)
+    assert sorted(tuple(r) for r in got.select("path", "line_no", "names").collect()) == [w[:3] for w in want]
+
+
+def test_a_long_sensor_log_is_many_tasks(spark):
+    """No exchange deals lines by their file alone, and those that are sorted hold nothing of the headers."""
+    from timeloom.operators import header_logs
+
+    head = ["#separator \\x09", "#path\tmystery", "#fields\tts\thost"]
+    lines = spark.range(4, 200_000).select(F.lit("/z/mystery.log").alias("path"), F.lit("mystery.log").alias("source"), F.col("id").alias("line_no"), F.concat(F.lit("1.0\th"), "id").alias("line"))
+    lines = lines.union(spark.createDataFrame([("/z/mystery.log", "mystery.log", i, x) for i, x in enumerate(head)], lines.schema))
+    events = header_logs.sensor(lines, catalog.CTX)
+    r = events.groupBy().agg(F.count("*"), F.max("event_id"), F.countDistinct("event_id")).first()
+    assert tuple(r) == (199_996,) * 3
+    tasks = events.groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 1
+    plan = events._jdf.queryExecution().sparkPlan().toString().split("\n")
+    sorted_lines = [x for x in plan if "row_number" in x]
+    assert sorted_lines and not any("places" in x or "layout" in x for x in sorted_lines)
+    assert not any("SortMergeJoin [path#" in x and "stretch" not in x for x in plan)
