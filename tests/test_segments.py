@@ -161,3 +161,34 @@ def test_lines_of_files_stay_in_their_splits(spark, tmp_path):
     got = {(r.source.removesuffix(".syslog"), int(r.message.split()[-1])): r.timestamp for r in events}
     utc = lambda t: None if t is None else t.replace(tzinfo=None)
     assert len(got) == len(rows) and all(utc(want[k]) == t for k, t in got.items() if want[k] is not None) and timeline in (0, len(rows))
+
+
+def test_short_segments_are_taken_at_once():
+    """Many segments in a batch have the effects and rows that each would have alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    year, edges = 365 * 86_400_000_000, [0, 1, 2, 7, 8, 20, 21, 40]
+    low = rng.integers(0, 2 * year, 40)
+    high = low + np.where(rng.random(40) < 0.2, 0, year)
+    none = rng.random(40) < 0.2
+    none[[1, 7]], none[0] = True, False  # segments without any time
+    columns = [pa.array(x, mask=none).cast(pa.timestamp("us")) for x in (low, high)]
+    states = [None, 5 * year, year, 0, 2 * year, year // 2, None]
+    m, effects, runs = Rollover(), [], []
+    for a, b, state in zip(edges[:-1], edges[1:], states, strict=True):
+        take, done = m.effect()
+        take([c.slice(a, b - a) for c in columns])
+        effects.append(done())
+        runs += m.run(state)([c.slice(a, b - a) for c in columns]).to_pylist()
+    assert m.effects(columns, edges) == effects and m.runs(columns, edges, states).to_pylist() == runs
+
+
+def test_years_in_many_short_files(spark, monkeypatch):
+    now, rows = datetime(2024, 1, 31, tzinfo=timezone.utc), make_stamps(11, 400, 4) + make_stamps(12, 3, 60)
+    rows = [(f"{p}-{i % 2}" if len(p) > 3 else p, i, s, f) for p, i, s, f in {r[:2]: r for r in rows}.values()]
+    df = spark.createDataFrame(rows, "path string, line_no bigint, stamp string, full_ts timestamp").repartition(3)
+    monkeypatch.setattr(text_logs, "carried", lambda *a: carried(*a, stretch=9))
+    got = {(r.path, r.line_no): r.us for r in text_logs.dated(df, Context(now)).select("path", "line_no", F.unix_micros("ts").alias("us")).collect()}
+    assert got == {k: None if t is None else (t - EPOCH) // timedelta(microseconds=1) for k, t in years_line_by_line(rows, now).items()}
