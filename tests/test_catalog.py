@@ -147,3 +147,17 @@ def test_a_long_sensor_log_is_many_tasks(spark):
     sorted_lines = [x for x in plan if "row_number" in x]
     assert sorted_lines and not any("places" in x or "layout" in x for x in sorted_lines)
     assert not any("SortMergeJoin [path#" in x and "stretch" not in x for x in plan)
+
+
+@pytest.mark.parametrize("name", ["files_event_xml", "files_monitor_events"])
+def test_event_files_are_written_apart(spark, monkeypatch, name):
+    """More events are more documents, each with its ends, not larger ones."""
+    from timeloom.plans import timeline
+
+    found = []
+    windows = timeline.PARSERS["windows_xml"]
+    monkeypatch.setitem(timeline.PARSERS, "windows_xml", lambda spark, paths, ctx: found.extend(paths) or windows(spark, paths, ctx))
+    monkeypatch.setattr(file_queries, "SLICE", 400)
+    compared(spark, name)
+    keys = {(r.o_orderkey // 400, r.o_orderkey % file_queries.PARTS) for r in table(spark, "orders").collect()}
+    assert {tuple(map(int, p.split("/")[-3:-1])) for p in found} == keys and len(keys) > file_queries.PARTS
