@@ -1,6 +1,7 @@
 """Queries of the catalogue against their SQL, on whole tables."""
 
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -161,3 +162,9 @@ def test_event_files_are_written_apart(spark, monkeypatch, name):
     compared(spark, name)
     keys = {(r.o_orderkey // 400, r.o_orderkey % file_queries.PARTS) for r in table(spark, "orders").collect()}
     assert {tuple(map(int, p.split("/")[-3:-1])) for p in found} == keys and len(keys) > file_queries.PARTS
+
+
+def test_monitor_events_are_parsed_once(spark):
+    """A filter that Spark moves doesn't parse them once more."""
+    plan = catalog.QUERIES["sysmon_parse"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("xml_to_struct|from_xml", plan, re.IGNORECASE)) == 1
