@@ -108,3 +108,35 @@ def test_long_first_lines(spark, tmp_path):
     (tmp_path / "a").write_text("x" * 200_000 + "\r\nsecond")
     (tmp_path / "b").write_text("")
     assert first_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")]) == ["x" * 200_000, ""]
+
+
+def test_records_are_read_and_joined_once(spark, tmp_path):
+    """Lines are read twice, once to find where records begin, and are shuffled once for all passes that follow."""
+    from timeloom.plans.timeline import build_timeline
+    from timeloom.schema import Context
+
+    (tmp_path / "a b.csv").write_text("Time,Message\n" + "".join(f'2024-01-02 03:04:{i % 60:02},"x\n{i}"\n' for i in range(300)))
+    events = build_timeline(spark, str(tmp_path), context=Context()).events
+    rows = events.orderBy("event_id").collect()
+    assert [(r.source, r.event_id, r.message) for r in rows] == [("a b.csv", i + 2, f"x\n{i}") for i in range(300)]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = events.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert plan.count("FileScan text") == 2 and "ReusedExchange" in plan
+
+
+def test_records_over_batches(spark, tmp_path):
+    """Records that go on over many batches between Spark and Python."""
+    texts = {f"f{i}.csv": make_text(random.Random(i), ",", 300) for i in range(2)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = csv_artifacts.records_of(csv_artifacts.read_lines(spark, [str(tmp_path)], blank=True, numbered=False), ",").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r.source, r.line_no, r.text) for r in got} == {(name, i, r) for name, text in texts.items() for i, r in enumerate(plain(text), 1)}
