@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.functions.patterns import PatternError, translated
+from timeloom.operators import filters
 from timeloom.operators.filters import check_pattern, matching
+from timeloom.plans import catalog
 
 #: (pattern, texts with a match, texts without one)
 FOUND = [
@@ -41,3 +43,22 @@ def test_filters_of_events(spark):
     assert found("^(?i)failed$") == ["ann"] and found(r"\p{Latin}.log") == ["", "ann", "bob"] and found(r"é\z") == ["bob"] and found(None) == ["", "ann", "bob"]
     with pytest.raises(ValueError):
         matching(events, r"\Z")
+
+
+def test_numbered_matches(spark):
+    """Many patterns over long texts: the rows that each would filter, without a pass of the row-wise engine for each of them."""
+    texts = ["", None, "The end.", "a\nb c\n", "x é1", "É", "naïve\r\nthe", "ÀÉ\x00", "..!", "x" * 40, "tab\t\t", "ſ K"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = {r.id: r.found for r in filters.numbered_matches(rows, "text", catalog._PATTERNS, "found").collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, p in enumerate(catalog._PATTERNS):
+        want = {r.id for r in rows.where(F.col("text").rlike(filters.check_pattern(spark, p))).collect()}
+        assert {k for k, v in got.items() if i in v} == want, p
+    with pytest.raises(filters.PatternError):
+        filters.numbered_matches(rows, "text", ["(?=a)"], "found")
+    cases = [(i, x, hit) for i, (_, yes, no) in enumerate(FOUND) for hit, xs in ((True, yes), (False, no)) for x in xs]
+    rows = spark.createDataFrame([(j, i, x, hit) for j, (i, x, hit) in enumerate(cases)], "j int, i int, text string, hit boolean")
+    got = filters.numbered_matches(rows, "text", [p for p, _, _ in FOUND], "found").collect()
+    assert len(got) == len(cases) and [FOUND[r.i] for r in got if (r.i in r.found) != r.hit] == []
+    plan = catalog.filter_patterns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("MapInArrow") == 1
