@@ -168,3 +168,30 @@ def test_monitor_events_are_parsed_once(spark):
     """A filter that Spark moves doesn't parse them once more."""
     plan = catalog.QUERIES["sysmon_parse"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("xml_to_struct|from_xml", plan, re.IGNORECASE)) == 1
+
+
+def test_files_are_put_in_order_by_stretches(spark, tmp_path, monkeypatch):
+    """The task that writes a file gets a row for each stretch of places, not each row; the file's lines come in order of place."""
+    monkeypatch.setattr(file_queries, "STRETCH_BITS", 4)
+    places = [-1, (1 << 63) - 1, *range(0, 1000, 3)]
+    rows = spark.createDataFrame([(p % 2, p, f"v{p}\nw" if p % 5 else None) for p in places], "part long, place long, value string").repartition(7)
+    file_queries._write(rows, f"file://{tmp_path}/out", "x.log")
+    for part in (0, 1):
+        want = "".join(f"v{p}\nw\n" if p % 5 else "\n" for p in sorted(places) if p % 2 == part)
+        assert (tmp_path / "out" / str(part) / "x.log").read_text() == want
+
+
+def test_paths_are_found_once_a_split(spark, tmp_path):
+    """Not for each line: what decodes them is below the broadcast of the table of splits."""
+    from timeloom.sources.lines import read_lines
+
+    (tmp_path / "a+b %41.log").write_bytes(b"x\r\n \t\n\ny\r\n\r\n")
+    lines = read_lines(spark, [str(tmp_path)])
+    assert [(r.path, r.source, r.line_no, r.line) for r in lines.orderBy("line_no").collect()] == [(str(tmp_path / "a+b %41.log"), "a+b %41.log", n, x) for n, x in ((1, "x"), (4, "y"))]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lines.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "decode" in plan and "decode" not in plan[: plan.index("BroadcastExchange")]
