@@ -195,3 +195,16 @@ def test_paths_are_found_once_a_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert "decode" in plan and "decode" not in plan[: plan.index("BroadcastExchange")]
+
+
+def test_tasks_without_a_declaration_are_not_rewritten(spark):
+    """Only a text that begins with a declaration is copied without it; both give the same events."""
+    body = '<Task xmlns="http://schemas.microsoft.com/windows/2004/02/mit/task"><RegistrationInfo><URI>/t</URI></RegistrationInfo><Actions><Exec><Command>c</Command></Exec></Actions></Task>'
+    texts = {"a": body, "b": '<?xml version="1.0" encoding="UTF-16"?>' + body, "c": '\n <?xml version="1.0" encoding="UTF-16"?>\n' + body, "d": None}
+    rows = spark.createDataFrame([(k, k, v) for k, v in texts.items()], "path string, source string, text string")
+    events = xml_logs.scheduled_tasks(rows, catalog.CTX)
+    got = {k: sorted((r.event_type, r.message) for r in events.collect() if r.path == k) for k in texts}
+    assert got["a"] == got["b"] == got["c"] and ("ScheduledTask:Action", "Task: /t | Command: c") in got["a"]
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN RLIKE\(text#\d+, [^)]*xml\)", plan)
+    assert "sort_array(" in catalog.task_explode_union(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
