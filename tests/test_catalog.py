@@ -208,3 +208,29 @@ def test_tasks_without_a_declaration_are_not_rewritten(spark):
     plan = events._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"CASE WHEN RLIKE\(text#\d+, [^)]*xml\)", plan)
     assert "sort_array(" in catalog.task_explode_union(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_of_lines_with_the_mark(spark):
+    """What is put between groups to part them may be in the line; a line feed in a text is no end of a group."""
+    from timeloom.functions.text import groups
+
+    texts = ["a \x01\x17\x01 b", "a\nb c", "\n", "a  ", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string")
+    got = [r.g for r in rows.select("i", groups(F.col("line"), r"^([^ ]*) (.*)$").alias("g")).orderBy("i").collect()]
+    assert got == [["a", "\x01\x17\x01 b"], ["a\nb", "c"], None, ["a", " "], None, None]
+
+
+def test_no_groups_go_through_python(spark, tmp_path):
+    """What carries years along a file gets times and finished texts, not lists of groups; the second form is tried where the first doesn't match."""
+    from timeloom.plans.timeline import build_timeline
+
+    texts = {"syslog": "2024-01-02T03:04:05+02:00 h p[1]: full\nJan  3 04:05:06 g q: old\nneither\n", "system.log": "Jan  3 04:05:06 g q[7] <Error>: with\nJan  3 04:05:07 g q <Error>: plain\nneither\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    events = build_timeline(spark, str(tmp_path), context=catalog.CTX).events
+    got = [(r.event_type, r.host, r.message, r.tz_offset_min) for r in events.orderBy("source", "event_id").collect()]
+    syslog = [("Syslog", "h", "[p[1]] full", 120), ("Syslog", "g", "[q] old", None), ("SyslogRaw", "", "neither", None)]
+    assert got == [*syslog, ("ASL", "g", "[q(7)] <Error> with", None), ("ASL", "g", "[q] <Error> plain", None), ("ASLRaw", "", "neither", None)]
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    passes = [x for x in plan.splitlines() if "MapInArrow ran(" in x]
+    assert len(passes) == 2 and not any(re.search(r"\b(full|old|a|b|line)#", x) for x in passes)
