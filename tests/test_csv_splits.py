@@ -140,3 +140,12 @@ def test_records_over_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert {(r.source, r.line_no, r.text) for r in got} == {(name, i, r) for name, text in texts.items() for i, r in enumerate(plain(text), 1)}
+
+
+def test_nul_in_fields(spark, tmp_path):
+    """NUL within a field is a character like others, in quoted fields too."""
+    fields = ["a\0b", "\0", '\0"', '"\0', 'x\0"\0"y', "\0\n\0", "é\0\0"]
+    path = tmp_path / "a.csv"
+    path.write_text("A,B\n" + "".join(f'"{f.replace(chr(34), chr(34) * 2)}",b\0{i}\n' for i, f in enumerate(fields)))
+    got = csv_artifacts.read_csv(spark, [str(path)], ["A", "B"], ",").orderBy("line_no").collect()
+    assert [(r.c0, r.c1) for r in got] == [(f, f"b\0{i}") for i, f in enumerate(fields)]
