@@ -236,17 +236,20 @@ def test_no_groups_go_through_python(spark, tmp_path):
     assert len(passes) == 2 and not any(re.search(r"\b(full|old|a|b|line)#", x) for x in passes)
 
 
-def test_csv_quoted_texts_that_are_odd(spark, tmp_path):
-    """Empty texts, characters that parsers give a meaning, ids that documents share or don't have."""
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_csv_quoted_texts_that_are_odd(spark, tmp_path, kind):
+    """Empty texts, characters that parsers give a meaning, ids that documents share or don't have, and of another type."""
     duckdb = pytest.importorskip("duckdb")
     rng = random.Random(6)
     pieces = ['"', '""', ",", "\n", "\r", "\r\n", "\0", '\0"', "\\", '\\"', " ", "\t", "a", "é", "\ufeff", "😀"]
     texts = ["", "", None, "\0", "\n", "\r\n", '"', '"\0"', 'a\n"b\n' * 50_000, *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(500))]
     rows = [*enumerate(texts), (3, ""), (3, "same"), (3, "same"), (None, "same"), (None, "same"), (None, 'x\n"y"'), (None, None), (-1, "a"), (-1, 'two\n"lines')]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = db.execute(catalog.ORACLES["csv_quoted_texts"])
     columns = [c[0] for c in want.description]
-    got = [tuple(r) for r in catalog.QUERIES["csv_quoted_texts"](spark, str(tmp_path)).select(*columns).collect()]
+    df = catalog.QUERIES["csv_quoted_texts"](spark, str(tmp_path)).select(*columns)
+    got = [tuple(r) for r in df.collect()]
+    assert dict(df.dtypes)["doc_id"] == {"long": "bigint", "int": "int"}[kind]
     assert len(got) == sum(t is not None for _, t in rows) and Counter(got) == Counter(want.fetchall())
